@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,18 +12,32 @@ EMBEDDED_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 FENCE = "```"
 
 
+# Fixed value: what any JSON text must start and end with. Text that fails this
+# is not handed to the parser, whose failures are costly.
+JSON_SHAPE = r"(?s)^\s*[{\[\"tfn0-9-].*[}\]\"el0-9]\s*$|^\s*[0-9]\s*$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value computed once, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _wrapped(text: Column) -> Column:
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    return F.when(F.rlike(text, F.lit(JSON_SHAPE)), parsed)
+
+
 def parse_strict(text: Column) -> Column:
     """VARIANT of the text, or NULL unless the *whole* text is one JSON value.
 
     ``try_parse_json`` alone ignores what follows the first value, so the text is
     parsed as the only element of an array.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
-    return F.when(F.size(wrapped) == 1, wrapped[0])
+    return let(_wrapped(text), lambda v: F.when(F.size(v) == 1, v[0]))
 
 
 def is_json(text: Column) -> Column:
-    return F.coalesce(parse_strict(text).isNotNull(), F.lit(False))
+    return F.coalesce(F.size(_wrapped(text)) == 1, F.lit(False))
 
 
 def kind(value: Column) -> Column:
@@ -84,7 +100,7 @@ def extract_object(text: Column, fallback: Column | None = None) -> Column:
 
     The candidates are tried as one array, so the text is scanned once per form.
     """
-    unlabelled = lambda part: F.trim(F.regexp_replace(F.trim(part), r"^json", ""))
+    unlabelled = lambda part: F.regexp_replace(F.regexp_replace(part, r"^\s*(?:json)?\s*", ""), r"\s+$", "")
     fenced = F.when(
         F.contains(text, F.lit(FENCE)),
         F.filter(F.transform(F.split(text, FENCE), unlabelled), lambda part: part != ""),

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: objects with at most one level of nested braces inside other text.
-EMBEDDED_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# Possessive loops, so that a text with very many objects needs no deep stack.
+EMBEDDED_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 FENCE = "```"
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sloframe.functions.binding import let
 from sloframe.functions.jsonops import as_array, as_map, field, is_array, is_number, is_object, kind
 
 Rule = tuple[Column, Column]  # (broken?, message)
@@ -115,43 +116,46 @@ def _own_rules(value: Column, schema: dict) -> list[Rule]:
 def violations(value: Column, schema: dict, path: tuple[str, ...] = ()) -> Column:
     """All messages as ``path: message``; rules of the value come before its fields."""
     prefix = ".".join(path) if path else "<root>"
-    own = [F.when(F.coalesce(bad, F.lit(False)), F.concat(F.lit(prefix + ": "), msg)) for bad, msg in _own_rules(value, schema)]
-    out = F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
-    for name in sorted(schema.get("properties", {})):
-        child = field(value, name)
-        nested = violations(child, schema["properties"][name], (*path, name))
-        out = F.concat(out, F.when(child.isNotNull(), nested).otherwise(F.array().cast("array<string>")))
-    if "items" in schema:
+    none = F.array().cast("array<string>")
+
+    def own(v: Column) -> Column:
+        rules = [F.when(F.coalesce(bad, F.lit(False)), F.concat(F.lit(prefix + ": "), msg)) for bad, msg in _own_rules(v, schema)]
+        return F.array_compact(F.array(*rules)) if rules else none
+
+    def nested(v: Column) -> list[Column]:
+        parts = []
+        for name in sorted(schema.get("properties", {})):
+            inner = schema["properties"][name]
+            parts.append(let(field(v, name), lambda c, n=name, i=inner: F.when(c.isNotNull(), violations(c, i, (*path, n))).otherwise(none)))
+        if "items" in schema:
+            parts.append(F.flatten(F.transform(as_array(v), item)))
+        return parts
+
+    def item(v: Column, index: Column) -> Column:
         # Positions are known only at run time, so the path prefix is added here.
-        item_schema = schema["items"]
-
-        def check(item: Column, index: Column) -> Column:
-            inner = violations(item, item_schema, ("{i}",))
-            at = F.concat(F.lit("" if not path else prefix + "."), index.cast("string"))
-            return F.transform(inner, lambda m: F.concat(at, F.substring(m, F.lit(4), F.length(m))))
+        at = F.concat(F.lit("" if not path else prefix + "."), index.cast("string"))
+        return F.transform(violations(v, schema["items"], ("{i}",)), lambda m: F.concat(at, F.substring(m, F.lit(4), F.length(m))))
 
-        out = F.concat(out, F.flatten(F.transform(as_array(value), check)))
-    return out
+    return F.concat(own(value), *nested(value))
 
 
 def valid(value: Column, schema: dict) -> Column:
     """True when the value is present and breaks no rule."""
-    ok = F.lit(True)
+    ok = value.isNotNull()
     for bad, _ in _own_rules(value, schema):
         ok = ok & ~F.coalesce(bad, F.lit(False))
-    for name in schema.get("properties", {}):
-        child = field(value, name)
-        ok = ok & (child.isNull() | valid(child, schema["properties"][name]))
+    for name, inner in schema.get("properties", {}).items():
+        ok = ok & let(field(value, name), lambda c, i=inner: c.isNull() | valid(c, i))
     if "items" in schema:
-        each: Callable[[Column], Column] = lambda item: valid(item, schema["items"])
-        ok = ok & F.forall(as_array(value), each)
-    return value.isNotNull() & ok
+        ok = ok & F.forall(as_array(value), lambda x: valid(x, schema["items"]))
+    return ok
 
 
 def first_violation(value: Column, schema: dict) -> Column:
     """First message, or NULL for a valid record; an unparsed value is an error."""
-    return F.when(value.isNull(), F.lit("<root>: not valid JSON")).otherwise(
-        F.try_element_at(violations(value, schema), F.lit(1))
+    return let(
+        value,
+        lambda v: F.when(v.isNull(), F.lit("<root>: not valid JSON")).otherwise(F.try_element_at(violations(v, schema), F.lit(1))),
     )
 
 
@@ -160,6 +164,6 @@ def compile_contract(schema: dict | str) -> Callable[[Column], Column]:
     parsed = json.loads(schema) if isinstance(schema, str) else schema
 
     def check(value: Column) -> Column:
-        return F.struct(valid(value, parsed).alias("valid"), first_violation(value, parsed).alias("error"))
+        return let(first_violation(value, parsed), lambda e: F.struct(e.isNull().alias("valid"), e.alias("error")))
 
     return check

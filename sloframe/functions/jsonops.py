@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sloframe.functions.binding import let
+
 # Fixed value: objects with at most one level of nested braces inside other text.
 # Possessive loops, so that a text with very many objects needs no deep stack.
 EMBEDDED_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
@@ -18,11 +18,6 @@ FENCE = "```"
 JSON_SHAPE = r"(?s)^\s*[{\[\"tfn0-9-].*[}\]\"el0-9]\s*$|^\s*[0-9]\s*$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` applied to a value computed once, also inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _wrapped(text: Column) -> Column:
     parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
     return F.when(F.rlike(text, F.lit(JSON_SHAPE)), parsed)
@@ -48,16 +43,15 @@ def kind(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
 
 
 def is_number(value: Column) -> Column:
-    k = kind(value)
-    return F.coalesce((k == "BIGINT") | k.startswith("DECIMAL") | (k == "DOUBLE") | (k == "FLOAT"), F.lit(False))
+    return F.coalesce(F.rlike(kind(value), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.lit(False))
 
 
 def field(value: Column, name: str) -> Column:
@@ -71,11 +65,7 @@ def _quoted(name: str) -> str:
 
 def text_of(value: Column) -> Column:
     """Scalar as text, objects and arrays as JSON, NULL for missing and null."""
-    k = kind(value)
-    nested = k.startswith("OBJECT") | k.startswith("ARRAY")
-    return F.when(k == "VOID", F.lit(None).cast("string")).when(nested, F.to_json(value)).otherwise(
-        F.try_variant_get(value, "$", "string")
-    )
+    return F.try_variant_get(value, "$", "string")
 
 
 def canonical(text: Column) -> Column:
@@ -86,13 +76,12 @@ def canonical(text: Column) -> Column:
 
 def as_map(value: Column) -> Column:
     """MAP<STRING,VARIANT> of an object, empty for anything else."""
-    return F.when(is_object(value), value.cast("map<string,variant>")).otherwise(
-        F.expr("cast(map() as map<string,variant>)")
-    )
+    return F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
 
 
 def as_array(value: Column) -> Column:
-    return F.when(is_array(value), value.cast("array<variant>")).otherwise(F.expr("cast(array() as array<variant>)"))
+    """ARRAY<VARIANT> of an array, empty for anything else."""
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
 
 
 def extract_object(text: Column, fallback: Column | None = None) -> Column:

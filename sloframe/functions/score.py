@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sloframe.functions.jsonops import as_array, as_map, field, is_array, is_number, is_object, kind, text_of
+from sloframe.functions.binding import let, let_all
+from sloframe.functions.jsonops import as_array, as_map, field, is_array, is_number, is_object, kind, parse_strict, text_of
 from sloframe.functions.text import last_number, lower_trim, set_f1, set_jaccard, squeeze, token_set, tokens
 
 # Fields and pass marks per task type.
@@ -47,7 +48,7 @@ def field_accuracy(pred: Column, gold: Column, fields: Sequence[str]) -> Column:
 def incident_scores(pred: Column, gold: Column, fields: Sequence[str] = INCIDENT_FIELDS) -> dict[str, Column]:
     acc = field_accuracy(pred, gold, fields)
     tags = set_f1(F.array_distinct(_texts(field(pred, "tags"))), F.array_distinct(_texts(field(gold, "tags"))))
-    return {"t1_field_acc": acc, "t1_tag_f1": tags, "t1_exact_match": _flag((acc == 1.0) & (tags == 1.0))}
+    return {"t1_field_acc": acc, "t1_tag_f1": tags, "t1_exact_match": F.when(acc == 1.0, _flag(tags == 1.0)).otherwise(F.lit(0.0))}
 
 
 def summary_scores(pred: Column, gold: Column) -> dict[str, Column]:
@@ -63,10 +64,12 @@ def summary_scores(pred: Column, gold: Column) -> dict[str, Column]:
 def args_match(pred_args: Column, gold_args: Column) -> Column:
     """Every gold argument has the same text in the prediction; extra predicted
     arguments do not matter."""
-    have = as_map(pred_args)
-    return F.forall(
-        F.map_entries(as_map(gold_args)),
-        lambda e: _norm(F.try_element_at(have, e["key"]), "none") == _norm(e["value"], "none"),
+    return let(
+        as_map(pred_args),
+        lambda have: F.forall(
+            F.map_entries(as_map(gold_args)),
+            lambda e: _norm(F.try_element_at(have, e["key"]), "none") == _norm(e["value"], "none"),
+        ),
     )
 
 
@@ -78,20 +81,21 @@ def tool_scores(pred: Column, gold: Column) -> dict[str, Column]:
 
 def function_scores(pred: Column, gold: Column) -> dict[str, Column]:
     """Gold is ``{function: {argument: [allowed values]}}``."""
-    name = text_of(field(pred, "name"))
-    functions = as_map(gold)
-    known = F.coalesce(F.map_contains_key(functions, F.coalesce(name, F.lit(""))), F.lit(False))
-    wanted = F.map_entries(as_map(F.try_element_at(functions, F.coalesce(name, F.lit("")))))
-    have = as_map(field(pred, "arguments"))
+    name = F.coalesce(text_of(field(pred, "name")), F.lit(""))
+    known = F.map_contains_key(as_map(gold), name)
+    wanted = F.map_entries(as_map(F.try_element_at(as_map(gold), name)))
 
-    def allowed(e: Column) -> Column:
+    def allowed(have: Column, e: Column) -> Column:
         got = _norm(F.try_element_at(have, e["key"]), "none")
-        inside = F.exists(as_array(e["value"]), lambda v: _norm(v, "none") == got)
+        inside = let(got, lambda g: F.exists(as_array(e["value"]), lambda v: _norm(v, "none") == g))
         return F.when(is_array(e["value"]), inside).otherwise(_norm(e["value"], "none") == got)
 
-    share = F.when(F.size(wanted) > 0, F.size(F.filter(wanted, allowed)) / F.size(wanted)).otherwise(F.lit(1.0))
+    share = let_all(
+        {"w": wanted, "have": as_map(field(pred, "arguments"))},
+        lambda s: F.when(F.size(s["w"]) > 0, F.size(F.filter(s["w"], lambda e: allowed(s["have"], e))) / F.size(s["w"])).otherwise(F.lit(1.0)),
+    )
     acc = F.when(known, share).otherwise(F.lit(0.0))
-    return {"t4_func_match": _flag(known), "t4_args_acc": acc, "t4_success": _flag(known & (acc >= 0.99))}
+    return {"t4_func_match": _flag(known), "t4_args_acc": acc, "t4_success": _flag(acc >= 0.99)}
 
 
 def patch_scores(pred: Column, gold: Column) -> dict[str, Column]:
@@ -119,12 +123,13 @@ TASK_SCORES = {"t1": incident_scores, "t2": summary_scores, "t3": tool_scores,
 def score_record(task_type: Column, pred: Column, gold: Column, json_valid: Column) -> Column:
     """MAP<STRING,DOUBLE> with the metrics of the record's task type. A record
     without gold has only ``json_valid``."""
-    has_gold = is_object(gold) & (F.size(as_map(gold)) > 0)
-    parts = [F.lit("json_valid"), _flag(json_valid)]
+    empty = F.expr("cast(map() as map<string,double>)")
+    scored = None
     for name, scorer in TASK_SCORES.items():
-        for metric, value in scorer(pred, gold).items():
-            parts += [F.lit(metric), F.when((task_type == name) & has_gold, value)]
-    return F.map_filter(F.create_map(*parts), lambda _, v: v.isNotNull())
+        metrics = F.create_map(*[x for metric, value in scorer(pred, gold).items() for x in (F.lit(metric), value)])
+        scored = F.when(task_type == name, metrics) if scored is None else scored.when(task_type == name, metrics)
+    own = F.when(F.size(as_map(gold)) > 0, scored.otherwise(empty)).otherwise(empty)
+    return F.map_concat(F.create_map(F.lit("json_valid"), _flag(json_valid)), own)
 
 
 def _present(value: Column) -> Column:
@@ -136,38 +141,65 @@ def compare_values(gold: Column, pred: Column) -> Column:
     """Struct(match, similarity): equal values (also two missing ones) match;
     strings match after squeezing, else by token-set F1; arrays by Jaccard;
     objects by the share of gold keys with equal values."""
-    g, p = _present(gold), _present(pred)
-    gj, pj = F.to_json(g), F.to_json(p)
-    gs, ps = squeeze(text_of(g)), squeeze(text_of(p))
-    strings = (kind(g) == "STRING") & (kind(p) == "STRING")
-    same = F.when(strings, gs == ps).otherwise(F.coalesce(gj == pj, g.isNull() & p.isNull()))
-    gt, pt = F.array_distinct(tokens(gs)), F.array_distinct(tokens(ps))
-    text_sim = F.when((F.size(gt) > 0) & (F.size(pt) > 0), set_f1(pt, gt)).otherwise(F.lit(0.0))
-    ga, pa = as_array(g), as_array(p)
-    item = lambda x: F.coalesce(text_of(x), F.lit("None"))
-    gset, pset = F.array_distinct(F.transform(ga, item)), F.array_distinct(F.transform(pa, item))
-    list_sim = F.when((F.size(ga) > 0) & (F.size(pa) > 0), set_jaccard(gset, pset)).otherwise(F.lit(0.0))
-    gm, pm = as_map(g), as_map(p)
-    equal_keys = F.filter(F.map_keys(gm), lambda k: F.coalesce(F.to_json(F.try_element_at(gm, k)) == F.to_json(F.try_element_at(pm, k)), F.lit(False)))
-    dict_sim = F.when(F.size(gm) > 0, F.size(equal_keys) / F.size(gm)).otherwise(F.lit(0.0))
-    similarity = (
-        F.when(same, F.lit(1.0))
-        .when(g.isNull() | p.isNull(), F.lit(0.0))
-        .when(strings, text_sim)
-        .when(is_array(g) & is_array(p), list_sim)
-        .when(is_object(g) & is_object(p), dict_sim)
-        .otherwise(F.lit(0.0))
+    raw = {"g": _present(gold), "p": _present(pred)}
+
+    def facts(s: Column) -> Column:
+        return let_all(
+            {"g": s["g"], "p": s["p"], "kg": kind(s["g"]), "kp": kind(s["p"]), "gj": F.to_json(s["g"]), "pj": F.to_json(s["p"])}, verdict
+        )
+
+    def verdict(s: Column) -> Column:
+        none, full = _verdict(False, F.lit(0.0)), _verdict(True, F.lit(1.0))
+        both = lambda name: s["kg"].startswith(name) & s["kp"].startswith(name)
+        return (
+            F.when(s["g"].isNull() & s["p"].isNull(), full)
+            .when(s["g"].isNull() | s["p"].isNull(), none)
+            .when(s["gj"] == s["pj"], full)
+            .when((s["kg"] == "STRING") & (s["kp"] == "STRING"), _compare_texts(s["g"], s["p"]))
+            .when(both("ARRAY"), _compare_lists(s["g"], s["p"]))
+            .when(both("OBJECT"), _compare_objects(s["g"], s["p"]))
+            .otherwise(none)
+        )
+
+    return let_all(raw, facts)
+
+
+def _verdict(match: bool, similarity: Column) -> Column:
+    return F.struct(F.lit(match).alias("match"), similarity.alias("similarity"))
+
+
+def _compare_texts(g: Column, p: Column) -> Column:
+    words = lambda t: F.array_distinct(tokens(t))
+    return let_all(
+        {"g": squeeze(text_of(g)), "p": squeeze(text_of(p))},
+        lambda s: F.when(s["g"] == s["p"], _verdict(True, F.lit(1.0))).otherwise(_verdict(False, set_f1(words(s["p"]), words(s["g"]), 0.0))),
+    )
+
+
+def _compare_lists(g: Column, p: Column) -> Column:
+    items = lambda v: F.array_distinct(F.transform(as_array(v), lambda x: F.coalesce(text_of(x), F.lit("None"))))
+    return let_all(
+        {"g": items(g), "p": items(p)},
+        lambda s: _verdict(False, F.when((F.size(s["g"]) > 0) & (F.size(s["p"]) > 0), set_jaccard(s["g"], s["p"])).otherwise(F.lit(0.0))),
+    )
+
+
+def _compare_objects(g: Column, p: Column) -> Column:
+    same = lambda s, k: F.coalesce(F.to_json(F.try_element_at(s["g"], k)) == F.to_json(F.try_element_at(s["p"], k)), F.lit(False))
+    return let_all(
+        {"g": as_map(g), "p": as_map(p)},
+        lambda s: _verdict(
+            False,
+            F.when(F.size(s["g"]) > 0, F.size(F.filter(F.map_keys(s["g"]), lambda k: same(s, k))) / F.size(s["g"])).otherwise(F.lit(0.0)),
+        ),
     )
-    return F.struct(F.coalesce(same, F.lit(False)).alias("match"), similarity.alias("similarity"))
 
 
 def field_breakdown(pred: Column, gold: Column, fields: Sequence[str]) -> Column:
     """Array of struct(field, match, similarity) over the contract's fields."""
-    rows = []
-    for f in fields:
-        c = compare_values(field(gold, f), field(pred, f))
-        rows.append(F.struct(F.lit(f).alias("field"), c["match"].alias("match"), c["similarity"].alias("similarity")))
-    return F.array(*rows)
+    row = lambda f, c: F.struct(F.lit(f).alias("field"), c["match"].alias("match"), c["similarity"].alias("similarity"))
+    both = {"g": gold, "p": pred}
+    return let_all(both, lambda s: F.array(*[let(compare_values(field(s["g"], f), field(s["p"], f)), lambda c, f=f: row(f, c)) for f in fields]))
 
 
 def breakdown_accuracy(breakdown: Column) -> Column:
@@ -180,9 +212,11 @@ def breakdown_exact(breakdown: Column) -> Column:
 
 
 def mismatched_fields(pred: Column, gold: Column) -> Column:
-    p, g = as_map(pred), as_map(gold)
-    differs = lambda k: ~F.to_json(_present(F.try_element_at(g, k))).eqNullSafe(F.to_json(_present(F.try_element_at(p, k))))
-    return F.filter(F.map_keys(g), differs)
+    shown = lambda m, k: F.nullif(F.to_json(F.try_element_at(m, k)), F.lit("null"))
+    return let_all(
+        {"g": as_map(gold), "p": as_map(pred)},
+        lambda s: F.filter(F.map_keys(s["g"]), lambda k: ~shown(s["g"], k).eqNullSafe(shown(s["p"], k))),
+    )
 
 
 def error_class(
@@ -191,22 +225,19 @@ def error_class(
 ) -> Column:
     """Struct(category, confidence, mismatched). First of: provider, timeout,
     parse, schema, semantic; a semantic check needs a non-empty output and gold."""
-    wrong = F.when((F.size(as_map(pred)) > 0) & (F.size(as_map(gold)) > 0), mismatched_fields(pred, gold))
+    wrong = F.when(F.size(as_map(pred)) > 0, mismatched_fields(pred, gold))
     none = F.array().cast("array<string>")
 
     def out(name: str, confidence: float = 1.0, fields: Column = none) -> Column:
         return F.struct(F.lit(name).alias("category"), F.lit(confidence).alias("confidence"), fields.alias("mismatched"))
 
     said = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
-    chain = F.when(said(provider_error), out("provider_error")) if provider_error is not None else None
-    start = chain.when if chain is not None else F.when
-    return (
-        start(latency > budget, out("timeout"))
-        .when(said(parse_error), out("parse_error"))
-        .when(said(schema_error), out("schema_violation"))
-        .when(F.size(wrong) > 0, out("semantic_error", 0.9, wrong))
-        .otherwise(out("none"))
-    )
+    semantic = let(wrong, lambda w: F.when(F.size(w) > 0, out("semantic_error", 0.9, w)).otherwise(out("none")))
+    first = [(said(provider_error), out("provider_error"))] if provider_error is not None else []
+    chain = None
+    for cond, result in [*first, (latency > budget, out("timeout")), (said(parse_error), out("parse_error")), (said(schema_error), out("schema_violation"))]:
+        chain = F.when(cond, result) if chain is None else chain.when(cond, result)
+    return chain.otherwise(semantic)
 
 
 def gold_function_name(gold_text: Column) -> Column:
@@ -261,90 +292,125 @@ def number_close(a: Column, b: Column, tolerance: float = 1e-3) -> Column:
     return (gap <= tolerance) | ((F.abs(a) > 0) & (gap / F.abs(a) < tolerance))
 
 
-def gold_scores(pred: Column, gold: Column, prompt: Column | None = None) -> Column:
-    """Struct of generic scores: em, f1, cite_acc, faithfulness (token F1 of
-    bullets), faithfulness_sem (token Jaccard), tool_match, toolseq_match, safety_match."""
-    g, p = as_map(gold), as_map(pred)
-    entries = F.map_entries(g)
+def _items(value: Column) -> Column:
+    return F.array_distinct(F.transform(as_array(value), lambda x: F.coalesce(text_of(x), F.lit("None"))))
+
+
+def _entry_matches(mine: Column, e: Column) -> Column:
+    """One gold entry against the predicted value: numbers within tolerance, lists
+    as sets, anything else as trimmed lower-case text."""
     plain = lambda v, missing: lower_trim(F.coalesce(text_of(v), F.lit(missing)))
-    item_set = lambda v: F.array_distinct(F.transform(as_array(v), lambda x: F.coalesce(text_of(x), F.lit("None"))))
-
-    def matches(e: Column) -> Column:
-        mine = F.try_element_at(p, e["key"])
-        numbers = is_number(e["value"]) & is_number(mine)
-        lists = is_array(e["value"]) & is_array(mine)
-        gs, ps = item_set(e["value"]), item_set(mine)
-        same_set = (F.size(F.array_except(gs, ps)) == 0) & (F.size(F.array_except(ps, gs)) == 0)
-        as_double = lambda v: F.try_variant_get(v, "$", "double")
-        return (
-            F.when(numbers, number_close(as_double(e["value"]), as_double(mine)))
-            .when(lists, same_set)
-            .otherwise(plain(e["value"], "none") == plain(mine, ""))
-        )
+    number = lambda v: F.try_variant_get(v, "$", "double")
+    same_set = let_all(
+        {"g": _items(e["value"]), "p": _items(mine)},
+        lambda s: (F.size(F.array_except(s["g"], s["p"])) == 0) & (F.size(F.array_except(s["p"], s["g"])) == 0),
+    )
+    return (
+        F.when(is_number(e["value"]) & is_number(mine), number_close(number(e["value"]), number(mine)))
+        .when(is_array(e["value"]) & is_array(mine), same_set)
+        .otherwise(plain(e["value"], "none") == plain(mine, ""))
+    )
 
-    total = F.size(entries)
-    hits = F.size(F.filter(entries, matches))
-    list_f1 = F.coalesce(
-        F.array_max(
-            F.transform(
-                F.filter(entries, lambda e: is_array(e["value"]) & is_array(F.try_element_at(p, e["key"]))),
-                lambda e: set_f1(item_set(F.try_element_at(p, e["key"])), item_set(e["value"])),
+
+def _match_and_f1(pred: Column, gold: Column) -> Column:
+    """Struct(em, f1): f1 is the best list F1, else the share of matching entries."""
+
+    def rows(s: Column) -> Column:
+        def one(e: Column) -> Column:
+            return let(
+                F.try_element_at(s["p"], e["key"]),
+                lambda mine: F.struct(
+                    F.coalesce(_entry_matches(mine, e), F.lit(False)).alias("hit"),
+                    F.when(is_array(e["value"]) & is_array(mine), set_f1(_items(mine), _items(e["value"]))).alias("f1"),
+                ),
             )
-        ),
-        F.lit(0.0),
-    )
-    f1 = F.when(list_f1 > 0, list_f1).when(total > 0, hits / total).otherwise(F.lit(0.0))
-    cites = lambda v: F.array_distinct(F.transform(as_array(v), lambda x: F.regexp_replace(lower_trim(text_of(x)), r"^[\[\]]+|[\[\]]+$", "")))
-    gc, pc = cites(field(gold, "citations")), cites(field(pred, "citations"))
-    cite = F.when((F.size(gc) > 0) & is_array(field(pred, "citations")), F.size(F.array_intersect(gc, pc)) / F.size(gc)).otherwise(F.lit(0.0))
-    words = lambda v: F.array_distinct(tokens(squeeze(F.array_join(F.transform(as_array(v), lambda x: F.coalesce(text_of(x), F.lit("none"))), " "))))
-    gb, pb = words(field(gold, "bullets")), words(field(pred, "bullets"))
-    bullets = is_array(field(gold, "bullets")) & is_array(field(pred, "bullets"))
-    either = (F.size(gb) > 0) | (F.size(pb) > 0)
+
+        return F.transform(F.map_entries(s["g"]), one)
+
+    def verdict(r: Column) -> Column:
+        n, hits = F.size(r), F.size(F.filter(r, lambda x: x["hit"]))
+        best = F.coalesce(F.array_max(F.transform(r, lambda x: x["f1"])), F.lit(0.0))
+        f1 = F.when(best > 0, best).when(n > 0, hits / n).otherwise(F.lit(0.0))
+        return F.struct(_flag((n > 0) & (hits == n)).alias("em"), f1.alias("f1"))
+
+    return let(let_all({"g": as_map(gold), "p": as_map(pred)}, rows), verdict)
+
+
+def gold_scores(pred: Column, gold: Column, prompt: Column | None = None) -> Column:
+    """Struct of generic scores: em, f1, cite_acc, faithfulness (token F1 of
+    bullets), faithfulness_sem (token Jaccard), tool_match, toolseq_match, safety_match."""
+    bare = lambda x: F.regexp_replace(lower_trim(text_of(x)), r"^[\[\]]+|[\[\]]+$", "")
+    cites = lambda v: F.array_distinct(F.transform(as_array(field(v, "citations")), bare))
+    line = lambda x: F.coalesce(text_of(x), F.lit("none"))
+    words = lambda v: F.array_distinct(tokens(squeeze(F.array_join(F.transform(as_array(field(v, "bullets")), line), " "))))
     low = lambda v: F.lower(F.coalesce(text_of(v), F.lit("none")))
-    inputs = as_map(field(pred, "inputs"))
-    inputs_ok = F.forall(
-        F.map_entries(as_map(field(gold, "inputs"))),
-        lambda e: F.lower(F.coalesce(text_of(F.try_element_at(inputs, e["key"])), F.lit(""))) == low(e["value"]),
-    )
     steps = lambda v: F.transform(as_array(field(v, "steps")), low)
-    mine = steps(pred)
-    if prompt is not None:
-        named = F.regexp_extract(prompt, TASK_MARK, 1)
-        canon = F.create_map(*[x for k, v in TOOL_SEQUENCES.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-        mine = F.when(F.size(mine) == 0, F.coalesce(F.try_element_at(canon, named), mine)).otherwise(mine)
-    return F.struct(
-        _flag((total > 0) & (hits == total)).alias("em"),
-        f1.alias("f1"),
-        cite.alias("cite_acc"),
-        F.when(bullets, set_f1(pb, gb)).otherwise(F.lit(0.0)).alias("faithfulness"),
-        F.when(bullets & either, set_jaccard(gb, pb)).otherwise(F.lit(0.0)).alias("faithfulness_sem"),
-        _flag((low(field(gold, "tool")) == low(field(pred, "tool"))) & inputs_ok).alias("tool_match"),
-        _flag(steps(gold) == mine).alias("toolseq_match"),
-        _flag(
-            text_of(field(pred, "decision")).eqNullSafe(text_of(field(gold, "decision")))
-            & text_of(field(pred, "risk_score")).eqNullSafe(text_of(field(gold, "risk_score")))
-        ).alias("safety_match"),
-    )
+
+    def all_scores(s: Column) -> Column:
+        g, p = s["g"], s["p"]
+        cite = let_all(
+            {"g": cites(g), "p": cites(p)},
+            lambda c: F.when(F.size(c["g"]) > 0, F.size(F.array_intersect(c["g"], c["p"])) / F.size(c["g"])).otherwise(F.lit(0.0)),
+        )
+        bullets = is_array(field(g, "bullets")) & is_array(field(p, "bullets"))
+        faith = let_all(
+            {"g": words(g), "p": words(p)},
+            lambda w: F.struct(set_f1(w["p"], w["g"]).alias("f1"), set_jaccard(w["g"], w["p"], 0.0).alias("sem")),
+        )
+        inputs_ok = let(
+            as_map(field(p, "inputs")),
+            lambda have: F.forall(
+                F.map_entries(as_map(field(g, "inputs"))),
+                lambda e: F.lower(F.coalesce(text_of(F.try_element_at(have, e["key"])), F.lit(""))) == low(e["value"]),
+            ),
+        )
+        mine = steps(p)
+        if prompt is not None:
+            canon = F.create_map(*[x for k, v in TOOL_SEQUENCES.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
+            named = F.try_element_at(canon, F.regexp_extract(prompt, TASK_MARK, 1))
+            mine = let(mine, lambda m: F.when(F.size(m) == 0, F.coalesce(named, m)).otherwise(m))
+        same = lambda f: text_of(field(p, f)).eqNullSafe(text_of(field(g, f)))
+        return let_all(
+            {"m": _match_and_f1(p, g), "f": F.when(bullets, faith)},
+            lambda t: F.struct(
+                t["m"]["em"].alias("em"),
+                t["m"]["f1"].alias("f1"),
+                F.when(is_array(field(p, "citations")), cite).otherwise(F.lit(0.0)).alias("cite_acc"),
+                F.coalesce(t["f"]["f1"], F.lit(0.0)).alias("faithfulness"),
+                F.coalesce(t["f"]["sem"], F.lit(0.0)).alias("faithfulness_sem"),
+                _flag((low(field(g, "tool")) == low(field(p, "tool"))) & inputs_ok).alias("tool_match"),
+                _flag(steps(g) == mine).alias("toolseq_match"),
+                _flag(same("decision") & same("risk_score")).alias("safety_match"),
+            ),
+        )
+
+    return let_all({"g": gold, "p": pred}, all_scores)
 
 
 def judge_rollup(response: Column) -> Column:
     """Struct(faithfulness, contradiction_rate, mean_support, parsed) of a stored
     judge response with ``statements``; unparsed text scores 0 / 1, no statements 1 / 0."""
-    from sloframe.functions.jsonops import parse_strict
-
-    doc = parse_strict(response)
-    statements = as_array(field(doc, "statements"))
-    n = F.size(statements)
-    support = F.aggregate(
-        statements, F.lit(0),
-        lambda acc, s: acc + F.greatest(F.lit(0), F.least(F.lit(SUPPORT_MAX), F.coalesce(F.try_variant_get(field(s, "support_score_0_to_3"), "$", "int"), F.lit(0)))),
+    zero, one = F.lit(0.0), F.lit(1.0)
+    result = lambda f, c, m, ok: F.struct(
+        f.alias("faithfulness"), c.alias("contradiction_rate"), m.alias("mean_support"), F.lit(ok).alias("parsed")
     )
-    against = F.size(F.filter(statements, lambda s: F.coalesce(F.try_variant_get(field(s, "contradiction"), "$", "boolean"), F.lit(False))))
-    mean_support = F.when(doc.isNull(), F.lit(0.0)).when(n == 0, F.lit(1.0)).otherwise(support / (float(SUPPORT_MAX) * n))
-    contra = F.when(doc.isNull(), F.lit(1.0)).when(n == 0, F.lit(0.0)).otherwise(against / n)
-    faith = F.when(doc.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean_support - contra)))
-    return F.struct(faith.alias("faithfulness"), contra.alias("contradiction_rate"), mean_support.alias("mean_support"), doc.isNotNull().alias("parsed"))
+    given = lambda s: F.coalesce(F.try_variant_get(field(s, "support_score_0_to_3"), "$", "int"), F.lit(0))
+    clamped = lambda s: F.greatest(F.lit(0), F.least(F.lit(SUPPORT_MAX), given(s)))
+    against = lambda s: F.coalesce(F.try_variant_get(field(s, "contradiction"), "$", "boolean"), F.lit(False))
+
+    def shares(st: Column) -> Column:
+        n = F.size(st)
+        support = F.aggregate(st, F.lit(0), lambda acc, s: acc + clamped(s)) / (float(SUPPORT_MAX) * n)
+        return let_all(
+            {"m": support, "c": F.size(F.filter(st, against)) / n},
+            lambda x: result(F.greatest(zero, F.least(one, x["m"] - x["c"])), x["c"], x["m"], True),
+        )
+
+    def doc_scores(doc: Column) -> Column:
+        listed = let(as_array(field(doc, "statements")), lambda st: F.when(F.size(st) == 0, result(one, zero, one, True)).otherwise(shares(st)))
+        return F.when(doc.isNull(), result(zero, one, zero, False)).otherwise(listed)
+
+    return let(parse_strict(response), doc_scores)
 
 
 def reward_parts(

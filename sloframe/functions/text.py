@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sloframe.functions.binding import let_all
+
 # Patterns that decide which text counts as equal.
 SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
 ARTICLE = r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])"
@@ -45,20 +47,29 @@ def harmonic(precision: Column, recall: Column) -> Column:
     return F.when(total > 0, 2 * precision * recall / total).otherwise(F.lit(0.0))
 
 
+def _overlap(a: Column, b: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind the sizes of two sets and of their intersection."""
+    return let_all(
+        {"a": a, "b": b},
+        lambda s: let_all({"n": F.size(F.array_intersect(s["a"], s["b"])), "a": F.size(s["a"]), "b": F.size(s["b"])}, body),
+    )
+
+
 def set_f1(pred: Column, gold: Column, both_empty: float = 1.0) -> Column:
     """F1 of two arrays of distinct items; an empty gold side scores 0."""
-    shared = F.size(F.array_intersect(pred, gold)).cast("double")
-    f1 = harmonic(shared / F.greatest(F.size(pred), F.lit(1)), shared / F.greatest(F.size(gold), F.lit(1)))
-    return (
-        F.when((F.size(gold) == 0) & (F.size(pred) == 0), F.lit(both_empty))
-        .when(F.size(gold) == 0, F.lit(0.0))
-        .otherwise(f1)
+    return _overlap(
+        pred,
+        gold,
+        lambda s: F.when((s["a"] == 0) & (s["b"] == 0), F.lit(both_empty))
+        .when((s["b"] == 0) | (s["n"] == 0), F.lit(0.0))
+        .otherwise(2.0 * s["n"] / (s["a"] + s["b"])),
     )
 
 
 def set_jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(both_empty))
+    return _overlap(
+        a, b, lambda s: F.when(s["a"] + s["b"] > 0, s["n"] / (s["a"] + s["b"] - s["n"])).otherwise(F.lit(both_empty))
+    )
 
 
 def bag_f1_from_counts(shared: Column, n_pred: Column, n_gold: Column) -> Column:

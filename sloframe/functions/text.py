@@ -72,6 +72,16 @@ def set_jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     )
 
 
+def set_precision_recall(pred: Column, gold: Column) -> Column:
+    """Struct(precision, recall) of two arrays taken as sets; an empty side is NULL."""
+    share = lambda n, of: F.when(of > 0, n / of)
+    return _overlap(
+        F.array_distinct(pred),
+        F.array_distinct(gold),
+        lambda s: F.struct(share(s["n"], s["a"]).alias("precision"), share(s["n"], s["b"]).alias("recall")),
+    )
+
+
 def bag_f1_from_counts(shared: Column, n_pred: Column, n_gold: Column) -> Column:
     """Bag-of-words F1 from the multiset overlap and the two lengths."""
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,35 +22,48 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def _shown(df: DataFrame, formats: dict[str, str]) -> list[Column]:
-    return [F.format_string(formats[c], F.col(c)) if c in formats else F.col(c).cast("string") for c in df.columns]
+def _cells(df: DataFrame, formats: dict[str, str], missing: str) -> list[Column]:
+    shown = lambda c: F.format_string(formats[c], F.col(c)) if c in formats else F.col(c).cast("string")
+    return [F.when(F.col(c).isNull(), F.lit(missing)).otherwise(shown(c)) for c in df.columns]
+
+
+def _line(df: DataFrame, style: str, formats: dict[str, str]) -> Column:
+    if style == "series":
+        return F.concat_ws(" ", *_cells(df, formats, "nan"))
+    if style == "markdown":
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *_cells(df, formats, "")), F.lit(" |"))
+    if style == "latex":
+        escaped = [F.regexp_replace(c, r"([_%&#$])", r"\\$1") for c in _cells(df, formats, "")]
+        return F.concat(F.concat_ws(" & ", *escaped), F.lit(r" \\"))
+    raise ValueError(f"unknown table style {style!r}")
 
 
 def series_lines(df: DataFrame, formats: dict[str, str] | None = None) -> DataFrame:
     """``line`` per row, cells separated by one space (missing ones ``nan``)."""
-    cells = [F.coalesce(c, F.lit("nan")) for c in _shown(df, formats or {})]
-    return df.select(F.concat_ws(" ", *cells).alias("line"))
+    return df.select(_line(df, "series", formats or {}).alias("line"))
 
 
 def markdown_lines(df: DataFrame, formats: dict[str, str] | None = None) -> DataFrame:
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *_shown(df, formats or {})), F.lit(" |")).alias("line"))
-
-
-def markdown_header(df: DataFrame) -> list[str]:
-    return ["| " + " | ".join(df.columns) + " |", "|" + "|".join("---" for _ in df.columns) + "|"]
+    return df.select(_line(df, "markdown", formats or {}).alias("line"))
 
 
 def latex_lines(df: DataFrame, formats: dict[str, str] | None = None) -> DataFrame:
     """Table rows with the special characters of text cells escaped."""
-    escape = lambda c: F.regexp_replace(c, r"([_%&#$])", r"\\$1")
-    cells = [escape(c) for c in _shown(df, formats or {})]
-    return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
+    return df.select(_line(df, "latex", formats or {}).alias("line"))
+
+
+def header_lines(columns: Sequence[str], style: str) -> list[str]:
+    if style == "markdown":
+        return ["| " + " | ".join(columns) + " |", "|" + "|".join("---" for _ in columns) + "|"]
+    if style == "latex":
+        return [" & ".join(columns).replace("_", r"\_") + r" \\"]
+    return [" ".join(columns)]
 
 
 def write_text_table(df: DataFrame, path: str, order: Sequence[str], style: str = "markdown", formats: dict[str, str] | None = None, mode: str = "errorifexists") -> None:
-    """One ordered text file from an aggregated (small) table."""
-    make = {"markdown": markdown_lines, "latex": latex_lines, "series": series_lines}[style]
-    body = make(df.orderBy(*order), formats)
-    header = {"markdown": markdown_header(df), "latex": [" & ".join(df.columns).replace("_", r"\_") + r" \\"], "series": [" ".join(df.columns)]}[style]
-    head = df.sparkSession.createDataFrame([(h,) for h in header], "line string").coalesce(1)
-    head.union(body).coalesce(1).write.mode(mode).text(path)
+    """One ordered text file from a report table. The table is an aggregate (models,
+    tasks, tiers) and small, so its line numbers come from one window."""
+    place = F.row_number().over(Window.orderBy(*order))
+    cells = df.select(place.alias("__i"), _line(df, style, formats or {}).alias("line"))
+    head = df.sparkSession.createDataFrame(list(enumerate(header_lines(df.columns, style), start=-9)), "__i int, line string")
+    head.union(cells).repartition(1).sortWithinPartitions("__i").select("line").write.mode(mode).text(path)

@@ -4,13 +4,13 @@ the static form is the one that is checked against another engine."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
+from sloframe.operators.ordered import CHUNK, add_positions, attach, decayed_baseline
 from sloframe.session import ensure_checkpoint_dir
 
 
@@ -96,45 +96,53 @@ def late_rows(all_rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> Data
     return all_rows.join(seen.select(*keys), list(keys), "left_anti")
 
 
-class _Baseline(StatefulProcessor):
-    """Keeps (baseline, last step) per run; steps not after the last one are dropped."""
+BASELINE_STATE = "run string, baseline double, last bigint"
+BASELINE_TABLE = "run string, step bigint, reward double, baseline double, advantage double"
 
-    def __init__(self, keep: float) -> None:
-        self.keep = keep
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("baseline", "baseline double, last bigint")
+def start_running_baseline(steps: DataFrame, root: str, keep: float = 0.9, **trigger) -> StreamingQuery:
+    """Advantage of each step against its run's running baseline, from a stream with
+    columns run, step, reward.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """One micro-batch of a run, in step order. The files-per-trigger limit of
-        the source bounds it."""
-        baseline, last = self.state.get() if self.state.exists() else (0.0, -1)
-        batch = pd.concat(list(rows)).sort_values("step").drop_duplicates("step")
-        batch = batch[batch["step"] > last]
-        if batch.empty:
-            return
-        before = []
-        for reward in batch["reward"]:
-            before.append(baseline)
-            baseline = self.keep * baseline + (1.0 - self.keep) * reward
-        self.state.update((float(baseline), int(batch["step"].iloc[-1])))
-        out = pd.DataFrame({"run": key[0], "step": batch["step"].to_numpy(), "reward": batch["reward"].to_numpy(), "baseline": before})
-        out["advantage"] = out["reward"] - out["baseline"]
-        yield out
+    Each micro-batch is worked on as a table: a run's steps are ordered block by
+    block and joined with the run's state (baseline, last step) from the batch
+    before, so one run with most of the rows still spreads over many tasks. Steps
+    at or before the last one seen are dropped. Output and state are written per
+    batch number and overwritten when a batch is replayed.
+    """
 
-    def close(self) -> None:
-        pass
+    def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number > 0:
+            state = spark.read.schema(BASELINE_STATE).parquet(f"{root}/state/batch={number - 1}")
+        else:
+            state = spark.createDataFrame([], BASELINE_STATE)
+        rows = batch.select("run", F.col("step").cast("bigint"), F.col("reward").cast("double"))
+        fresh = attach(rows.groupBy("run", "step").agg(F.min("reward").alias("reward")), state, ["run"])
+        fresh = fresh.where(F.col("step") > F.coalesce("last", F.lit(-1))).withColumnRenamed("baseline", "__start")
+        placed = add_positions(fresh, ["run"], [F.floor(F.col("step") / CHUNK)], [F.col("step")], "__pos")
+        carried = F.coalesce("__start", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__pos"))
+        out = decayed_baseline(placed, ["run"], "__pos", F.col("reward"), keep).withColumn("baseline", F.col("baseline") + carried)
+        done = out.select("run", "step", "reward", "baseline", (F.col("reward") - F.col("baseline")).alias("advantage"))
+        done.write.mode("overwrite").parquet(f"{root}/table/batch={number}")
+        written = spark.read.schema(BASELINE_TABLE).parquet(f"{root}/table/batch={number}")
+        after = keep * F.col("baseline") + (1.0 - keep) * F.col("reward")
+        new = written.groupBy("run").agg(F.max_by(after, "step").alias("baseline"), F.max("step").alias("last"))
+        new.unionByName(state.join(new, "run", "left_anti")).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    return steps.writeStream.foreachBatch(advance).option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def running_baseline(steps: DataFrame, keep: float = 0.9) -> DataFrame:
-    """Advantage of each step against its run's running baseline, on a stream with
-    columns run, step, reward."""
-    return steps.select("run", F.col("step").cast("bigint"), F.col("reward").cast("double")).groupBy("run").transformWithStateInPandas(
-        statefulProcessor=_Baseline(keep),
-        outputStructType="run string, step bigint, reward double, baseline double, advantage double",
-        outputMode="append",
-        timeMode="none",
-    )
+    """Run ``start_running_baseline`` over what is available now; returns its table."""
+    spark = steps.sparkSession
+    root = _run_folder(spark)
+    start_running_baseline(steps, root, keep).awaitTermination()
+    return spark.read.schema(BASELINE_TABLE).parquet(f"{root}/table/*")
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "append", on_progress: Callable[[dict], None] | None = None) -> DataFrame:
@@ -144,7 +152,7 @@ def drain(stream: DataFrame, mode: str = "append", on_progress: Callable[[dict],
     Table and checkpoint lie in the session's checkpoint folder.
     """
     spark = stream.sparkSession
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = _run_folder(spark)
     out, ckpt = f"{root}/table", f"{root}/checkpoint"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":

@@ -11,7 +11,7 @@ from sloframe.functions.binding import let_all
 
 # Patterns that decide which text counts as equal.
 SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
-ARTICLE = r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])"
+ARTICLE = r"(?=[at])(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 ANSWER_MARK = "####"

@@ -231,19 +231,28 @@ def exact_quantiles(
         F.percentile_approx("__v", edges, accuracy).alias("__e"),
     )
     tiny = F.col("__n") <= small
+
+    def bracket(i: int, lo: Column, hi: Column) -> Column:
+        """Quantile number (-1: one bracket for all) and its value range."""
+        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
+
     brackets = sketch.select(
         *by,
         "__n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.when(tiny | F.lit(p - margin <= 0), F.col("__min")).otherwise(F.col("__e")[2 * i]).alias("lo"),
-                    F.when(tiny | F.lit(p + margin >= 1), F.col("__max")).otherwise(F.col("__e")[2 * i + 1]).alias("hi"),
-                )
-                for i, p in enumerate(probs)
-            ]
-        ).alias("__br"),
+        F.when(tiny, F.array(bracket(-1, F.col("__min"), F.col("__max"))))
+        .otherwise(
+            F.array(
+                *[
+                    bracket(
+                        i,
+                        F.col("__min") if p - margin <= 0 else F.col("__e")[2 * i],
+                        F.col("__max") if p + margin >= 1 else F.col("__e")[2 * i + 1],
+                    )
+                    for i, p in enumerate(probs)
+                ]
+            )
+        )
+        .alias("__br"),
     )
     wanted = F.explode(
         F.expr(
@@ -269,7 +278,8 @@ def exact_quantiles(
         lo, hi, frac = _ranks(rule, p, F.col("__n"))
 
         def pick(rank: Column, i: int = i) -> Column:
-            here = (F.col("__i") == i) & (F.col("__cum") - F.col("__c") <= rank) & (rank < F.col("__cum"))
+            mine = F.col("__i").isin(i, -1)
+            here = mine & (F.col("__cum") - F.col("__c") <= rank) & (rank < F.col("__cum"))
             return F.max(F.when(here & F.col("__v").isNotNull(), F.col("__v")))
 
         aggs += [pick(lo).alias(f"__l{i}"), pick(hi).alias(f"__h{i}"), F.max(frac).alias(f"__f{i}")]
@@ -285,6 +295,16 @@ def exact_quantiles(
     return guarded.select(*[F.when(F.col("__any") > 0, o).alias(n) for n, o in zip(quantiles, outs)])
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row.
+
+    A scan with fewer partitions than the cluster has cores (a few small files) is
+    redistributed; a scan of many files already has enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spread_counts(df: DataFrame, count: Column, name: str = "draw", block: int = CHUNK) -> DataFrame:
     """One row per number 0..count-1 for each input row, made in two steps so that
     no row builds an array longer than ``count / block`` or ``block``."""

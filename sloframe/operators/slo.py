@@ -186,7 +186,9 @@ def suite_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def metric_means(df: DataFrame, by: Sequence[str], metrics: str = "metrics") -> DataFrame:
     """Long form: mean of each metric over the records that have it."""
     return (
-        df.select(*by, F.explode(metrics).alias("metric", "__value"))
+        # The outer form keeps Spark from testing the map for emptiness first, which
+        # would compute every score twice; absent metrics are dropped right after.
+        df.select(*by, F.explode_outer(metrics).alias("metric", "__value"))
         .where(F.col("__value").isNotNull())
         .groupBy(*by, "metric")
         .agg(F.avg("__value").alias("mean"), F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sloframe.functions import contract, jsonops, score
 from sloframe.operators import slo
 from sloframe.plans.registry import query, rounded
-from sloframe.plans.views import EPISODES_SQL, episodes, table
+from sloframe.plans.views import EPISODES_SQL, episodes, table, wide
 
 
 def _json(**parts):
@@ -31,7 +31,7 @@ RANGE_CONTRACT = {
 
 
 def _outputs(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     case, k = F.col("event_id") % 8, F.col("k").cast("string")
     raw = (
         F.when(case <= 2, F.col("output_json"))
@@ -82,7 +82,7 @@ TOOL_CONTRACT = {
     count(*) AS n, count(*) FILTER (WHERE c IN (0, 1, 8)) AS n_valid FROM r GROUP BY 1, 2""",
 )
 def contract_tool_calls(spark, d):
-    li = table(spark, d, "lineitem")
+    li = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
     case = F.col("l_orderkey") % 9
     status, line = _str(F.col("l_linestatus")), F.col("l_linenumber")
     both = _json(status=status, line=line)
@@ -105,7 +105,7 @@ SCORED_SQL = """scored AS (SELECT event_id, event_type, k, 't' || (event_id % 6
 
 def scored_records(spark, d):
     """One record of each task type in turn, with gold and output as JSON text."""
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k, name = F.col("k"), F.col("task")
     odd, third = k % 2 == 1, k % 3 == 0
     lit = F.lit
@@ -176,13 +176,14 @@ def task_scores(spark, d):
   FROM lineitem GROUP BY 1, 2""",
 )
 def tool_call_match(spark, d):
-    li = table(spark, d, "lineitem")
+    li = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
     gold = _json(tool=_str(F.col("l_returnflag")), arguments=_json(status=_str(F.col("l_linestatus")), line=F.col("l_linenumber")))
     shifted = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0)
     tool = F.when(F.col("l_orderkey") % 11 == 0, F.lit("X")).otherwise(F.lower("l_returnflag"))
     pred = _json(tool=_str(tool), arguments=_json(line=shifted, status=_str(F.col("l_linestatus")), note=F.lit("null")))
-    s = score.tool_scores(jsonops.parse_strict(pred), jsonops.parse_strict(gold))
-    out = li.select("l_returnflag", "l_suppkey", s["t3_tool_match"].alias("m"), s["t3_success"].alias("s"))
+    parsed = li.select("l_returnflag", "l_suppkey", jsonops.parse_strict(pred).alias("pred"), jsonops.parse_strict(gold).alias("gold"))
+    s = score.tool_scores(F.col("pred"), F.col("gold"))
+    out = parsed.select("l_returnflag", "l_suppkey", s["t3_tool_match"].alias("m"), s["t3_success"].alias("s"))
     return out.groupBy("l_returnflag", "l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum("m").cast("bigint").alias("tool_match"), F.sum("s").cast("bigint").alias("success")
     )
@@ -215,7 +216,7 @@ FIELDS = ["name", "tags", "cfg", "n", "gone", "note"]
     (SELECT round(avg((1 + CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT) + CAST(k % 5 = 0 AS INT) + CAST(k % 7 <> 0 AS INT)) / 6.0::DOUBLE), 6) FROM e) AS overall FROM f GROUP BY field""",
 )
 def field_breakdown(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k = F.col("k")
     gold = _json(name=_str(F.col("task")), tags=F.lit('["a", "b"]'), cfg=F.lit('{"x": 1, "y": [1]}'), n=k, gone=F.lit("null"), note=F.lit('"here"'))
     pred = _json(
@@ -225,7 +226,7 @@ def field_breakdown(spark, d):
         n=F.when(k % 7 == 0, k + 1).otherwise(k),
     )
     b = score.field_breakdown(jsonops.parse_strict(pred), jsonops.parse_strict(gold), FIELDS)
-    rows = e.select(b.alias("b")).select(score.breakdown_accuracy(F.col("b")).alias("overall"), F.explode("b").alias("f"))
+    rows = e.select(b.alias("b")).select(score.breakdown_accuracy(F.col("b")).alias("overall"), F.explode_outer("b").alias("f"))
     out = rows.groupBy("f.field").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("f.match").alias("n_match"), F.avg("f.similarity").alias("similarity"), F.avg("overall").alias("overall")
     )
@@ -240,7 +241,7 @@ def field_breakdown(spark, d):
     CAST(k % 7 <> 0 AS INT)::DOUBLE AS tool_match, 1.0::DOUBLE AS toolseq_match, CAST(k % 2 = 0 AS INT)::DOUBLE AS safety_match FROM e""",
 )
 def gold_scores(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k = F.col("k")
     third = k % 3 == 0
     gold = _json(bullets=F.lit('["one two three"]'), risk_score=k, steps=F.lit('["classify_intent"]'), tool=F.lit('"T"'), inputs=_json(a=k), decision=_str(F.col("task")))
@@ -327,7 +328,7 @@ def correctness_rules(spark, d):
   SELECT event_type, count(*) AS n, count(*) FILTER (WHERE CASE event_id % 4 WHEN 0 THEN k % 2 = 0 WHEN 1 THEN k % 3 = 0 WHEN 2 THEN k % 5 = 0 ELSE false END) AS correct FROM e GROUP BY 1""",
 )
 def first_present_correct(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     case, k = F.col("event_id") % 4, F.col("k")
     metrics = F.map_filter(
         F.create_map(
@@ -349,7 +350,7 @@ def first_present_correct(spark, d):
     " round(r_stability, 6) AS r_stability, round(r_faithfulness, 6) AS r_faithfulness, r_schema, r_success FROM r",
 )
 def composite_reward(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     parts = score.reward_parts(
         F.col("schema_valid"), F.col("task_correct"), F.col("latency_ms"), F.col("tokens_out"), 0.1, 0.05,
         (F.col("k") % 10) / 10.0, 0.2, F.col("faithfulness"), 0.5,
@@ -365,7 +366,7 @@ def composite_reward(spark, d):
     round(CASE event_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE m END, 6) AS mean_support, event_id % 10 <> 0 AS parsed FROM s""",
 )
 def judge_rollup(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k = F.col("k")
     st = lambda s, c: _json(support_score_0_to_3=s, contradiction=c)
     listed = F.concat(
@@ -408,7 +409,7 @@ def attempt_rollup(spark, d):
 def flatten_episodes(spark, d):
     from sloframe.operators import attempts
 
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     nested = e.select(
         "event_id",
         "model",

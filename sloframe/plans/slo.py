@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sloframe.operators import ranking, slo
 from sloframe.operators.ordered import exact_quantiles
 from sloframe.plans.registry import query, rounded
-from sloframe.plans.views import EPISODES_SQL, TIERS_SQL, episodes
+from sloframe.plans.views import EPISODES_SQL, TIERS_SQL, episodes, wide
 
 TASKS = ["click", "error", "purchase", "signup", "view"]
 
@@ -401,5 +401,5 @@ def bootstrap_spearman(spark, d):
   FROM o JOIN (SELECT task, count(*) AS n, avg(v) AS mean FROM base GROUP BY task) b USING (task) GROUP BY task, b.n, b.mean""",
 )
 def bootstrap_mean_ci(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("task"), "event_id", "value")
+    e = wide(spark, d, "events", "event_type", "event_id", "value").withColumnRenamed("event_type", "task")
     return rounded(ranking.bootstrap_mean(e, ["task"], F.col("event_id"), "value", resamples=64))

@@ -8,7 +8,7 @@ from sloframe.functions import jsonops, text
 from sloframe.operators.bags import qa_scores
 from sloframe.operators.joins import lookup
 from sloframe.plans.registry import query, rounded
-from sloframe.plans.views import EPISODES_SQL, MODEL_DIM_SQL, episodes, model_dim, table
+from sloframe.plans.views import EPISODES_SQL, MODEL_DIM_SQL, episodes, model_dim, table, wide
 
 SPACE_SQL = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
 _ART = r"(^|[^\p{L}\p{N}_])(?:a|an|the)([^\p{L}\p{N}_]|$)"
@@ -33,7 +33,7 @@ PAIRS_SQL = "pairs AS (SELECT d.doc_id, d.text AS pred, b.text AS gold FROM docu
 
 
 def pairs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("pred"), (F.col("doc_id") % 40).alias("item_id"))
+    docs = wide(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("pred"), (F.col("doc_id") % 40).alias("item_id"))
     gold = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
     return docs.join(gold, "item_id").select("doc_id", "pred", "gold")
 
@@ -62,7 +62,7 @@ def canonical_json(spark, d):
 
 @query("qa_normalize", f"SELECT doc_id, md5({qa_sql('text')}) AS normalized, md5({squeeze_sql('text')}) AS squeezed FROM documents")
 def qa_normalize(spark, d):
-    t = table(spark, d, "documents")
+    t = wide(spark, d, "documents", "doc_id", "text")
     return t.select("doc_id", F.md5(text.qa_normalize(F.col("text"))).alias("normalized"), F.md5(text.squeeze(F.col("text"))).alias("squeezed"))
 
 
@@ -111,7 +111,7 @@ def set_f1(spark, d):
     """SELECT event_id, CASE event_id % 6 WHEN 4 THEN '{}' WHEN 5 THEN '{"a": {"b": ' || json_extract_string(props, '$.k') || '}}' ELSE props END AS found FROM events""",
 )
 def extract_json(spark, d):
-    e = table(spark, d, "events")
+    e = wide(spark, d, "events")
     p = F.col("props")
     nested = F.concat(F.lit('{"a": {"b": '), F.get_json_object("props", "$.k"), F.lit("}}"))
     case = F.col("event_id") % 6

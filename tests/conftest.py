@@ -17,7 +17,7 @@ def spark():
         "tests",
         "local[8]",
         spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false",
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
         spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="sloframe-wh-"),
     )

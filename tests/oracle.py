@@ -79,7 +79,7 @@ def main(argv):
     if argv and argv[0].startswith("sf"):
         sf = argv.pop(0)
     d = f"/root/testdata/{sf}"
-    spark = get_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g",
+    spark = get_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g",
                         spark__sql__warehouse__dir="/tmp/sloframe-warehouse")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(d)

@@ -139,6 +139,7 @@ def test_sessions_match_native_windows(spark, rows):
 def test_running_baseline_stream_in_several_batches(spark, tmp_path):
     for part in range(3):
         write(f"{tmp_path}/in/{part}.json", [json.dumps({"run": "r", "step": part * 4 + i, "reward": float(i + part)}) for i in (3, 1, 0, 2)])
+        os.utime(f"{tmp_path}/in/{part}.json", (1_700_000_000 + part, 1_700_000_000 + part))
     stream = monitor.tail_logs(spark, f"{tmp_path}/in", "run string, step bigint, reward double", files_per_trigger=1)
     got = sorted((r["step"], r["reward"], r["baseline"]) for r in monitor.running_baseline(stream).collect())
     b = 0.0

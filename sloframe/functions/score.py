@@ -61,6 +61,12 @@ def summary_scores(pred: Column, gold: Column) -> dict[str, Column]:
     }
 
 
+def answer_scores(pred: Column, gold: Column) -> dict[str, Column]:
+    """Question answering: squeezed exact match and token-set F1 of ``answer``."""
+    p, g = (F.coalesce(text_of(field(v, "answer")), F.lit("")) for v in (pred, gold))
+    return {"t2_answer_match": _flag(squeeze(p) == squeeze(g)), "t2_answer_f1": set_f1(token_set(p), token_set(g))}
+
+
 def args_match(pred_args: Column, gold_args: Column) -> Column:
     """Every gold argument has the same text in the prediction; extra predicted
     arguments do not matter."""
@@ -197,9 +203,15 @@ def _compare_objects(g: Column, p: Column) -> Column:
 
 def field_breakdown(pred: Column, gold: Column, fields: Sequence[str]) -> Column:
     """Array of struct(field, match, similarity) over the contract's fields."""
-    row = lambda f, c: F.struct(F.lit(f).alias("field"), c["match"].alias("match"), c["similarity"].alias("similarity"))
-    both = {"g": gold, "p": pred}
-    return let_all(both, lambda s: F.array(*[let(compare_values(field(s["g"], f), field(s["p"], f)), lambda c, f=f: row(f, c)) for f in fields]))
+    names = F.array(*[F.lit(f) for f in fields]).cast("array<string>")
+    verdict = lambda name, c: F.struct(name.alias("field"), c["match"].alias("match"), c["similarity"].alias("similarity"))
+    at = F.try_element_at
+
+    def each(s: Column) -> Column:
+        # One comparison expression runs over the field names.
+        return F.transform(names, lambda name: let(compare_values(at(s["g"], name), at(s["p"], name)), lambda c: verdict(name, c)))
+
+    return let_all({"g": as_map(gold), "p": as_map(pred)}, each)
 
 
 def breakdown_accuracy(breakdown: Column) -> Column:
@@ -413,6 +425,11 @@ def judge_rollup(response: Column) -> Column:
     return let(parse_strict(response), doc_scores)
 
 
+def blended_faithfulness(judged: Column, overlap: Column) -> Column:
+    """The better of a judge's score and the token overlap; a missing one is ignored."""
+    return F.greatest(judged, overlap)
+
+
 def reward_parts(
     schema_ok: Column, success: Column, latency_ms: Column, tokens_out: Column,
     lam_latency: float, mu_cost: float, disagreement: Column | None = None, gamma: float = 0.0,

@@ -192,6 +192,13 @@ def size_bucket(size_b: Column, small: float = 3.0, medium: float = 7.0) -> Colu
     return F.when(size_b <= small, F.lit("small")).when(size_b <= medium, F.lit("medium")).otherwise(F.lit("large"))
 
 
+def first_user_text(turns: Column) -> Column:
+    """Content of the first user message of an array of struct(role, content); for
+    messages nested per turn pass ``F.flatten(turns)``. Empty text without one."""
+    said = F.filter(turns, lambda m: m["role"] == "user")
+    return F.coalesce(F.try_element_at(said, F.lit(1))["content"], F.lit(""))
+
+
 def function_docs(functions: Column) -> Column:
     """Prompt text from an array of struct(name, description, params map, required)."""
 

@@ -200,6 +200,31 @@ def function_call_match(spark, d):
     return r.select("event_id", s["t4_func_match"].alias("func_match"), s["t4_args_acc"].alias("args_acc"), s["t4_success"].alias("success"))
 
 
+@query(
+    "intent_and_answer_scores",
+    """WITH e AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+  SELECT event_type, round(avg((1 + CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT)) / 3.0::DOUBLE), 6) AS intent_field_acc, round(avg(CAST(k % 5 = 0 AS INT)), 6) AS answer_match,
+    round(avg(CASE WHEN k % 5 = 0 THEN 1 ELSE 0.8::DOUBLE END), 6) AS answer_f1, round(avg(greatest(k / 100.0::DOUBLE, 0.5::DOUBLE)), 6) AS faithfulness FROM e GROUP BY event_type""",
+)
+def intent_and_answer_scores(spark, d):
+    e = episodes(spark, d, heavy=True)
+    k = F.col("k")
+    gold = _json(intent=_str(F.col("task")), domain=_str(k % 7), is_oos=F.lit("true"), answer=F.lit('"one two"'))
+    pred = _json(
+        intent=_str(F.upper("task")), domain=_str(F.when(k % 2 == 0, k % 7).otherwise(8)), is_oos=F.when(k % 3 == 0, F.lit("true")).otherwise(F.lit("false")),
+        answer=F.when(k % 5 == 0, F.lit('"Two  one"')).otherwise(F.lit('"two three one"')),
+    )
+    both = e.select("task", "faithfulness", jsonops.parse_strict(pred).alias("pred"), jsonops.parse_strict(gold).alias("gold"))
+    answer = score.answer_scores(F.col("pred"), F.col("gold"))
+    out = both.select(
+        F.col("task").alias("event_type"), score.field_accuracy(F.col("pred"), F.col("gold"), score.INTENT_FIELDS).alias("a"),
+        (answer["t2_answer_f1"] == 1).cast("double").alias("m"), answer["t2_answer_f1"].alias("f"), score.blended_faithfulness(F.col("faithfulness"), F.lit(0.5)).alias("b"),
+    )
+    return rounded(
+        out.groupBy("event_type").agg(F.avg("a").alias("intent_field_acc"), F.avg("m").alias("answer_match"), F.avg("f").alias("answer_f1"), F.avg("b").alias("faithfulness"))
+    )
+
+
 FIELDS = ["name", "tags", "cfg", "n", "gone", "note"]
 
 

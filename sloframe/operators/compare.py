@@ -30,11 +30,12 @@ def proportion_test(df: DataFrame, by: Sequence[str], arm: str, treated: object,
     return out.select("*", F.col("__w.lower").alias("p1_lower"), F.col("__w.upper").alias("p1_upper"), (F.col("p_value") < level).alias("significant")).drop("__w")
 
 
-def ks_distance(df: DataFrame, by: Sequence[str], value: str, arm: str, treated: object, bins: int = 1024) -> DataFrame:
+def ks_distance(df: DataFrame, by: Sequence[str], value: str, arm: str, treated: object, bins: int = 128) -> DataFrame:
     """Largest gap between the two empirical distribution functions of each group.
 
-    Values are counted before any ordering; running counts go bin by bin between
-    the group's smallest and largest value, so no task sorts a whole group.
+    Values are counted before any ordering. Approximate quantiles of a group's
+    distinct values cut it into bins of about equal size whatever the outliers, and
+    running counts go bin by bin, so no task sorts a whole group.
     """
     by = list(by)
     hot = (F.col(arm) == treated).cast("bigint")
@@ -43,9 +44,11 @@ def ks_distance(df: DataFrame, by: Sequence[str], value: str, arm: str, treated:
         .groupBy(*by, F.col(value).alias("__v"))
         .agg(F.sum(hot).alias("__a"), F.sum(1 - hot).alias("__b"))
     )
-    facts = cells.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__a").alias("__na"), F.sum("__b").alias("__nb"))
-    width = F.col("__hi") - F.col("__lo")
-    bin_ = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    cuts = [i / bins for i in range(1, bins)]
+    facts = cells.groupBy(*by).agg(
+        F.percentile_approx("__v", cuts, 10_000).alias("__cuts"), F.sum("__a").alias("__na"), F.sum("__b").alias("__nb")
+    )
+    bin_ = F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))
     run = running_totals(attach(cells, facts, by), by, [bin_], [F.col("__v")], {"__ca": F.col("__a"), "__cb": F.col("__b")})
     gap = F.abs(F.col("__ca") / F.col("__na") - F.col("__cb") / F.col("__nb"))
     return run.groupBy(*by).agg(F.max("__na").alias("n1"), F.max("__nb").alias("n0"), F.max(gap).alias("ks"))

@@ -201,12 +201,13 @@ def forgetting_by_task(last: DataFrame, mixed: str = "Mixed") -> DataFrame:
 
 
 def forgetting_summary(matrix: DataFrame) -> DataFrame:
-    size = F.struct(F.abs("delta"), F.col("model"))
+    # Four digits decide who is worst and best; ties go to the first model name.
+    size = F.round(F.abs("delta"), 4)
     return matrix.agg(
         F.count(F.lit(1)).alias("n_models"),
         *[F.count_if(F.col("profile") == p).alias(p) for p in ("robust", "selective", "catastrophic")],
-        F.max_by("model", size).alias("worst_forgetter"),
-        F.min_by("model", size).alias("best_retainer"),
+        F.min_by("model", F.struct(-size, F.col("model"))).alias("worst_forgetter"),
+        F.min_by("model", F.struct(size, F.col("model"))).alias("best_retainer"),
         F.avg("delta").alias("avg_delta"),
     ).withColumn("trend", F.when(F.col("avg_delta") < -0.03, "forgetting").when(F.col("avg_delta") > 0.03, "transfer").otherwise("mixed"))
 

@@ -17,14 +17,6 @@ from pyspark.sql import functions as F
 CHUNK = 65_536
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
-    cond = None
-    for key in keys:
-        term = left[key].eqNullSafe(right[key])
-        cond = term if cond is None else cond & term
-    return cond
-
-
 def attach(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add one row of group facts to every row of ``df``.
 
@@ -36,12 +28,9 @@ def attach(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
         one = facts.select(F.struct(*new).alias("__one")).scalar()
         out = df.withColumn("__one", one)
         return out.select(*df.columns, *[F.col("__one")[c].alias(c) for c in new])
-    left, right = df.alias("l"), facts.alias("r")
-    cond = None
-    for key in by:
-        term = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-        cond = term if cond is None else cond & term
-    return left.join(right, cond, "left").select("l.*", *[F.col(f"r.{c}") for c in new])
+    # NULL keys are equal inside a struct, so such groups find their facts as well.
+    right = facts.select(F.struct(*by).alias("__key"), *new)
+    return df.withColumn("__key", F.struct(*by)).join(right, "__key", "left").drop("__key")
 
 
 def running_totals(
@@ -77,8 +66,10 @@ def running_totals(
             wider = cells.groupBy(*parent, level).agg(*[F.sum(f"__s_{t}").alias(f"__s_{t}") for t in totals])
             carried = attach(carried, wider.select(*parent, level, *offsets), [*parent, level])
     summed = carried.select(*by, *names, *[sum(parts[t], F.lit(0)).alias(f"__off_{t}") for t in totals])
-    local = Window.partitionBy(*by, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = attach(keyed, summed, [*by, *names])
+    # One struct key serves the join and the window: the rows are shuffled once.
+    offsets_by_cell = summed.select(F.struct(*by, *names).alias("__cell"), *[f"__off_{t}" for t in totals])
+    inside = keyed.withColumn("__cell", F.struct(*by, *names)).join(offsets_by_cell, "__cell", "left")
+    local = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return inside.select(
         *df.columns,
         *[(F.sum(c).over(local) + F.col(f"__off_{t}")).alias(t) for t, c in totals.items()],
@@ -151,9 +142,10 @@ def decayed_baseline(
     chunk = max(1, math.floor(92.0 / -math.log(keep)))
     cell = F.floor(F.col(pos) / chunk)
     local = F.col(pos) % chunk
-    base = df.withColumn("__c", cell).withColumn("__i", local)
+    # One struct key serves the window and the join: the rows are shuffled once.
+    base = df.withColumn("__c", cell).withColumn("__i", local).withColumn("__cell", F.struct(*by, "__c"))
     gain = F.lit(1.0 - keep)
-    w = Window.partitionBy(*by, "__c").orderBy(pos)
+    w = Window.partitionBy("__cell").orderBy(pos)
     before = F.sum(value * F.pow(F.lit(1.0 / keep), F.col("__i"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     inner = base.withColumn("__in", F.coalesce(gain * before * F.pow(F.lit(keep), F.col("__i") - 1), F.lit(0.0)))
     ends = (
@@ -163,12 +155,11 @@ def decayed_baseline(
             F.max("__i").alias("__last"),
         )
         .select(
-            *by,
-            (F.col("__c") + 1).alias("__c"),
+            F.struct(*by, (F.col("__c") + 1).alias("__c")).alias("__cell"),
             (gain * F.col("__w") * F.pow(F.lit(keep), F.col("__last"))).alias("__end"),
         )
     )
-    joined = attach(inner, ends, [*by, "__c"])
+    joined = inner.join(ends, "__cell", "left")
     carried = F.coalesce(F.col("__end"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("__i"))
     return joined.withColumn(name, F.col("__in") + carried).select(*df.columns, name)
 

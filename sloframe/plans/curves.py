@@ -142,7 +142,7 @@ def forgetting_by_task(spark, d):
 @query(
     "forgetting_summary",
     f"{H}, {_FORGET} SELECT count(*) AS n_models, count(*) FILTER (WHERE profile = 'robust') AS robust, count(*) FILTER (WHERE profile = 'selective') AS selective, count(*) FILTER (WHERE profile = 'catastrophic') AS catastrophic,"
-    " (SELECT model FROM g ORDER BY abs(delta) DESC, model DESC LIMIT 1) AS worst_forgetter, (SELECT model FROM g ORDER BY abs(delta), model LIMIT 1) AS best_retainer, round(avg(delta), 6) AS avg_delta,"
+    " (SELECT model FROM g ORDER BY round(abs(delta), 4) DESC, model LIMIT 1) AS worst_forgetter, (SELECT model FROM g ORDER BY round(abs(delta), 4), model LIMIT 1) AS best_retainer, round(avg(delta), 6) AS avg_delta,"
     " CASE WHEN avg(delta) < -0.03 THEN 'forgetting' WHEN avg(delta) > 0.03 THEN 'transfer' ELSE 'mixed' END AS trend FROM g",
 )
 def forgetting_summary(spark, d):

@@ -38,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession, local_only: bool = False) -> str
     A temporary folder is chosen only for a local master without that setting
     (tests); a cluster must name a shared folder itself.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if spark.sparkContext.master.startswith("local"):

@@ -164,7 +164,7 @@ def pred_gold_join(spark, d):
 
 @query(
     "positional_join",
-    """SELECT c.conv_id, c.turn, c.role, length(c.text) AS left_len, length(d.text) AS right_len FROM conversations c JOIN documents d ON d.doc_id % 500 = c.conv_id AND d.doc_id // 500 = c.turn""",
+    """SELECT c.conv_id, c.turn, c.role, CAST(length(c.text) AS INT) AS left_len, CAST(length(d.text) AS INT) AS right_len FROM conversations c JOIN documents d ON d.doc_id % 500 = c.conv_id AND d.doc_id // 500 = c.turn""",
 )
 def positional_join(spark, d):
     left, right = _two_logs(spark, d)

@@ -38,7 +38,7 @@ def _board(spark, d):
 @query(
     "slo_leaderboard",
     _HEAD + """SELECT model, tier, CAST(total AS BIGINT) AS total, round(accuracy_pct, 6) AS accuracy_pct, round(success_pct, 6) AS success_pct,
-    accuracy_rank, slo_rank, accuracy_place, slo_place, accuracy_rank - slo_rank AS rank_delta FROM board""",
+    accuracy_rank, slo_rank, CAST(accuracy_place AS INT) AS accuracy_place, CAST(slo_place AS INT) AS slo_place, accuracy_rank - slo_rank AS rank_delta FROM board""",
 )
 def slo_leaderboard(spark, d):
     return rounded(_board(spark, d))

@@ -174,7 +174,7 @@ def blocklist(spark, d):
 
 @query(
     "prompt_guard",
-    "SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) > 2000) AS too_long, sum(least(length(text), 2000)) AS kept_chars FROM documents GROUP BY source",
+    "SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) > 2000) AS too_long, CAST(sum(least(length(text), 2000)) AS BIGINT) AS kept_chars FROM documents GROUP BY source",
 )
 def prompt_guard(spark, d):
     g = text.guard_length(F.col("text"), 2000)

@@ -88,7 +88,7 @@ def steps_raw(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("id")).alias("at"),
         (F.col("o_totalprice") / 99991).alias("reward"),
         (F.col("o_orderstatus") == "F").cast("int").alias("json_valid"),
-        F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice") / 100).alias("latency_ms"),
+        F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice") / 99.991).alias("latency_ms"),
         F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey") % 512).alias("tokens_out"),
     )
 
@@ -114,6 +114,6 @@ STEPS_SQL = """steps AS (
       CASE WHEN o_custkey % 6 = 5 THEN 'Mixed' ELSE 'T' || (o_custkey % 6 + 1) END AS task,
       CAST(o_custkey % 198 // 66 AS INT) AS seed, o_orderdate AS day, o_orderkey AS id,
       o_totalprice / 99991 AS reward, CAST(o_orderstatus = 'F' AS INT) AS json_valid,
-      CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice / 100 END AS latency_ms,
+      CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice / 99.991::DOUBLE END AS latency_ms,
       CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 512 END AS tokens_out
     FROM orders))"""

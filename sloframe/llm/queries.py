@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sloframe.llm import bpe, lines, warc
+from sloframe.llm import bpe, lines, minhash, mixing, quality, search, warc
 from sloframe.llm.registry import Plan, table
 from sloframe.llm.sql import ORACLES
 
@@ -35,4 +35,29 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.ratio_model(docs, quality.trusted_sample(table(spark, sf_dir, "labels")))
+    out = quality.judge_documents(docs, model)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.search(search.build_index(docs), docs.filter("doc_id % 100 = 0"), k=10)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.calibrated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "kept")
+
+
 __all__ = ["ORACLES", "PLANS"]

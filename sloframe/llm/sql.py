@@ -3,6 +3,46 @@
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _raked(cycles: int = 8, exponent: float = 0.7) -> str:
+    """Raking written out step by step: each step has the weights of all cells."""
+    dims, steps, last = ("source", "lang", "topic"), [], "w0"
+    targets = ", ".join(
+        f"t_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {exponent}) / sum(pow(sum(tokens)::DOUBLE, {exponent})) OVER () AS target FROM cells GROUP BY {d})" for d in dims
+    )
+    for i in range(1, 3 * cycles + 1):
+        d = dims[(i - 1) % 3]
+        # The scale of all weights is of no account, so each step makes them sum to 1.
+        steps.append(f"w{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * target / sum(w) OVER (PARTITION BY {d}) AS w FROM {last} JOIN t_{d} USING ({d}))")
+        last = f"w{i}"
+    return f"""
+WITH words AS (
+    SELECT doc_id, unnest({WORDS}) AS word FROM documents
+), counted AS (
+    SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word
+), per_doc AS (
+    SELECT doc_id, sum(n) AS tokens, arg_min(word, (-n, word)) FILTER (length(word) >= 5) AS best FROM counted GROUP BY doc_id
+), described AS (
+    SELECT d.doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(tokens, 0)::BIGINT AS tokens,
+           't' || CASE WHEN best IS NULL THEN 0 ELSE (instr('0123456789abcdef', substr(md5(best), 1, 1)) - 1) % 8 END AS topic
+    FROM documents d LEFT JOIN per_doc USING (doc_id)
+), cells AS (
+    SELECT source, lang, topic, sum(tokens) AS tokens FROM described GROUP BY ALL HAVING sum(tokens) > 0
+), {targets}, w0 AS (SELECT *, tokens::DOUBLE AS w FROM cells), {", ".join(steps)},
+ratios AS (
+    SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM {last}
+), chances AS (
+    SELECT doc_id, source, lang, topic, tokens, CASE WHEN tokens > 0 THEN coalesce(p, 0) ELSE 0 END::DOUBLE AS p
+    FROM described LEFT JOIN ratios USING (source, lang, topic)
+)
+SELECT doc_id, source, lang, topic, tokens, round(p, 9) AS probability,
+       ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < p AS kept
+FROM chances
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
 WITH lines AS (
@@ -30,4 +70,47 @@ SELECT page_id, payload_bytes, payloads.payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM payloads LEFT JOIN firsts USING (payload_digest)
 """,
+    "op7_minhash": f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, {WORDS} AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (
+    SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (
+    SELECT x, min(y) AS m FROM reach GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON x = doc_id
+""",
+    "op9_top_k": f"""
+WITH words AS (
+    SELECT doc_id, unnest({WORDS}) AS w FROM documents
+), tf AS (
+    SELECT doc_id, w, count(*) AS tf FROM words GROUP BY ALL
+), lens AS (
+    SELECT doc_id, len({WORDS}) AS n FROM documents
+), total AS (
+    SELECT count(*)::DOUBLE AS docs, sum(n) / count(*) AS mean FROM lens
+), df AS (
+    SELECT w, count(*) AS df FROM tf GROUP BY w
+), scores AS (
+    SELECT q.doc_id AS query_id, d.doc_id,
+           sum(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * n / mean))) * 1e9)::BIGINT) AS units
+    FROM tf q JOIN df USING (w) JOIN tf d USING (w) JOIN lens ON lens.doc_id = d.doc_id CROSS JOIN total
+    WHERE q.doc_id % 100 = 0 GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank FROM scores
+)
+SELECT query_id, rank, doc_id, round(units / 1e9, 6) AS score FROM ranked WHERE rank <= 10
+""",
+    "op10_mixing": _raked(),
 }

@@ -21,6 +21,7 @@ BUCKETS = 1 << 16
 SCALE = 1 << 20  # ratios are kept as whole multiples of 1 / SCALE, so sums are exact
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
+THRESHOLD = -0.4  # nats per n-gram
 
 _is_symbol = np.zeros(256, bool)
 _is_symbol[list(SYMBOLS)] = True
@@ -141,13 +142,13 @@ def _measure(s: Slice, model: RatioModel, threshold: float) -> dict[str, np.ndar
 COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "score": "double", "base_failed": "boolean", "kept": "boolean"}
 
 
-def judge_documents(docs: DataFrame, model: RatioModel, id: str = "doc_id", text: str = "text", threshold: float = 0.0) -> DataFrame:
+def judge_documents(docs: DataFrame, model: RatioModel, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: the id, the base counts, ``score``, ``base_failed`` and ``kept``.
 
     A text fails the base with fewer than 50 words, or if more than half of its words lie
     in 3-word windows it has twice. Else it is kept if its log-likelihood ratio per n-gram
-    is at least ``threshold`` (0: as likely in trusted text as in the corpus). Ratios are
-    whole numbers, so a verdict does not depend on how rows are batched. A null or empty
+    is at least ``threshold`` (0: as likely in trusted text as in the corpus; somewhat less
+    likely is let pass, for clean texts with odd words stay near 0). Ratios are whole numbers, so a verdict does not depend on how rows are batched. A null or empty
     text has no words and fails. Rows are independent; null and repeated ids are kept as
     they are; other columns are ignored.
     """
@@ -164,7 +165,7 @@ def judge_documents(docs: DataFrame, model: RatioModel, id: str = "doc_id", text
     return rows.mapInArrow(judge, f"id {rows.schema['id'].dataType.simpleString()}, {schema}").withColumnRenamed("id", id)
 
 
-def keep_documents(docs: DataFrame, model: RatioModel, text: str = "text", threshold: float = 0.0) -> DataFrame:
+def keep_documents(docs: DataFrame, model: RatioModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``judge_documents`` keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sloframe.llm import bpe, lines, minhash, mixing, quality, search, warc
+from sloframe.llm import bpe, brown, html, lines, minhash, mixing, quality, search, warc
 from sloframe.llm.registry import Plan, table
 from sloframe.llm.sql import ORACLES
 
@@ -29,6 +29,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract_main_text(pages, html.fit_extractor(pages))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
@@ -48,6 +54,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sloframe.llm import bpe, brown, html, lines, minhash, mixing, quality, search, warc
+from sloframe.llm import bpe, brown, html, lines, minhash, mixing, quality, search, suffix, warc
 from sloframe.llm.registry import Plan, table
 from sloframe.llm.sql import ORACLES
 
@@ -49,6 +49,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.kept_digest(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))

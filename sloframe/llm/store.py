@@ -32,3 +32,12 @@ def filesystem(path: str):
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose result is stored: it does so once
+    the driver has collected the garbage that refers to them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,7 +212,7 @@ def _hot(contexts: DataFrame, length: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(4)
-            sizes = column.cast(pa.large_binary()).value_lengths().to_numpy() if len(column) else np.zeros(0, np.int64)
+            sizes = pc.binary_length(column).to_numpy().astype(np.int64)
             for a in range(0, batch.num_rows, 2000):
                 n = sizes[a: a + 2000] - length + 1
                 bodies = column.slice(a, 2000).to_pylist()

@@ -172,6 +172,11 @@ def _shards(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            place = np.stack([rows.column(k).to_numpy() for k in (0, 2, 3)])
+            ids = rows.column(1).to_numpy()
+            new = np.ones(len(ids), bool)  # a row given twice is one context
+            new[1:] = (place[:, 1:] != place[:, :-1]).any(axis=0) | (ids[1:] != ids[:-1])
+            rows = rows.filter(pa.array(new))
             anchor = rows.column(0).to_numpy()
             if len(run_starts(anchor)) == len(anchor):
                 return
@@ -255,8 +260,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     bytes covers which also starts earlier: in a document of smaller id, or earlier in the
     same document. Strings are judged on the input, and no match crosses documents.
 
-    Rows that repeat an id are as early as each other: what one holds doesn't remove it
-    from the other. Rows without an id remove nothing elsewhere and lose only what they
+    Rows that repeat an id are one document given again, so one doesn't remove from the
+    other. Rows without an id remove nothing elsewhere and lose only what they
     repeat themselves. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession

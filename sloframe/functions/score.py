@@ -350,7 +350,8 @@ def _match_and_f1(pred: Column, gold: Column) -> Column:
 
 def gold_scores(pred: Column, gold: Column, prompt: Column | None = None) -> Column:
     """Struct of generic scores: em, f1, cite_acc, faithfulness (token F1 of
-    bullets), faithfulness_sem (token Jaccard), tool_match, toolseq_match, safety_match."""
+    bullets), faithfulness_sem (token Jaccard), tool_match, toolseq_match, safety_match.
+    The last three are NULL when gold has no tool, steps or decision to match."""
     bare = lambda x: F.regexp_replace(lower_trim(text_of(x)), r"^[\[\]]+|[\[\]]+$", "")
     cites = lambda v: F.array_distinct(F.transform(as_array(field(v, "citations")), bare))
     line = lambda x: F.coalesce(text_of(x), F.lit("none"))
@@ -381,6 +382,7 @@ def gold_scores(pred: Column, gold: Column, prompt: Column | None = None) -> Col
             canon = F.create_map(*[x for k, v in TOOL_SEQUENCES.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
             named = F.try_element_at(canon, F.regexp_extract(prompt, TASK_MARK, 1))
             mine = let(mine, lambda m: F.when(F.size(m) == 0, F.coalesce(named, m)).otherwise(m))
+        has = lambda f: field(g, f).isNotNull()
         same = lambda f: text_of(field(p, f)).eqNullSafe(text_of(field(g, f)))
         return let_all(
             {"m": _match_and_f1(p, g), "f": F.when(bullets, faith)},
@@ -390,9 +392,9 @@ def gold_scores(pred: Column, gold: Column, prompt: Column | None = None) -> Col
                 F.when(is_array(field(p, "citations")), cite).otherwise(F.lit(0.0)).alias("cite_acc"),
                 F.coalesce(t["f"]["f1"], F.lit(0.0)).alias("faithfulness"),
                 F.coalesce(t["f"]["sem"], F.lit(0.0)).alias("faithfulness_sem"),
-                _flag((low(field(g, "tool")) == low(field(p, "tool"))) & inputs_ok).alias("tool_match"),
-                _flag(steps(g) == mine).alias("toolseq_match"),
-                _flag(same("decision") & same("risk_score")).alias("safety_match"),
+                F.when(has("tool"), _flag((low(field(g, "tool")) == low(field(p, "tool"))) & inputs_ok)).alias("tool_match"),
+                F.when(is_array(field(g, "steps")), _flag(steps(g) == mine)).alias("toolseq_match"),
+                F.when(has("decision"), _flag(same("decision") & same("risk_score"))).alias("safety_match"),
             ),
         )
 

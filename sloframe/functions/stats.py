@@ -54,6 +54,8 @@ def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Co
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> Column:
     """Struct(lower, upper) of the Wilson score interval."""
+    # No rows give NULL, not a failing division.
+    n = F.when(n > 0, n)
     p = successes / n
     denom = 1.0 + z * z / n
     centre = (p + z * z / (2 * n)) / denom
@@ -66,6 +68,7 @@ def cohens_h(p1: Column, p2: Column) -> Column:
 
 
 def two_proportion_z(s1: Column, n1: Column, s2: Column, n2: Column) -> Column:
+    n1, n2 = F.when(n1 > 0, n1), F.when(n2 > 0, n2)
     pooled = (s1 + s2) / (n1 + n2)
     se = F.sqrt(pooled * (1 - pooled) * (1.0 / n1 + 1.0 / n2))
-    return F.when(se > 0, (s1 / n1 - s2 / n2) / se).otherwise(F.lit(0.0))
+    return F.when(se > 0, (s1 / n1 - s2 / n2) / se).when(se.isNotNull(), F.lit(0.0))

@@ -122,12 +122,13 @@ def question_and_context(prompt: Column, question_mark: str = "Question:", conte
 
 
 def blocklist_hit(texts: Sequence[Column], terms: Sequence[str]) -> Column:
-    """True when any term occurs, ignoring case, in any of the texts."""
+    """True when any term occurs, ignoring case, in any of the texts. Terms are stripped
+    and blank ones are skipped."""
     hay = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
     hit = F.lit(False)
-    for term in terms:
+    for term in [t.strip().lower() for t in terms if t.strip()]:
         for h in hay:
-            hit = hit | F.contains(h, F.lit(term.lower()))
+            hit = hit | F.contains(h, F.lit(term))
     return hit
 
 

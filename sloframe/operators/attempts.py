@@ -35,10 +35,11 @@ def mean_logprob(logprobs: Column) -> Column:
 
 def flatten_episode(df: DataFrame, columns: Sequence[str], metrics: Sequence[str], parsed: dict[str, tuple[str, str]], preview: int = 1000) -> DataFrame:
     """Wide rows: plain columns, one column per metric (NULL if absent), chosen
-    paths of the parsed output, and a preview of the raw output for display."""
+    paths of the parsed output, the raw output and its first ``preview`` characters."""
     return df.select(
         *columns,
         *[F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics],
         *[F.try_variant_get("parsed_output", path, kind).alias(name) for name, (path, kind) in parsed.items()],
-        F.substring("raw_output", 1, preview).alias("raw_output"),
+        "raw_output",
+        F.substring("raw_output", 1, preview).alias("raw_preview"),
     )

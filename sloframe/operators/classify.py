@@ -14,9 +14,13 @@ def confusion(df: DataFrame, by: Sequence[str], true: str, pred: str) -> DataFra
     return df.groupBy(*by, F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_scores(df: DataFrame, by: Sequence[str], true: str, pred: str, eps: float = 0.0) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 per label seen on either side."""
-    cells = confusion(df, by, true, pred)
+def label_scores(df: DataFrame, by: Sequence[str], true: str, pred: str, eps: float = 0.0, missing: object = None) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 per label seen on either side. Rows without a
+    true label are left out, and so are rows without a prediction unless ``missing`` names
+    the label that they get."""
+    if missing is not None:
+        df = df.withColumn(pred, F.coalesce(pred, F.lit(missing)))
+    cells = confusion(df.where(F.col(true).isNotNull() & F.col(pred).isNotNull()), by, true, pred)
     hit, n = F.col("true") == F.col("pred"), F.col("n")
     sides = F.when(hit, F.array(F.struct(F.col("true").alias("label"), n.alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("fn")))).otherwise(
         F.array(
@@ -39,12 +43,25 @@ def label_scores(df: DataFrame, by: Sequence[str], true: str, pred: str, eps: fl
     return with_pr.withColumn("f1", share(2 * p * r, p + r))
 
 
-def macro_f1(df: DataFrame, by: Sequence[str], true: str, pred: str, eps: float = 0.0) -> DataFrame:
-    return label_scores(df, by, true, pred, eps).groupBy(*by).agg(
+def macro_f1(df: DataFrame, by: Sequence[str], true: str, pred: str, eps: float = 0.0, missing: object = None) -> DataFrame:
+    return label_scores(df, by, true, pred, eps, missing).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_labels"), F.avg("f1").alias("macro_f1")
     )
 
 
+def unscored(df: DataFrame, by: Sequence[str], true: str, pred: str) -> DataFrame:
+    """Rows per group that label metrics leave out for want of a label or prediction."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(true).isNull() | F.col(pred).isNull()).alias("n_unscored"))
+
+
+def out_of_scope(df: DataFrame, by: Sequence[str], true: str, pred: str, label: str) -> DataFrame:
+    """Macro-F1 of the labels in scope, and accuracy on rows whose true label is ``label``."""
+    known = df.where(F.col(pred).isNotNull())
+    inside = macro_f1(known.where(F.col(true) != label), by, true, pred)
+    outside = accuracy(known.where(F.col(true) == label), by, true, pred, "oos_accuracy").withColumnRenamed("n", "n_oos")
+    return attach(inside, outside, by)
+
+
 def accuracy(df: DataFrame, by: Sequence[str], true: str, pred: str, name: str = "accuracy") -> DataFrame:
     same = F.coalesce(F.col(true) == F.col(pred), F.lit(False))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias(name))

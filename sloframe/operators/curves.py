@@ -145,13 +145,15 @@ def decompose_reward(runs: DataFrame, by: Sequence[str], lam: float = 0.1, mu: f
 
 
 def capacity(last: DataFrame, model: str = "model", task: str = "task", mixed: str = "Mixed") -> DataFrame:
-    """Final validity per model and per (model, task) over single-task runs; rows
-    with a NULL task are the model totals. Deviations are over the population."""
+    """Final validity per model and per (model, task) over single-task runs; ``total`` marks
+    the model totals, as a model or task may be NULL. Deviations are over the population."""
     return (
-        last.where(F.col(task) != mixed)
-        .rollup(model, task)
-        .agg(F.avg("validity").alias("mean_validity"), F.stddev_pop("validity").alias("std_validity"), F.count(F.lit(1)).alias("n"))
-        .where(F.col(model).isNotNull())
+        last.where(~F.col(task).eqNullSafe(F.lit(mixed)))
+        .groupingSets([[F.col(model), F.col(task)], [F.col(model)]], F.col(model), F.col(task))
+        .agg(
+            F.avg("validity").alias("mean_validity"), F.stddev_pop("validity").alias("std_validity"), F.count(F.lit(1)).alias("n"),
+            (F.grouping(task) == 1).alias("total"),
+        )
     )
 
 

@@ -13,9 +13,9 @@ FAILED = ("oom_failed", "error")
 
 
 def level_number(level: Column) -> Column:
-    """Place of a level name, NULL for an unknown one."""
+    """Place of a level name; an unknown or missing one counts as INFO."""
     place = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.upper(level))
-    return F.when(place > 0, place)
+    return F.when(place > 0, place).otherwise(LEVELS.index("INFO") + 1)
 
 
 def at_least_level(df: DataFrame, level: str, minimum: str) -> DataFrame:

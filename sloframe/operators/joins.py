@@ -11,15 +11,16 @@ from sloframe.functions.text import lower_trim
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """Last row per key, reduced map-side (no sort of a key's rows)."""
+    """Last row per key, reduced map-side (no sort of a key's rows). Rows without an order
+    value come before all others."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(*keys, "__r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order)).alias("__r")).select(*keys, "__r.*")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """First row per key."""
+    """First row per key; rows without an order value come first."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(*keys, "__r.*")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(order.isNotNull(), order)).alias("__r")).select(*keys, "__r.*")
 
 
 def pred_gold(pred: DataFrame, gold: DataFrame, key: str, order: Column) -> DataFrame:

@@ -133,12 +133,15 @@ def decayed_baseline(
     keep: float,
     name: str = "baseline",
 ) -> DataFrame:
-    """Value of b <- keep*b + (1-keep)*x from 0, as it stood *before* each row.
+    """Value of b <- keep*b + (1-keep)*x from 0, as it stood *before* each row; ``keep``
+    is between 0 and 1.
 
     Inside a chunk the recurrence is a weighted running sum. The chunk is as long
-    as the weights stay inside double range (keep**chunk ~ 1e-40); what an older
-    chunk than the previous one adds is below that and so below one rounding step.
+    as the weights stay inside double range (keep**chunk ~ 1e-40). Of earlier chunks,
+    all enter whose weight is not zero as a double.
     """
+    if not 0 < keep < 1:
+        raise ValueError("keep must lie between 0 and 1")
     chunk = max(1, math.floor(92.0 / -math.log(keep)))
     cell = F.floor(F.col(pos) / chunk)
     local = F.col(pos) % chunk
@@ -148,17 +151,15 @@ def decayed_baseline(
     w = Window.partitionBy("__cell").orderBy(pos)
     before = F.sum(value * F.pow(F.lit(1.0 / keep), F.col("__i"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     inner = base.withColumn("__in", F.coalesce(gain * before * F.pow(F.lit(keep), F.col("__i") - 1), F.lit(0.0)))
-    ends = (
-        base.groupBy(*by, "__c")
-        .agg(
-            F.sum(value * F.pow(F.lit(1.0 / keep), F.col("__i"))).alias("__w"),
-            F.max("__i").alias("__last"),
-        )
-        .select(
-            F.struct(*by, (F.col("__c") + 1).alias("__c")).alias("__cell"),
-            (gain * F.col("__w") * F.pow(F.lit(keep), F.col("__last"))).alias("__end"),
-        )
+    ends = base.groupBy(*by, "__c").agg(
+        F.sum(value * F.pow(F.lit(1.0 / keep), F.col("__i"))).alias("__w"),
+        F.max("__i").alias("__last"),
     )
+    end = gain * F.col("__w") * F.pow(F.lit(keep), F.col("__last"))
+    chunks = Window.partitionBy(*by).orderBy("__c")
+    weights = [keep ** (chunk * i) for i in range(64)]
+    carried = sum((F.coalesce(F.lag(end, i).over(chunks), F.lit(0.0)) * w for i, w in enumerate(weights) if w > 0 and i), end)
+    ends = ends.select(F.struct(*by, (F.col("__c") + 1).alias("__c")).alias("__cell"), carried.alias("__end"))
     joined = inner.join(ends, "__cell", "left")
     carried = F.coalesce(F.col("__end"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("__i"))
     return joined.withColumn(name, F.col("__in") + carried).select(*df.columns, name)
@@ -196,81 +197,64 @@ def exact_quantiles(
     value: Column,
     quantiles: dict[str, float],
     rule: str = "linear",
-    small: int = 2_000,
     margin: float = 0.002,
+    grid: int = 512,
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact order statistics per group, for groups of any size.
-
-    1. One mergeable sketch per group gives, for each quantile, a value bracket
-       around its rank (wider than the sketch's error) and the group size.
-    2. One pass counts rows under each bracket and keeps rows inside it, merged
-       by value before the shuffle. Groups of at most ``small`` rows keep all.
-    3. The bracket is cut into equal value bins; running counts per bin find the
-       wanted ranks, so no task sorts more than one bin.
-
-    A rank that falls outside its bracket raises instead of giving a wrong value.
+    """Exact order statistics per group, the same way for groups of any size.
+
+    1. One mergeable sketch per group gives its size and ``grid + 1`` edges at about
+       even ranks, the outer ones being the minimum and the maximum.
+    2. A quantile's bracket runs between the edges around its rank, widened by ``margin``
+       of the group and two rows, which is more than the sketch's error and what the
+       index rules differ by. One pass counts rows under each bracket and keeps rows
+       inside it, merged by value before the shuffle.
+    3. The bracket is cut at its own edges; running counts per bin find the wanted ranks,
+       so no task sorts more than one bin, whatever the outliers.
+
+    The sketch's error is at most 1 / ``accuracy`` of a group, so a rank cannot leave its
+    bracket; if it ever did, the query would fail rather than give a wrong value.
     """
     by = list(by)
     base = df.select(*by, value.cast("double").alias("__v")).where("__v is not null")
     probs = list(quantiles.values())
-    edges = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
-        F.percentile_approx("__v", edges, accuracy).alias("__e"),
-    )
-    tiny = F.col("__n") <= small
-
-    def bracket(i: int, lo: Column, hi: Column) -> Column:
-        """Quantile number (-1: one bracket for all) and its value range."""
-        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
-
-    brackets = sketch.select(
-        *by,
-        "__n",
-        F.when(tiny, F.array(bracket(-1, F.col("__min"), F.col("__max"))))
-        .otherwise(
-            F.array(
-                *[
-                    bracket(
-                        i,
-                        F.col("__min") if p - margin <= 0 else F.col("__e")[2 * i],
-                        F.col("__max") if p + margin >= 1 else F.col("__e")[2 * i + 1],
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        )
-        .alias("__br"),
+        F.percentile_approx("__v", [i / grid for i in range(1, grid)], accuracy).alias("__g"),
     )
+    edges = sketch.select(*by, "__n", F.concat(F.array("__min"), "__g", F.array("__max")).alias("__e"))
+
+    def bracket(i: int, p: float) -> Column:
+        """Quantile number and the sketch's edges from below to above its rank."""
+        slack = F.lit(margin) + 2.0 / F.col("__n")
+        low = F.greatest(F.floor((F.lit(p) - slack) * grid), F.lit(0)).cast("int")
+        high = F.least(F.ceil((F.lit(p) + slack) * grid), F.lit(grid)).cast("int")
+        return F.struct(F.lit(i).alias("i"), F.slice("__e", low + 1, high - low + 1).alias("cuts"))
+
+    brackets = edges.select(*by, "__n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("__br"))
+    # Rows under the bracket form bin -1, so they enter the running count first.
     wanted = F.explode(
         F.expr(
-            "transform(filter(__br, b -> __v <= b.hi), b -> named_struct('i', b.i, 'lo', b.lo, 'hi', b.hi,"
-            " 'v', if(__v < b.lo, cast(null as double), __v)))"
+            "transform(filter(__br, b -> __v <= element_at(b.cuts, -1)), b -> named_struct('i', b.i,"
+            " 'bin', if(__v < b.cuts[0], -1, size(filter(b.cuts, c -> c <= __v))), 'v', if(__v < b.cuts[0], cast(null as double), __v)))"
         )
     )
     cells = (
         attach(base, brackets, by)
         .select(*by, "__n", wanted.alias("__w"))
-        .select(*by, "__n", F.col("__w.i").alias("__i"), F.col("__w.lo").alias("__lo"), F.col("__w.hi").alias("__hi"), F.col("__w.v").alias("__v"))
-        .groupBy(*by, "__n", "__i", "__lo", "__hi", "__v")
+        .select(*by, "__n", F.col("__w.i").alias("__i"), F.col("__w.bin").alias("__bin"), F.col("__w.v").alias("__v"))
+        .groupBy(*by, "__n", "__i", "__bin", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    # Rows under the bracket form bin -1, so they enter the running count first.
-    width = F.col("__hi") - F.col("__lo")
-    bin_ = F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(
-        F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * 1024), F.lit(1023))).otherwise(F.lit(0))
-    )
-    located = running_totals(cells, [*by, "__i"], [bin_.cast("int")], [F.col("__v")], {"__cum": F.col("__c")})
+    located = running_totals(cells, [*by, "__i"], [F.col("__bin")], [F.col("__v")], {"__cum": F.col("__c")})
     aggs, outs = [], []
     for i, (name, p) in enumerate(quantiles.items()):
         lo, hi, frac = _ranks(rule, p, F.col("__n"))
 
         def pick(rank: Column, i: int = i) -> Column:
-            mine = F.col("__i").isin(i, -1)
-            here = mine & (F.col("__cum") - F.col("__c") <= rank) & (rank < F.col("__cum"))
+            here = (F.col("__i") == i) & (F.col("__cum") - F.col("__c") <= rank) & (rank < F.col("__cum"))
             return F.max(F.when(here & F.col("__v").isNotNull(), F.col("__v")))
 
         aggs += [pick(lo).alias(f"__l{i}"), pick(hi).alias(f"__h{i}"), F.max(frac).alias(f"__f{i}")]
@@ -286,16 +270,6 @@ def exact_quantiles(
     return guarded.select(*[F.when(F.col("__any") > 0, o).alias(n) for n, o in zip(quantiles, outs)])
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row.
-
-    A scan with fewer partitions than the cluster has cores (a few small files) is
-    redistributed; a scan of many files already has enough and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def spread_counts(df: DataFrame, count: Column, name: str = "draw", block: int = CHUNK) -> DataFrame:
     """One row per number 0..count-1 for each input row, made in two steps so that
     no row builds an array longer than ``count / block`` or ``block``."""

@@ -47,13 +47,18 @@ def leave_group_out(df: DataFrame, group: str, groups: Sequence[str] | None = No
     """Out-of-group predictions: one distributed fit per group.
 
     ``groups`` are few (model families); when not given they are read from the
-    run-grain table. A training side with one class predicts that class.
+    run-grain table. A training side with one class predicts that class. A group whose
+    training side is empty, as when there is only one, has no prediction. A NULL group
+    is a group.
     """
     rows = _assembled(df, features)
     names = list(groups) if groups is not None else [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
     out = None
     for name in names:
-        held, train = rows.where(F.col(group) == name), rows.where(F.col(group) != name)
+        mine = F.col(group).eqNullSafe(F.lit(name))
+        held, train = rows.where(mine), rows.where(~mine)
+        if len(names) < 2:
+            return held.drop("features").withColumn("prediction", F.lit(None).cast("double"))
         predicted = _fit(train).transform(held).drop("features", "rawPrediction", "probability")
         out = predicted if out is None else out.unionByName(predicted)
     return out

@@ -146,9 +146,9 @@ def success_curve_table(df: DataFrame, by: Sequence[str], thresholds: DataFrame,
     column); only the distinct thresholds travel, as one array."""
     cuts = thresholds.agg(F.array_sort(F.collect_set(F.col("threshold_ms").cast("double"))).alias("cuts"))
     tagged = attach(df.select(*by, latency), cuts, [])
-    slots = tagged.groupBy(*by, "cuts", F.expr(f"size(filter(cuts, t -> t < {latency}))").alias("__slot")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
+    # A row without latency is never on time: its slot lies past the last threshold.
+    slot = F.expr(f"if({latency} is null, size(cuts), size(filter(cuts, t -> t < {latency})))")
+    slots = attach(tagged.groupBy(*by, slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__n")), cuts, [])
     return (
         slots.select(*by, "__slot", "__n", F.posexplode("cuts").alias("__i", "threshold_ms"))
         .groupBy(*by, "threshold_ms")
@@ -308,9 +308,13 @@ def extrapolate_tiers(df: DataFrame) -> DataFrame:
     return est.select(*keys, F.explode(rows).alias("__t")).select(*keys, "__t.*")
 
 
-def completion_matrix(df: DataFrame, model: str, task: str, tasks: Sequence[str]) -> DataFrame:
-    """Wide count per model x task with the number and share of tasks present."""
+def completion_matrix(df: DataFrame, model: str, task: str, tasks: Sequence[str], models: DataFrame | None = None) -> DataFrame:
+    """Wide count per model x task with the number and share of tasks present. ``models``
+    lists the models to expect (a column named as ``model``); those that never ran have
+    zeros."""
     wide = df.groupBy(model).pivot(task, list(tasks)).agg(F.count(F.lit(1)))
+    if models is not None:
+        wide = models.select(model).distinct().join(wide, model, "left")
     done = sum((F.coalesce(F.col(f"`{t}`"), F.lit(0)) > 0).cast("int") for t in tasks)
     return wide.select(
         model,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sloframe.functions import jsonops
 from sloframe.operators import classify, joins, stability
+from sloframe.operators.ordered import attach
 from sloframe.plans.registry import query, rounded
 from sloframe.plans.views import episodes, table
 
@@ -69,18 +70,18 @@ def first_valid_vote(spark, d):
     return stability.majority_vote(replicates(spark, d), ["prompt_id"], F.col("canon"), F.col("valid"), F.col("event_id"), "first_valid").drop("votes")
 
 
-PREDICTED_SQL = """predicted AS (SELECT 'm' || (user_id % 13) AS model, event_id, event_type AS y, CASE WHEN k % 4 = 0 THEN 'view' WHEN k % 7 = 0 THEN 'other' ELSE event_type END AS yp
+PREDICTED_SQL = """predicted AS (SELECT 'm' || (user_id % 13) AS model, event_id, event_type AS y, CASE WHEN event_id % 29 = 0 THEN NULL WHEN k % 4 = 0 THEN 'view' WHEN k % 7 = 0 THEN 'other' ELSE event_type END AS yp
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
 def predicted(spark, d):
     k = F.col("k")
     return episodes(spark, d).select(
-        "model", "event_id", F.col("task").alias("y"), F.when(k % 4 == 0, "view").when(k % 7 == 0, "other").otherwise(F.col("task")).alias("yp")
+        "model", "event_id", F.col("task").alias("y"), F.when(F.col("event_id") % 29 == 0, None).when(k % 4 == 0, "view").when(k % 7 == 0, "other").otherwise(F.col("task")).alias("yp")
     )
 
 
-_LABELS = """lab AS (SELECT DISTINCT model, y AS label FROM predicted UNION SELECT DISTINCT model, yp FROM predicted),
+_LABELS = """lab AS (SELECT DISTINCT model, y AS label FROM predicted WHERE yp IS NOT NULL UNION SELECT DISTINCT model, yp FROM predicted WHERE yp IS NOT NULL),
   s AS (SELECT l.model, l.label, count(*) FILTER (WHERE y = label AND yp = label) AS tp, count(*) FILTER (WHERE y <> label AND yp = label) AS fp,
     count(*) FILTER (WHERE y = label AND yp <> label) AS fn FROM lab l JOIN predicted p ON p.model = l.model GROUP BY l.model, l.label),
   pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM s),
@@ -100,6 +101,20 @@ def label_scores(spark, d):
     return rounded(classify.label_scores(predicted(spark, d), ["model"], "y", "yp"))
 
 
+@query("unscored_rows", f"WITH {PREDICTED_SQL} SELECT model, count(*) AS n, count(*) FILTER (WHERE yp IS NULL) AS n_unscored FROM predicted GROUP BY model")
+def unscored_rows(spark, d):
+    return classify.unscored(predicted(spark, d), ["model"], "y", "yp")
+
+
+@query(
+    "out_of_scope",
+    f"WITH all_{PREDICTED_SQL}, o AS (SELECT model, count(*) AS n_oos, round(avg(CAST(yp = y AS INT)), 6) AS oos_accuracy FROM all_predicted WHERE y = 'error' AND yp IS NOT NULL GROUP BY model), predicted AS (SELECT * FROM all_predicted WHERE y <> 'error'), "
+    f"{_LABELS} SELECT model, count(*) AS n_labels, round(avg(f1), 6) AS macro_f1, any_value(n_oos) AS n_oos, any_value(oos_accuracy) AS oos_accuracy FROM f JOIN o USING (model) GROUP BY model",
+)
+def out_of_scope(spark, d):
+    return rounded(classify.out_of_scope(predicted(spark, d), ["model"], "y", "yp", "error"))
+
+
 @query(
     "macro_f1_smoothed",
     """WITH p AS (SELECT quality AS y, CAST(n_chars > 800 AS INT) AS yp FROM labels JOIN documents USING (doc_id)),
@@ -164,7 +179,7 @@ def pred_gold_join(spark, d):
 
 @query(
     "positional_join",
-    """SELECT c.conv_id, c.turn, c.role, CAST(length(c.text) AS INT) AS left_len, CAST(length(d.text) AS INT) AS right_len FROM conversations c JOIN documents d ON d.doc_id % 500 = c.conv_id AND d.doc_id // 500 = c.turn""",
+    """SELECT c.conv_id, c.turn, c.role, CAST(length(c.text) AS INT) AS left_len, CAST(length(d.text) AS INT) AS right_len FROM conversations c, documents d, (SELECT max(conv_id) + 1 AS m FROM conversations) WHERE d.doc_id % m = c.conv_id AND d.doc_id // m = c.turn""",
 )
 def positional_join(spark, d):
     left, right = _two_logs(spark, d)
@@ -173,15 +188,16 @@ def positional_join(spark, d):
 
 def _two_logs(spark, d):
     left = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("left_len"))
-    right = table(spark, d, "documents").select(
-        (F.col("doc_id") % 500).alias("conv_id"), F.expr("doc_id div 500").alias("turn"), F.length("text").alias("right_len")
+    count = table(spark, d, "conversations").agg((F.max("conv_id") + 1).alias("m"))
+    right = attach(table(spark, d, "documents"), count, []).select(
+        (F.col("doc_id") % F.col("m")).alias("conv_id"), F.expr("doc_id div m").alias("turn"), F.length("text").alias("right_len")
     )
     return left, right
 
 
 @query(
     "length_mismatch",
-    """WITH a AS (SELECT conv_id, count(*) AS l FROM conversations GROUP BY 1), b AS (SELECT doc_id % 500 AS conv_id, count(*) AS r FROM documents GROUP BY 1)
+    """WITH a AS (SELECT conv_id, count(*) AS l FROM conversations GROUP BY 1), b AS (SELECT doc_id % m AS conv_id, count(*) AS r FROM documents, (SELECT max(conv_id) + 1 AS m FROM conversations) GROUP BY 1)
   SELECT conv_id, coalesce(l, 0) AS left_rows, coalesce(r, 0) AS right_rows FROM a FULL JOIN b USING (conv_id) WHERE coalesce(l, 0) <> coalesce(r, 0)""",
 )
 def length_mismatch(spark, d):

@@ -99,10 +99,10 @@ def _last(spark, d):
 
 @query(
     "capacity_curve",
-    f"{H}, {_LAST} SELECT model, task, round(avg(validity), 6) AS mean_validity, round(stddev_pop(validity), 6) AS std_validity, count(*) AS n FROM last WHERE task <> 'Mixed' GROUP BY GROUPING SETS ((model, task), (model))",
+    f"{H}, {_LAST} SELECT model, task, round(avg(validity), 6) AS mean_validity, round(stddev_pop(validity), 6) AS std_validity, count(*) AS n, GROUPING(task) = 1 AS total FROM (SELECT * REPLACE (CASE WHEN task = 'signup' THEN NULL ELSE task END AS task) FROM last) WHERE task IS DISTINCT FROM 'Mixed' GROUP BY GROUPING SETS ((model, task), (model))",
 )
 def capacity_curve(spark, d):
-    return rounded(curves.capacity(_last(spark, d)))
+    return rounded(curves.capacity(_last(spark, d).withColumn("task", F.when(F.col("task") != "signup", F.col("task")))))
 
 
 @query(
@@ -112,7 +112,7 @@ def capacity_curve(spark, d):
     " SELECT lo.model AS low_model, lo.size_b AS low_size_b, round(lo.v, 6) AS low_validity, hi.model AS high_model, hi.size_b AS high_size_b, round(hi.v, 6) AS high_validity FROM lo FULL JOIN hi ON true",
 )
 def capacity_zone(spark, d):
-    per = curves.capacity(_last(spark, d)).where("task is null").select("model", "mean_validity")
+    per = curves.capacity(_last(spark, d)).where("total").select("model", "mean_validity")
     return rounded(curves.capacity_zone(lookup(per, model_dim(spark), "model", ["size_b"], keep_unknown=False), 0.485))
 
 

@@ -306,7 +306,7 @@ def missing_schemas(spark, d):
 
 
 def _fp_sql(columns: list[str], tab: str) -> str:
-    text = " || chr(31) || ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in columns)
+    text = " || ".join(f"coalesce('=' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns)
     part = lambda at: f"CAST(sum(('0x' || substr(md5({text}), {at}, 12))::BIGINT) AS VARCHAR)"
     return f"SELECT source, count(*) AS n_rows, count(*) || '-' || {part(1)} || '-' || {part(17)} AS fp FROM {tab} GROUP BY source"
 
@@ -336,14 +336,14 @@ def fingerprint_drift(spark, d):
 
 @query(
     "log_level_filter",
-    "SELECT event_type, count(*) AS n FROM events WHERE event_id % 4 >= 2 GROUP BY 1",
+    "SELECT event_type, count(*) AS n FROM events WHERE event_id % 6 <> 0 GROUP BY 1",
 )
 def log_level_filter(spark, d):
     from sloframe.operators.filters import at_least_level
 
     e = table(spark, d, "events")
-    level = F.element_at(F.array(*[F.lit(x) for x in ("debug", "INFO", "Warning", "ERROR")]), (F.col("event_id") % 4 + 1).cast("int"))
-    return at_least_level(e.withColumn("level", level), "level", "WARNING").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    level = F.element_at(F.array(*[F.lit(x) for x in ("debug", "INFO", "Warning", "ERROR", "NOTICE", None)]), (F.col("event_id") % 6 + 1).cast("int"))
+    return at_least_level(e.withColumn("level", level), "level", "INFO").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("failed_runs", "SELECT o_orderkey, 'm' || (o_custkey % 11) AS model, o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('F', 'P')")

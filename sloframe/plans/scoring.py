@@ -31,7 +31,7 @@ RANGE_CONTRACT = {
 
 
 def _outputs(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     case, k = F.col("event_id") % 8, F.col("k").cast("string")
     raw = (
         F.when(case <= 2, F.col("output_json"))
@@ -105,7 +105,7 @@ SCORED_SQL = """scored AS (SELECT event_id, event_type, k, 't' || (event_id % 6
 
 def scored_records(spark, d):
     """One record of each task type in turn, with gold and output as JSON text."""
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     k, name = F.col("k"), F.col("task")
     odd, third = k % 2 == 1, k % 3 == 0
     lit = F.lit
@@ -207,7 +207,7 @@ def function_call_match(spark, d):
     round(avg(CASE WHEN k % 5 = 0 THEN 1 ELSE 0.8::DOUBLE END), 6) AS answer_f1, round(avg(greatest(k / 100.0::DOUBLE, 0.5::DOUBLE)), 6) AS faithfulness FROM e GROUP BY event_type""",
 )
 def intent_and_answer_scores(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     k = F.col("k")
     gold = _json(intent=_str(F.col("task")), domain=_str(k % 7), is_oos=F.lit("true"), answer=F.lit('"one two"'))
     pred = _json(
@@ -241,7 +241,7 @@ FIELDS = ["name", "tags", "cfg", "n", "gone", "note"]
     (SELECT round(avg((1 + CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT) + CAST(k % 5 = 0 AS INT) + CAST(k % 7 <> 0 AS INT)) / 6.0::DOUBLE), 6) FROM e) AS overall FROM f GROUP BY field""",
 )
 def field_breakdown(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     k = F.col("k")
     gold = _json(name=_str(F.col("task")), tags=F.lit('["a", "b"]'), cfg=F.lit('{"x": 1, "y": [1]}'), n=k, gone=F.lit("null"), note=F.lit('"here"'))
     pred = _json(
@@ -263,10 +263,10 @@ def field_breakdown(spark, d):
     """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
   SELECT event_id, CAST(k % 2 = 0 AND k % 3 <> 0 AS INT)::DOUBLE AS em, CASE WHEN k % 3 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS f1, CASE WHEN k % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS cite_acc,
     CASE WHEN k % 3 = 0 THEN round(6.0::DOUBLE / 7, 6) ELSE 1 END AS faithfulness, CASE WHEN k % 3 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS faithfulness_sem,
-    CAST(k % 7 <> 0 AS INT)::DOUBLE AS tool_match, 1.0::DOUBLE AS toolseq_match, CAST(k % 2 = 0 AS INT)::DOUBLE AS safety_match FROM e""",
+    CAST(k % 7 <> 0 AS INT)::DOUBLE AS tool_match, 1.0::DOUBLE AS toolseq_match, CAST(k % 2 = 0 AS INT)::DOUBLE AS safety_match, 0 AS plain_matches FROM e""",
 )
 def gold_scores(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     k = F.col("k")
     third = k % 3 == 0
     gold = _json(bullets=F.lit('["one two three"]'), risk_score=k, steps=F.lit('["classify_intent"]'), tool=F.lit('"T"'), inputs=_json(a=k), decision=_str(F.col("task")))
@@ -286,9 +286,11 @@ def gold_scores(spark, d):
     main = score.gold_scores(P(pred), P(gold), F.concat(F.lit("Task: "), F.lit("classify_intent")))
     cite = score.gold_scores(P(cites_pred), P(cites_gold))
     plain = score.gold_scores(P(plain_pred), P(plain_gold))
-    out = e.select("event_id", main.alias("m"), cite["cite_acc"].alias("cite_acc"), plain["em"].alias("em"), plain["f1"].alias("f1"))
+    # A record without tool, steps or decision has no match score.
+    known = F.size(F.filter(F.array(*[x[c] for x in (plain, cite) for c in ("tool_match", "toolseq_match", "safety_match")]), lambda v: v.isNotNull()))
+    out = e.select("event_id", main.alias("m"), cite["cite_acc"].alias("cite_acc"), plain["em"].alias("em"), plain["f1"].alias("f1"), known.alias("plain_matches"))
     return rounded(
-        out.select("event_id", "em", "f1", "cite_acc", "m.faithfulness", "m.faithfulness_sem", "m.tool_match", "m.toolseq_match", "m.safety_match")
+        out.select("event_id", "em", "f1", "cite_acc", "m.faithfulness", "m.faithfulness_sem", "m.tool_match", "m.toolseq_match", "m.safety_match", "plain_matches")
     )
 
 
@@ -353,7 +355,7 @@ def correctness_rules(spark, d):
   SELECT event_type, count(*) AS n, count(*) FILTER (WHERE CASE event_id % 4 WHEN 0 THEN k % 2 = 0 WHEN 1 THEN k % 3 = 0 WHEN 2 THEN k % 5 = 0 ELSE false END) AS correct FROM e GROUP BY 1""",
 )
 def first_present_correct(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     case, k = F.col("event_id") % 4, F.col("k")
     metrics = F.map_filter(
         F.create_map(
@@ -375,7 +377,7 @@ def first_present_correct(spark, d):
     " round(r_stability, 6) AS r_stability, round(r_faithfulness, 6) AS r_faithfulness, r_schema, r_success FROM r",
 )
 def composite_reward(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     parts = score.reward_parts(
         F.col("schema_valid"), F.col("task_correct"), F.col("latency_ms"), F.col("tokens_out"), 0.1, 0.05,
         (F.col("k") % 10) / 10.0, 0.2, F.col("faithfulness"), 0.5,
@@ -391,7 +393,7 @@ def composite_reward(spark, d):
     round(CASE event_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE m END, 6) AS mean_support, event_id % 10 <> 0 AS parsed FROM s""",
 )
 def judge_rollup(spark, d):
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     k = F.col("k")
     st = lambda s, c: _json(support_score_0_to_3=s, contradiction=c)
     listed = F.concat(
@@ -429,12 +431,12 @@ def attempt_rollup(spark, d):
 @query(
     "flatten_episodes",
     f"WITH {EPISODES_SQL} SELECT event_id, model, sha256(prompt_id) AS prompt_hash, round(latency_ms, 4) AS latency_ms, CAST(json_valid AS INT)::DOUBLE AS json_valid, faithfulness, "
-    "CASE WHEN k % 2 = 0 THEN success_at_slo END AS success_at_slo, output_json AS raw_output, k AS k FROM episodes",
+    "CASE WHEN k % 2 = 0 THEN success_at_slo END AS success_at_slo, repeat(output_json, CAST(k + 1 AS INT)) AS raw_output, left(repeat(output_json, CAST(k + 1 AS INT)), 200) AS raw_preview, k AS k FROM episodes",
 )
 def flatten_episodes(spark, d):
     from sloframe.operators import attempts
 
-    e = episodes(spark, d, heavy=True)
+    e = episodes(spark, d)
     nested = e.select(
         "event_id",
         "model",
@@ -447,9 +449,9 @@ def flatten_episodes(spark, d):
             ),
             lambda _, v: v.isNotNull(),
         ).alias("metrics"),
-        F.col("output_json").alias("raw_output"),
+        F.repeat("output_json", (F.col("k") + 1).cast("int")).alias("raw_output"),
         jsonops.parse_strict(F.col("output_json")).alias("parsed_output"),
     )
     return attempts.flatten_episode(
-        nested, ["event_id", "model", "prompt_hash", "latency_ms"], ["json_valid", "faithfulness", "success_at_slo"], {"k": ("$.k", "bigint")}
+        nested, ["event_id", "model", "prompt_hash", "latency_ms"], ["json_valid", "faithfulness", "success_at_slo"], {"k": ("$.k", "bigint")}, 200
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sloframe.operators import ranking, slo
 from sloframe.operators.ordered import exact_quantiles
 from sloframe.plans.registry import query, rounded
-from sloframe.plans.views import EPISODES_SQL, TIERS_SQL, episodes, wide
+from sloframe.plans.views import EPISODES_SQL, TIERS_SQL, episodes, wide, table
 
 TASKS = ["click", "error", "purchase", "signup", "view"]
 
@@ -89,14 +89,15 @@ def slo_curve(spark, d):
 
 @query(
     "slo_curve_table",
-    f"WITH {EPISODES_SQL}, cuts AS (SELECT DISTINCT p_size * 100.0::DOUBLE AS threshold_ms FROM part)" + """
+    f"WITH {EPISODES_SQL}, cuts AS (SELECT DISTINCT p_size * 100.0::DOUBLE AS threshold_ms FROM part), l AS (SELECT task, CASE WHEN event_id % 89 <> 0 THEN latency_ms END AS latency_ms FROM episodes)" + """
   SELECT task, threshold_ms, count(*) AS n, count(*) FILTER (WHERE latency_ms <= threshold_ms) AS on_time,
     round(count(*) FILTER (WHERE latency_ms <= threshold_ms) / count(*), 6) AS on_time_share
-  FROM episodes, cuts GROUP BY task, threshold_ms""",
+  FROM l, cuts GROUP BY task, threshold_ms""",
 )
 def slo_curve_table(spark, d):
     cuts = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_size") * 100.0).alias("threshold_ms")).distinct()
-    return rounded(slo.success_curve_table(episodes(spark, d), ["task"], cuts))
+    e = episodes(spark, d).withColumn("latency_ms", F.when(F.col("event_id") % 89 != 0, F.col("latency_ms")))
+    return rounded(slo.success_curve_table(e, ["task"], cuts))
 
 
 _SUMMARY = """count(*) AS num_episodes, round(avg(CAST(json_valid AS INT)), 6) AS json_valid_rate, round(avg(CAST(schema_valid AS INT)), 6) AS schema_valid_rate,
@@ -274,12 +275,17 @@ def tier_extrapolation(spark, d):
 
 @query(
     "completion_matrix",
-    "WITH e AS (SELECT 'm' || (user_id % 13) AS model, event_type AS task FROM events WHERE NOT (user_id % 13 IN (3, 7) AND event_type = 'signup')) SELECT model, "
+    "WITH e AS (SELECT 'm' || (user_id % 13) AS model, event_type AS task FROM events WHERE NOT (user_id % 13 IN (3, 7) AND event_type = 'signup')), m AS (SELECT DISTINCT 'm' || (c_custkey % 15) AS model FROM customer) SELECT model, "
     + ", ".join(f"count(*) FILTER (WHERE task = '{t}') AS {t}" for t in TASKS)
-    + ", CAST(count(DISTINCT task) AS INT) AS tasks_done, round(100.0::DOUBLE * count(DISTINCT task) / 5, 6) AS complete_pct FROM e GROUP BY model",
+    + ", CAST(count(DISTINCT task) AS INT) AS tasks_done, round(100.0::DOUBLE * count(DISTINCT task) / 5, 6) AS complete_pct FROM m LEFT JOIN e USING (model) GROUP BY model",
 )
 def completion_matrix(spark, d):
-    return rounded(slo.completion_matrix(_incomplete(spark, d), "model", "task", TASKS))
+    return rounded(slo.completion_matrix(_incomplete(spark, d), "model", "task", TASKS, _expected_models(spark, d)))
+
+
+def _expected_models(spark, d):
+    """Two more models than ever ran."""
+    return table(spark, d, "customer").select(F.concat(F.lit("m"), F.col("c_custkey") % 15).alias("model"))
 
 
 def _incomplete(spark, d):
@@ -290,10 +296,10 @@ def _incomplete(spark, d):
 @query(
     "completion_gaps",
     """WITH e AS (SELECT DISTINCT 'm' || (user_id % 13) AS model, event_type AS task FROM events WHERE NOT (user_id % 13 IN (3, 7) AND event_type = 'signup'))
-  SELECT m.model, t.task FROM (SELECT DISTINCT model FROM e) m, (SELECT DISTINCT task FROM e) t ANTI JOIN e ON e.model = m.model AND e.task = t.task""",
+  SELECT m.model, t.task FROM (SELECT DISTINCT 'm' || (c_custkey % 15) AS model FROM customer) m, (SELECT DISTINCT task FROM e) t ANTI JOIN e ON e.model = m.model AND e.task = t.task""",
 )
 def completion_gaps(spark, d):
-    return slo.completion_gaps(slo.completion_matrix(_incomplete(spark, d), "model", "task", TASKS), "model", TASKS)
+    return slo.completion_gaps(slo.completion_matrix(_incomplete(spark, d), "model", "task", TASKS, _expected_models(spark, d)), "model", TASKS)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sloframe.functions import jsonops, text
 from sloframe.operators.bags import qa_scores
 from sloframe.operators.joins import lookup
+from sloframe.operators.ordered import attach
 from sloframe.plans.registry import query, rounded
 from sloframe.plans.views import EPISODES_SQL, MODEL_DIM_SQL, episodes, model_dim, table, wide
 
@@ -29,13 +30,19 @@ def words_sql(normalized: str) -> str:
     return f"list_filter(string_split({normalized}, ' '), lambda t: t <> '')"
 
 
-PAIRS_SQL = "pairs AS (SELECT d.doc_id, d.text AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)"
+PAIRS_SQL = (
+    "pairs AS (SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN translate(b.text, 'abcdefghij', 'ABCDEFGHIJ') || ' .' ELSE d.text END AS pred, b.text AS gold "
+    "FROM documents d, (SELECT max(item_id) + 1 AS m FROM benchmark), benchmark b WHERE d.doc_id % m = b.item_id)"
+)
 
 
 def pairs(spark, d):
-    docs = wide(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("pred"), (F.col("doc_id") % 40).alias("item_id"))
+    """Every document with an item; every fourth answer is the item's text, partly in capitals."""
+    count = table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("m"))
+    docs = attach(wide(spark, d, "documents", "doc_id", "text"), count, []).select("doc_id", "text", (F.col("doc_id") % F.col("m")).alias("item_id"))
     gold = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
-    return docs.join(gold, "item_id").select("doc_id", "pred", "gold")
+    pred = F.when(F.col("doc_id") % 4 == 0, F.concat(F.translate("gold", "abcdefghij", "ABCDEFGHIJ"), F.lit(" ."))).otherwise(F.col("text"))
+    return docs.join(gold, "item_id").select("doc_id", pred.alias("pred"), "gold")
 
 
 @query("prompt_hash", "SELECT conv_id, turn, sha256(text) AS prompt_hash FROM conversations")
@@ -76,7 +83,6 @@ def qa_normalize(spark, d):
   FROM n LEFT JOIN s USING (doc_id)""",
 )
 def qa_exact_f1(spark, d):
-    # A quarter of the answers repeat gold with other case and articles.
     return rounded(qa_scores(pairs(spark, d), ["doc_id"], F.col("pred"), F.col("gold")))
 
 
@@ -84,7 +90,7 @@ def _f1_sql(p: str, g: str) -> str:
     i = f"len(list_intersect({p}, {g}))"
     return (
         f"CASE WHEN len({p}) = 0 AND len({g}) = 0 THEN 1 WHEN len({g}) = 0 OR {i} = 0 THEN 0 ELSE "
-        f"2.0::DOUBLE * ({i}::DOUBLE / len({p})) * ({i}::DOUBLE / len({g})) / ({i}::DOUBLE / len({p}) + {i}::DOUBLE / len({g})) END"
+        f"2.0::DOUBLE * {i} / (len({p}) + len({g})) END"
     )
 
 
@@ -158,13 +164,13 @@ def question_context(spark, d):
     return c.select("conv_id", "turn", q["question"].alias("question"), q["context"].alias("context"))
 
 
-BLOCKED = ["password", "Email", "@", "les ", "credit"]
+BLOCKED = ["password", " Email", "@", "les pour ", "credit", "", "  "]
 
 
 @query(
     "blocklist",
-    "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in BLOCKED) + " AS blocked, "
-    "CASE WHEN " + " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in BLOCKED) + " THEN 0.0 ELSE length(text)::DOUBLE END AS reward FROM conversations",
+    "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{t.strip().lower()}')" for t in BLOCKED if t.strip()) + " AS blocked, "
+    "CASE WHEN " + " OR ".join(f"contains(lower(text), '{t.strip().lower()}')" for t in BLOCKED if t.strip()) + " THEN 0.0 ELSE length(text)::DOUBLE END AS reward FROM conversations",
 )
 def blocklist(spark, d):
     c = table(spark, d, "conversations")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sloframe.operators.ordered import add_positions, spread_if_narrow
+from sloframe.operators.ordered import add_positions
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,13 +17,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    """Table for work that is heavy per row: spread over all cores if the scan is not."""
+    """The named columns of a table."""
     t = table(spark, d, name)
-    return spread_if_narrow(t.select(*columns) if columns else t)
+    return t.select(*columns) if columns else t
 
 
-def episodes(spark: SparkSession, d: str, heavy: bool = False) -> DataFrame:
-    e = wide(spark, d, "events") if heavy else table(spark, d, "events")
+def episodes(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     eid = F.col("event_id")
     return e.select(

@@ -11,15 +11,19 @@ from sloframe.operators.ordered import attach
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """Row as text; NULL and the empty string differ."""
-    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]
-    return F.concat_ws("\x1f", *cells)
+    """Row as text. A cell is written with its length, so no two rows share a text; NULL
+    and the empty string differ."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.lit("="), F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in text])
 
 
 def table_fingerprint(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Row count and two sums over row hashes, per group. Sums are decimal, so any
     number of rows fits, and partial sums merge in any order."""
     columns = list(columns or [c for c in df.columns if c not in by])
+    # Entries of a map have no order of their own.
+    maps = [c for c, kind in df.dtypes if c in columns and kind.startswith("map<")]
+    df = df.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps}) if maps else df
     digest = F.md5(row_text(columns))
     word = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")
     out = df.select(*by, word(1).alias("__a"), word(17).alias("__b")).groupBy(*by).agg(

@@ -42,7 +42,7 @@ def split_run_key(key: Column) -> Column:
     """Struct(model, task, seed) of ``model_task_seedN``; the model may hold ``_``."""
     part = lambda i: F.regexp_extract(key, r"^(.*)_([^_]+)_seed(\d+)$", i)
     return F.when(
-        F.rlike(key, F.lit(r"^.*_[^_]+_seed\d+$")), F.struct(part(1).alias("model"), part(2).alias("task"), part(3).cast("int").alias("seed"))
+        F.rlike(key, F.lit(r"^.*_[^_]+_seed\d+$")), F.struct(part(1).alias("model"), part(2).alias("task"), part(3).try_cast("int").alias("seed"))
     )
 
 

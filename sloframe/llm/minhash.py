@@ -25,7 +25,7 @@ from sloframe.llm.textbatch import Slice, mix, run_starts, slices
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
-BLOCK = 512
+BLOCK = 256
 
 _draw = np.random.default_rng(7)
 _FACTOR = _draw.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -116,10 +116,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 small, large = min(len(x), len(y)), max(len(x), len(y))
-                shared = 0
-                if 100 * small >= percent * large:
-                    both = np.sort(np.concatenate([x, y]))
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                shared = _shared(x, y) if 100 * small >= percent * large else 0
                 keep.append(100 * shared >= percent * (small + large - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -146,42 +143,60 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(hits: DataFrame, labels: DataFrame, signs: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components that share a bucket and agree in at least ``least`` of
-    their minima. A bucket's rows are dealt into blocks of about ``BLOCK`` rows and each
-    two blocks meet in a group of their own, so no task holds a bucket whole."""
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted sets have in common."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _open_links(hits: DataFrame, labels: DataFrame, signs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between different components of a bucket, enough to join what they join.
+
+    A bucket's rows are dealt into blocks of about ``BLOCK`` rows and each two blocks meet
+    in a group of their own, so no task holds a bucket whole and no pair is a row: a task
+    compares signatures, confirms on the full sets what agrees in ``least`` of the minima,
+    and skips what its own links have joined already.
+    """
     labelled = hits.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    open_ = open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_, "bucket").join(signs.select("id", "minima"), "id")
+    open_ = stored(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    rows = stored(labelled.join(open_, "bucket"), "open")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "minima")
+    known = stored(signs.join(sets, "id").join(rows.select("id").distinct(), "id", "left_semi").select("id", "minima", "shingles"), "open")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(known, "id")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "minima", "shingles")
     kind = rows.schema["id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
             own = group.column(3).to_numpy()
-            component = group.column(5).to_numpy()
+            component = np.unique(group.column(5).to_numpy(), return_inverse=True)[1]
             low = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint32).reshape(-1, MINIMA)
+            full = [np.frombuffer(x, np.uint64) for x in group.column(7).to_pylist()]
+            sizes = np.array([len(x) for x in full])
             first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
             u, v = [], []
             for a in first:
                 others = second[second > a] if i == j else second
-                others = others[component[others] != component[a]]
-                if len(others):
-                    others = others[(low[others] == low[a]).mean(axis=1) >= least]
-                    u += [a] * len(others)
-                    v += others.tolist()
+                near = np.minimum(sizes[others], sizes[a]) * 100 >= percent * np.maximum(sizes[others], sizes[a])
+                others = others[near & (component[others] != component[a])]
+                others = others[(low[others] == low[a]).mean(axis=1) >= least]
+                for b in others:
+                    if component[a] != component[b]:
+                        shared = _shared(full[a], full[b])
+                        if 100 * shared >= percent * (sizes[a] + sizes[b] - shared):
+                            component[component == component[b]] = component[a]
+                            u.append(a)
+                            v.append(b)
             if u:
                 ids = group.column(4).combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v))], ["u", "v"])
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    pairs = dealt.mapInArrow(compare, f"u {kind}, v {kind}")
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return dealt.mapInArrow(compare, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75, least_agreement: float = 0.55) -> DataFrame:
@@ -201,8 +216,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     """
     signs = stored(signatures(docs, id, text), "signatures")
     named = signs.filter(F.col("id").isNotNull() & F.col("same").isNotNull())
-    classes = named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    members = named.select("id", "same").join(classes.filter("n > 1").select("same", "first"), "same").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    classes = stored(named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("same", "first"), "classes")
+    members = named.select("id", "same").join(classes, "same").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     leaders = named.join(members.select(F.col("u").alias("id")), "id", "left_anti").select("id", "minima")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * F.lit(4 * ROWS) + 1, F.lit(4 * ROWS))))
@@ -214,8 +229,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     nearest = hits.filter("id <> least").groupBy("id").agg(F.min("least").alias("v")).select(F.col("id").alias("u"), "v")
     links = stored(linked(nearest, sets, percent).distinct(), "links")
     labels = stored(components(links.union(members)), "labels")
-    more = linked(_open_pairs(hits, labels, leaders, least_agreement), sets, percent)
-    more = stored(more.distinct(), "links")
+    more = stored(_open_links(hits, labels, leaders, sets, least_agreement, percent), "links")
     if not more.isEmpty():
         between = more.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
         roots = between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
@@ -232,4 +246,4 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 def keep_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     gone = near_duplicates(docs, id, text).filter("NOT kept").select(F.col(id).alias("_gone_id"))
-    return docs.join(gone, F.col(id) == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, docs[f"`{id}`"] == gone["_gone_id"], "left_anti")

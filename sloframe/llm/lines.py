@@ -6,15 +6,17 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sloframe.llm.store import stored
 from sloframe.llm.textbatch import WHITE
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column(batch.schema.get_field_index("text")).fill_null("").cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    return batch.column(batch.schema.names.index(name)).fill_null("").cast(pa.binary()).to_pylist()
 
 
 def _key(line: bytes) -> bytes:
@@ -50,6 +52,44 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
     return counted.groupBy("line").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
+def _split(texts: list[bytes], lost: pa.Array) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """The lines of each text, and those that stay."""
+    for t, gone in zip(texts, lost.to_pylist(), strict=True):
+        lines = t.split(b"\n")
+        gone = set(gone or ())
+        yield lines, [x for x in lines if _hash(_key(x)) not in gone] if gone else lines
+
+
+def _free_name(name: str, df: DataFrame) -> str:
+    """``name``, or that with underscores before it, that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _with_lost(rows: DataFrame, id: str, text: str, min_docs: int, min_chars: int) -> DataFrame:
+    """``rows`` and, as last column, the hashes of their lines to drop."""
+    pairs_of = rows.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    id_type = pairs_of.schema["id"].dataType.simpleString()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, lines = [], []
+            for i, t in enumerate(_texts(batch)):
+                keys = _keys(t, min_chars)
+                lines += keys
+                place += [i] * len(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int32())), pa.array(lines, pa.binary())], ["id", "line"])
+
+    # Stored, so that both sides of the join are plain shuffles, which Spark can split.
+    frequent = stored(frequent_lines(pairs_of, "text", min_docs, min_chars).select("line"), "lines")
+    lost = pairs_of.mapInArrow(pairs, f"id {id_type}, line binary").join(frequent, "line", "left_semi")
+    lost = lost.groupBy("id").agg(F.collect_set("line").alias("_lost")).withColumnRenamed("id", "_lost_id")
+    joined = rows.join(lost, rows[f"`{id}`"].eqNullSafe(lost["_lost_id"]), "left")
+    return joined.select(*[rows[f"`{c}`"] for c in rows.columns], lost["_lost"].alias(_free_name("lost", rows)))
+
+
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Per row: the id, ``kept_text``, ``n_lines`` and ``n_dropped``.
 
@@ -64,35 +104,33 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_doc
     when it is skewed. Ids with the same value share one list of dropped lines, which is
     right because whether a line is dropped depends on the line alone.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, lines = [], []
-            for i, t in enumerate(_texts(batch)):
-                keys = _keys(t, min_chars)
-                lines += keys
-                place += [i] * len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int32())), pa.array(lines, pa.binary())], ["id", "line"])
+    joined = _with_lost(docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")), "id", "text", min_docs, min_chars).select("id", "text", "lost")
+    id_type = joined.schema["id"].dataType.simpleString()
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = _texts(batch)
             kept, total, dropped = [], [], []
-            for t, lost in zip(_texts(batch), batch.column(2).to_pylist(), strict=True):
-                lines = t.split(b"\n")
-                stay = lines
-                if lost:
-                    gone = set(lost)
-                    stay = [x for x in lines if _hash(_key(x)) not in gone]
+            for lines, stay in _split(texts, batch.column(2)):
                 kept.append(b"\n".join(stay))
                 total.append(len(lines))
                 dropped.append(len(lines) - len(stay))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["id", "kept_text", "n_lines", "n_dropped"])
 
-    frequent = frequent_lines(rows, "text", min_docs, min_chars).select("line")
-    lost = rows.mapInArrow(pairs, f"id {id_type}, line binary").join(frequent, "line", "left_semi")
-    lost = lost.groupBy("id").agg(F.collect_set("line").alias("lost")).withColumnRenamed("id", "lost_id")
-    joined = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left").select("id", "text", "lost")
     out = joined.mapInArrow(rebuild, f"id {id_type}, kept_text string, n_lines long, n_dropped long")
     return out.withColumnRenamed("id", id)
+
+
+def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """``docs`` with the lines dropped from its texts; a null text stays null."""
+    joined = _with_lost(docs, id, text, min_docs, min_chars)
+    place = docs.columns.index(text)
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [b"\n".join(stay) for _, stay in _split(_texts(batch, text), batch.column(batch.num_columns - 1))]
+            column = pa.array(kept, pa.binary(), mask=np.array(batch.column(place).is_null())).cast(pa.string())
+            columns = [column if k == place else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return joined.mapInArrow(rebuild, docs.schema)

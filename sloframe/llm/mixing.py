@@ -126,4 +126,4 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, exp
 def keep_mixed(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` that ``calibrated`` keeps, with all their columns."""
     kept = calibrated(docs, id=id, **settings).filter("kept").select(F.col(id).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs[f"`{id}`"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -206,7 +206,7 @@ def exact_quantiles(
     1. One mergeable sketch per group gives its size and ``grid + 1`` edges at about
        even ranks, the outer ones being the minimum and the maximum.
     2. A quantile's bracket runs between the edges around its rank, widened by ``margin``
-       of the group and two rows, which is more than the sketch's error and what the
+       of the group and 20 rows, which is more than the sketch's error and what the
        index rules differ by. One pass counts rows under each bracket and keeps rows
        inside it, merged by value before the shuffle.
     3. The bracket is cut at its own edges; running counts per bin find the wanted ranks,
@@ -228,7 +228,7 @@ def exact_quantiles(
 
     def bracket(i: int, p: float) -> Column:
         """Quantile number and the sketch's edges from below to above its rank."""
-        slack = F.lit(margin) + 2.0 / F.col("__n")
+        slack = F.lit(margin) + F.try_divide(F.lit(20.0), F.col("__n"))
         low = F.greatest(F.floor((F.lit(p) - slack) * grid), F.lit(0)).cast("int")
         high = F.least(F.ceil((F.lit(p) + slack) * grid), F.lit(grid)).cast("int")
         return F.struct(F.lit(i).alias("i"), F.slice("__e", low + 1, high - low + 1).alias("cuts"))
@@ -261,6 +261,8 @@ def exact_quantiles(
         value_at = F.when(
             F.col(f"__l{i}").isNull() | F.col(f"__h{i}").isNull(),
             F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double"),
+        ).when(
+            F.col(f"__l{i}") == F.col(f"__h{i}"), F.col(f"__l{i}")  # also if both are infinite
         ).otherwise(F.col(f"__l{i}") + F.col(f"__f{i}") * (F.col(f"__h{i}") - F.col(f"__l{i}")))
         outs.append(value_at.alias(name))
     if by:

@@ -136,23 +136,24 @@ def start_running_baseline(steps: DataFrame, root: str, keep: float = 0.9, **tri
 def running_baseline(steps: DataFrame, keep: float = 0.9) -> DataFrame:
     """Run ``start_running_baseline`` over what is available now; returns its table."""
     spark = steps.sparkSession
-    root = _run_folder(spark)
+    root = run_folder(spark)
     start_running_baseline(steps, root, keep).awaitTermination()
     return spark.read.schema(BASELINE_TABLE).parquet(f"{root}/table/*")
 
 
-def _run_folder(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append", on_progress: Callable[[dict], None] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", on_progress: Callable[[dict], None] | None = None, root: str | None = None) -> DataFrame:
     """Run a stream over what is available now into a table and read it back.
 
     ``append`` writes a parquet sink; ``complete`` rewrites the table per batch.
-    Table and checkpoint lie in the session's checkpoint folder.
+    Table and checkpoint lie in the session's checkpoint folder, or in ``root``: a stream
+    that is drained there again goes on where it stopped.
     """
     spark = stream.sparkSession
-    root = _run_folder(spark)
+    root = root or run_folder(spark)
     out, ckpt = f"{root}/table", f"{root}/checkpoint"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":

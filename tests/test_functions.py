@@ -245,3 +245,40 @@ def test_gates_treat_missing_as_failed(spark):
 def test_attempt_helpers(spark):
     assert one(spark, attempts.validation_ms(F.create_map(F.lit("validation_start"), F.lit(1.0)))) == 0.0
     assert one(spark, attempts.mean_logprob(F.array().cast("array<double>"))) is None
+
+
+def test_groups_with_one_arm_give_null(spark):
+    from sloframe.operators import compare
+
+    df = spark.createDataFrame([("a", "x", 1.0, True), ("a", "y", 2.0, False), ("b", "x", 1.0, True), ("c", "y", 3.0, True)], "g string, arm string, v double, ok boolean")
+    tests = {r.g: r for r in compare.proportion_test(df, ["g"], "arm", "x", F.col("ok")).collect()}
+    assert tests["a"].z is not None and tests["b"].z is None and tests["c"].p1 is None and tests["c"].p1_lower is None
+    assert {r.g: r.ks for r in compare.ks_distance(df, ["g"], "v", "arm", "x").collect()} == {"a": 1.0, "b": None, "c": None}
+
+
+def test_missing_predictions_latencies_and_levels(spark):
+    from sloframe.operators import classify, filters, slo
+
+    df = spark.createDataFrame([("a", "a", 1.0, "weird"), ("b", None, None, None), ("b", "b", 9.0, "debug")], "y string, p string, latency_ms double, level string")
+    assert classify.macro_f1(df, [], "y", "p").first().macro_f1 == 1.0
+    assert classify.macro_f1(df, [], "y", "p", missing="none").first().n_labels == 3
+    assert classify.unscored(df, [], "y", "p").first().n_unscored == 1
+    limits = spark.createDataFrame([(0.5,), (1.0,), (100.0,)], "threshold_ms double")
+    table = {r.threshold_ms: r.on_time for r in slo.success_curve_table(df, [], limits).collect()}
+    assert table == {r.threshold_ms: r.on_time for r in slo.success_curve(df, [], [0.5, 1.0, 100.0]).collect()} == {0.5: 0, 1.0: 1, 100.0: 2}
+    assert filters.at_least_level(df, "level", "INFO").count() == 2
+
+
+def test_blocked_terms_are_stripped_and_blank_ones_skipped(spark):
+    from sloframe.functions.text import blocklist_hit
+
+    df = spark.createDataFrame([("Good day",), ("bad day",)], "t string")
+    assert [r[0] for r in df.select(blocklist_hit([F.col("t")], ["", "  ", " BAD "])).collect()] == [False, True]
+
+
+def test_fingerprints_tell_cells_apart(spark):
+    from sloframe.sources.fingerprint import table_fingerprint
+
+    one = spark.createDataFrame([("a\x1f=b", "c")], "x string, y string")
+    two = spark.createDataFrame([("a", "b\x1f=c")], "x string, y string")
+    assert table_fingerprint(one).first().fingerprint != table_fingerprint(two).first().fingerprint

@@ -111,3 +111,32 @@ def test_spread_counts_in_blocks(spark):
     df = spark.createDataFrame([("a", 0), ("b", 5), ("c", 23)], "k string, n int")
     got = sorted((r["k"], r["draw"]) for r in spread_counts(df, F.col("n"), block=4).collect())
     assert got == [("b", i) for i in range(5)] + [("c", i) for i in range(23)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 999, 3_000, 200_000])
+@pytest.mark.parametrize("rule", RULES)
+def test_quantiles_are_exact_for_groups_of_any_size(spark, n, rule):
+    """Heavy ties, one huge outlier and infinities."""
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    values = np.sort(np.where(r.random(n) < 0.4, 5.0, r.normal(0, 1, n)))
+    values[-1] = 1e12
+    if n > 900:
+        values[0], values[-2] = -np.inf, np.inf
+        values = np.sort(values)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    probs = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.99, "e": 0.999}
+    got = exact_quantiles(df, [], F.col("v"), probs, rule).first()
+    for name, p in probs.items():
+        h = p * (n - 1)
+        place = {
+            "linear": None, "index_n": int(p * n), "index_n_minus_1": int(h), "index_n_or_max_below_20": int(p * n) if n >= 20 else n - 1,
+            "index_n_clamped": min(int(p * n), n - 1), "discrete": max(int(np.ceil(p * n)) - 1, 0),
+        }[rule]
+        if place is None:
+            low, high = values[int(np.floor(h))], values[int(np.ceil(h))]
+            expected = low + (h - np.floor(h)) * (high - low) if low != high else low
+        else:
+            expected = values[place]
+        assert got[name] == pytest.approx(expected, rel=1e-12), (name, n)

@@ -113,4 +113,28 @@ WITH words AS (
 SELECT query_id, rank, doc_id, round(units / 1e9, 6) AS score FROM ranked WHERE rank <= 10
 """,
     "op10_mixing": _raked(),
+    "op6_suffix_dedup": """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+    SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM texts)
+), marked AS (
+    SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM windows) WHERE r > 1
+), steps AS (
+    SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM marked
+), spans AS (
+    SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+    FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM steps) GROUP BY doc_id, k
+), cuts AS (
+    SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM texts
+), kept AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS x, a AS y FROM cuts
+), parts AS (
+    SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x, y) AS k FROM kept JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(length(h) // 2 - length(k) // 2 AS BIGINT) AS n_removed,
+       (SELECT count(*) FROM spans WHERE spans.doc_id = texts.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM texts JOIN parts USING (doc_id)
+""",
 }

@@ -92,16 +92,28 @@ def tier_gates(spark, d):
     return out.select("model", "tier_bronze", "tier_silver", "tier_gold", "highest_tier")
 
 
+def _low_certification(tier):
+    """Levels of one deadline tier, low enough for the driver tables to reach each somewhere."""
+    p95, p99 = gates.CERTIFICATION_LIMITS[tier]
+    return (
+        ("bronze", (("json_valid_rate", ">=", 0.95), ("schema_valid_rate", ">=", 0.80), ("p95_latency_ms", "<=", p95), ("success_at_slo", ">=", 0.50))),
+        ("silver", (("faithfulness", ">=", 0.53), ("disagreement", "<=", 0.70))),
+        ("gold", (("success_at_slo", ">=", 0.60), ("p99_latency_ms", "<=", p99))),
+    )
+
+
 @query(
     "certification_tiers",
     f"{_SUM}, l(slo_tier, a, b) AS (VALUES ('interactive', 2000, 3000), ('standard', 5000, 8000), ('batch', 30000, 45000))"
-    " SELECT model, slo_tier, j >= 0.95 AND sv >= 0.90 AND p95 <= a AND ok >= 0.70 AS tier_bronze, false AS tier_gold FROM s, l",
+    ", c AS (SELECT model, slo_tier, j >= 0.95 AND sv >= 0.80 AND p95 <= a AND ok >= 0.50 AS bronze, faith >= 0.53 AND disagreement <= 0.70 AS sg, ok >= 0.60 AND p99 <= b AS gg FROM s JOIN st USING (model), l)"
+    " SELECT model, slo_tier, bronze AS tier_bronze, bronze AND sg AS tier_silver, bronze AND sg AND gg AS tier_gold,"
+    " CASE WHEN bronze AND sg AND gg THEN 'gold' WHEN bronze AND sg THEN 'silver' WHEN bronze THEN 'bronze' ELSE 'none' END AS highest_tier FROM c",
 )
 def certification_tiers(spark, d):
     summary = _gate_summary(spark, d)
     out = None
     for tier in gates.CERTIFICATION_LIMITS:
-        part = gates.tier_gates(summary, gates.certification_gates(tier)).select("model", F.lit(tier).alias("slo_tier"), "tier_bronze", "tier_gold")
+        part = gates.tier_gates(summary, _low_certification(tier)).select("model", F.lit(tier).alias("slo_tier"), "tier_bronze", "tier_silver", "tier_gold", "highest_tier")
         out = part if out is None else out.unionByName(part)
     return out
 

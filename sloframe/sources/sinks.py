@@ -60,9 +60,12 @@ def header_lines(columns: Sequence[str], style: str) -> list[str]:
     return [" ".join(columns)]
 
 
-def write_text_table(df: DataFrame, path: str, order: Sequence[str], style: str = "markdown", formats: dict[str, str] | None = None, mode: str = "errorifexists") -> None:
+def write_text_table(df: DataFrame, path: str, order: Sequence[str], style: str = "markdown", formats: dict[str, str] | None = None, mode: str = "errorifexists", most: int = 100_000) -> None:
     """One ordered text file from a report table. The table is an aggregate (models,
-    tasks, tiers) and small, so its line numbers come from one window."""
+    tasks, tiers) and small, so its line numbers come from one window; one of more than
+    ``most`` rows is refused."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report of more than {most} rows does not belong in one text file")
     place = F.row_number().over(Window.orderBy(*order))
     cells = df.select(place.alias("__i"), _line(df, style, formats or {}).alias("line"))
     head = df.sparkSession.createDataFrame(list(enumerate(header_lines(df.columns, style), start=-9)), "__i int, line string")

@@ -73,6 +73,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_text_table(df, f"{tmp_path}/md", ["model"], formats={"acc": "%.2f"})
     sinks.write_text_table(df, f"{tmp_path}/dat", ["model"], "series")
     sinks.write_text_table(df, f"{tmp_path}/tex", ["model"], "latex")
+    with pytest.raises(ValueError, match="does not belong"):
+        sinks.write_text_table(df, f"{tmp_path}/big", ["model"], most=1)
     read = lambda p: [r["value"] for r in spark.read.text(f"{tmp_path}/{p}").collect()]
     assert read("md")[0] == "| model | acc |" and read("md")[-1] == "| b_1 | 0.26 |"
     assert read("dat") == ["model acc", "a nan", "b_1 0.256"]

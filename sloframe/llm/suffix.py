@@ -42,7 +42,7 @@ class Anchors:
         parts = [self._part(s, a, b, length) for a, b in self._parts(s)]
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
         self.owner, self.first, self.last, self.anchor, self.context = columns
-        same = mix(self.context.view(np.uint64) + mix(self.owner.astype(np.uint64)))
+        same = _within(self.context, self.owner)
         order = np.argsort(same, kind="stable")
         self.repeated = np.ones(len(order), bool)
         self.repeated[order[run_starts(same[order])]] = False
@@ -67,9 +67,8 @@ class Anchors:
         windows = np.flatnonzero(left >= length)
         if not len(windows):
             return tuple([np.zeros(0, np.int64)] * 5)
-        grams = np.arange(len(data) - GRAM + 1)
-        hashes = part.hashes(grams, grams + GRAM)
-        low = (hashes & ~_LOW) | grams.astype(np.uint64)
+        hashes = part.gram_hashes(GRAM)
+        low = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
         span, covered = length - GRAM + 1, 1
         while 2 * covered <= span:
             low = np.minimum(low[:-covered], low[covered:])
@@ -84,6 +83,11 @@ class Anchors:
         return owner, first + start, last + start, hashes[anchor].view(np.int64), context.view(np.int64)
 
 
+def _within(context: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A context in a text as one number."""
+    return mix(context.view(np.uint64) + mix(owner.astype(np.uint64)))
+
+
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     """(anchor, context, id) of the contexts that don't repeat within their text."""
 
@@ -109,8 +113,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for s in slices(batch, "text"):
                 a = Anchors(s, length)
                 lists = wanted.slice(s.start, s.stop - s.start)
-                asked = mix(lists.flatten().to_numpy().view(np.uint64) + mix(np.repeat(np.arange(len(lists), dtype=np.uint64), lists.value_lengths().to_numpy())))
-                found = np.flatnonzero(~a.repeated & np.isin(mix(a.context.view(np.uint64) + mix(a.owner.astype(np.uint64))), asked))
+                asked = _within(lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()))
+                found = np.flatnonzero(~a.repeated & np.isin(_within(a.context, a.owner), asked))
                 body = [s.data[x: y + length].tobytes() for x, y in zip(a.first[found], a.last[found], strict=True)]
                 start = a.first[found] - s.offsets[a.owner[found]]
                 yield pa.RecordBatch.from_arrays([pa.array(a.anchor[found]), batch.column(0).take(pa.array(a.owner[found] + s.start)), pa.array(start), pa.array(a.context[found]), pa.array(body, pa.binary())], ["anchor", "id", "start", "context", "body"])
@@ -294,26 +298,29 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch, "text"):
-                a, starts = Anchors(s, length), np.zeros(len(s.data) + 1, np.int32)
-                for k in np.flatnonzero(a.repeated):
-                    starts[a.first[k]: a.last[k] + 1] = 1
-                bounds = np.searchsorted(a.owner, np.arange(s.stop - s.start + 1))
-                for i in range(s.stop - s.start):
-                    if not batch.column(2)[s.start + i].is_valid:
-                        continue
-                    marks = dict(zip(batch.column(2)[s.start + i].as_py(), batch.column(3)[s.start + i].as_py(), strict=True))
-                    for k in range(bounds[i], bounds[i + 1]):
-                        if not a.repeated[k] and (context := int(a.context[k])) in marks:
-                            bits, n = marks[context], a.last[k] - a.first[k] + 1
-                            starts[a.first[k]: a.last[k] + 1] = 1 if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-                cover = np.zeros(len(s.data) + 1, np.int32)
-                at = np.flatnonzero(starts)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                a, n = Anchors(s, length), s.stop - s.start
+                lists, bits = batch.column(2).slice(s.start, n), batch.column(3).slice(s.start, n).flatten()
+                counts = lists.value_lengths().fill_null(0).to_numpy()
+                marked = _within(lists.flatten().to_numpy(), np.repeat(np.arange(n), counts))
+                order = np.argsort(marked)
+                own = _within(a.context, a.owner)
+                at = np.minimum(np.searchsorted(marked, own, sorter=order), max(len(marked) - 1, 0))
+                hit = (marked[order[at]] == own) & ~a.repeated if len(marked) else np.zeros(len(own), bool)
+                partly = pc.is_valid(bits).to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(hit)
+                some = some[partly[order[at[some]]]]
+                whole = a.repeated | hit
+                whole[some] = False
+                edges = np.bincount(a.first[whole], minlength=len(s.data) + 1) - np.bincount(a.last[whole] + 1, minlength=len(s.data) + 1)
+                starts = np.cumsum(edges)[: len(s.data)] > 0
+                for k, raw in zip(some, bits.take(pa.array(order[at[some]])).to_pylist(), strict=True):
+                    starts[a.first[k]: a.last[k] + 1] = np.unpackbits(np.frombuffer(raw, np.uint8), count=a.last[k] - a.first[k] + 1)
+                # A byte is covered if one of the last ``length`` places starts a removed string.
+                covered = np.zeros(len(s.data) + length, np.int64)
+                np.cumsum(starts, out=covered[length:])
+                gone = covered[length:] > covered[: len(s.data)]
                 begins, _, owner = s.spans(gone)
                 kept = [s.data[x:y][~gone[x:y]].tobytes() for x, y in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
-                n = s.stop - s.start
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, n), pa.array(np.diff(s.offsets)), pa.array(s.per_text(gone)), pa.array(np.bincount(owner, minlength=n)), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return marked.mapInArrow(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id)

@@ -7,7 +7,7 @@ ASCII, so byte positions never split a character.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,7 @@ class Slice:
     stop: int
     data: np.ndarray
     offsets: np.ndarray
+    sums: dict[bool, np.ndarray] = field(default_factory=dict, repr=False)
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i]: self.offsets[i + 1]].tobytes()
@@ -89,13 +90,23 @@ class Slice:
         """Start, end and text of each word ``[^\\x20\\x09-\\x0D]+``."""
         return self.spans(~_is_white[self.data])
 
+    def _sums(self, lower: bool) -> np.ndarray:
+        """Running sums that spans are hashed from; kept for the next call."""
+        if lower not in self.sums:
+            n = len(self.data)
+            self.sums[lower] = np.zeros(n + 1, np.uint64)
+            np.cumsum(_VALUE[_lower[self.data] if lower else self.data] * powers(n)[0][:n], out=self.sums[lower][1:])
+        return self.sums[lower]
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit hash of the bytes of each span; equal bytes give equal hashes anywhere."""
-        n = len(self.data)
-        forward, back = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[_lower[self.data] if lower else self.data] * forward[:n], out=total[1:])
-        return mix((total[ends] - total[starts]) * back[starts])
+        total = self._sums(lower)
+        return mix((total[ends] - total[starts]) * powers(len(self.data))[1][starts])
+
+    def gram_hashes(self, size: int) -> np.ndarray:
+        """``hashes`` of all spans of ``size`` bytes, in order of their starts."""
+        total, n = self._sums(False), len(self.data) - size + 1
+        return mix((total[size:] - total[:-size]) * powers(len(self.data))[1][:n])
 
 
 def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[Slice]:

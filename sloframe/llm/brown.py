@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sloframe.llm.store import stored
+from sloframe.llm.store import release, stored
 from sloframe.llm.textbatch import run_starts, slices
 
 BLOCK_BYTES = 1 << 23
@@ -91,7 +91,7 @@ def read_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", block_b
             yield block()
 
     blocks = rows.mapInArrow(read, f"ids array<{kind}>, held binary, lengths binary, terms binary, counts binary, tokens binary")
-    return stored(blocks.select(F.expr("uuid()").alias("block"), "*"), "blocks")
+    return stored(blocks.select(F.expr("xxhash64(uuid())").alias("block"), "*"), "blocks")
 
 
 def _exploded(blocks: DataFrame, columns: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _exploded(blocks: DataFrame, columns: str) -> DataFrame:
                 term, n = np.frombuffer(terms, np.int64), np.frombuffer(counts, np.int64)
                 for a in range(0, len(term), 100_000):
                     t = term[a: a + 100_000]
-                    made = {"block": lambda t=t: pa.array([block] * len(t)), "place": lambda a=a, t=t: pa.array(np.arange(a, a + len(t)).astype(np.int32)), "term": lambda t=t: pa.array(t), "n": lambda a=a: pa.array(n[a: a + 100_000])}
+                    made = {"block": lambda t=t: pa.array(np.full(len(t), block)), "place": lambda a=a, t=t: pa.array(np.arange(a, a + len(t)).astype(np.int32)), "term": lambda t=t: pa.array(t), "n": lambda a=a: pa.array(n[a: a + 100_000])}
                     yield pa.RecordBatch.from_arrays([made[c]() for c in names], names)
 
     return blocks.select("block", "terms", "counts").mapInArrow(explode, columns)
@@ -209,20 +209,36 @@ def _frequent_bigrams(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """The blocks with ``found``: places and training counts of their terms."""
-    wanted = _exploded(blocks, "block string, place int, term long").join(known, "term")
-    found = wanted.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("found"))
-    found = found.select(F.col("block").alias("of"), F.col("found.place").alias("places"), F.col("found.c").alias("known"))
-    return blocks.join(found, F.col("block") == F.col("of"), "left").select("ids", "held", "lengths", "terms", "tokens", "places", "known")
+    """The blocks with ``known``: the training counts of their terms, in order."""
+    wanted = _exploded(blocks, "block long, place int, term long").join(known, "term", "left")
+    dealt = wanted.select("block", "place", F.coalesce("c", F.lit(0)).alias("c")).repartition("block").sortWithinPartitions("block", "place")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["of", "known"])
+
+        for batch in batches:
+            block, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = run_starts(block)
+            for x, y in zip(starts, [*starts[1:], len(block)], strict=True):
+                if parts and block[x] != now:
+                    yield whole()
+                    parts = []
+                now = int(block[x])
+                parts.append(c[x:y])
+        if parts:
+            yield whole()
+
+    found = dealt.select("block", "c").mapInArrow(gather, "of long, known binary")
+    return blocks.join(found, F.col("block") == F.col("of")).select("ids", "held", "lengths", "terms", "tokens", "known")
 
 
 def _read(row: dict) -> tuple[np.ndarray, ...]:
     """held, lengths, terms, counts and tokens of a block with counts."""
-    terms = np.frombuffer(row["terms"].as_buffer(), np.uint64)
-    counts = np.zeros(len(terms), np.int64)
-    if row["places"].is_valid:
-        counts[row["places"].values.to_numpy()] = row["known"].values.to_numpy()
-    return np.frombuffer(row["held"].as_buffer(), bool), np.frombuffer(row["lengths"].as_buffer(), np.int64), terms, counts, _unplaned(row["tokens"].as_buffer())
+    numbers = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+    return numbers("held", bool), numbers("lengths", np.int64), numbers("terms", np.uint64), numbers("known", np.int64), _unplaned(row["tokens"].as_buffer())
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -270,18 +286,21 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     kind = docs.schema[id].dataType.simpleString()
     blocks = read_blocks(docs, id, text)
     known = stored(_exploded(blocks, "term long, n long").filter("n > 0").groupBy("term").agg(F.sum("n").alias("c")), "counts")
+    release(spark)
     tokens, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = known.filter((F.col("c") >= F.lit(share * tokens)) & (F.col("term") != END_TERM)).toArrow()
     terms, n = often.column("term").to_numpy().view(np.uint64), often.column("c").to_numpy()
     order = np.argsort(terms)
     frequent, n = terms[order], n[order]
     classes = cluster(stored(_frequent_bigrams(blocks, frequent), "bigrams"), n, sweeps)
+    release(spark)
     model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64), np.zeros(ALL, np.int64))
     counted = _with_counts(blocks, known)
     pairs = _transitions(counted, model).toArrow()
     model.transitions.reshape(-1)[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     model.emissions = model.transitions.sum(axis=0)
     shared = spark.sparkContext.broadcast(model)
+    release(spark)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -119,7 +119,6 @@ class Model:
     frequent: np.ndarray  # sorted term hashes
     classes: np.ndarray  # of the frequent terms
     transitions: np.ndarray
-    emissions: np.ndarray  # tokens of each class
 
     def class_of(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Class of each term by its count in the training text."""
@@ -137,9 +136,12 @@ class Model:
         n += smoothing
         return np.log10(n / n.sum(axis=1, keepdims=True))
 
-    def log_emissions(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 p(word | class); an unseen word is one of as many as there are known."""
-        return np.where(classes == UNSEEN, -np.log10(self.types + 1), np.log10(np.maximum(counts, 1) / np.maximum(self.emissions[classes], 1)))
+    def log_sizes(self) -> np.ndarray:
+        """log10 of the training tokens of each class, of which a word's count is a share;
+        0 for unseen words, each of which is one of as many as there are known."""
+        out = np.log10(np.maximum(self.transitions.sum(axis=0), 1))
+        out[UNSEEN] = 0
+        return out
 
 
 def exchange(left: np.ndarray, right: np.ndarray, matrix: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
@@ -255,20 +257,44 @@ def _before(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _transitions(counted: DataFrame, model: Model) -> DataFrame:
+def _classified(counted: DataFrame, model: Model, kind: str) -> DataFrame:
+    """Per block: ids, held and lengths; per text ``known`` tokens, ``base`` score and
+    ``emitted`` (what the counts of its words add to the score); the class of each token."""
     shared = counted.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, emitted = np.zeros(ALL * ALL, np.int64), np.zeros(ALL, np.int64)
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for row in _rows(batches):
             held, lengths, terms, counts, tokens = _read(row)
-            classes = shared.value.class_of(terms, counts)[tokens]
+            of = model.class_of(terms, counts)
+            base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+            emitted = np.where(of == UNSEEN, -np.log10(model.types + 1), np.log10(np.maximum(counts, 1)))
+            begin = np.cumsum(lengths) - lengths
+            values = [held, lengths, np.add.reduceat((counts > 0)[tokens].astype(np.int64), begin), np.add.reduceat(base[tokens], begin), np.add.reduceat(emitted[tokens], begin), of[tokens].astype(np.uint8)]
+            ids = row["ids"].values
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([v.tobytes()], pa.binary()) for v in values)]
+            yield pa.RecordBatch.from_arrays(arrays, ["ids", "held", "lengths", "known", "base", "emitted", "classes"])
+
+    return counted.mapInArrow(classify, f"ids array<{kind}>, held binary, lengths binary, known binary, base binary, emitted binary, classes binary")
+
+
+def _sequence(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """held and lengths of a block's texts, and the classes of their tokens."""
+    numbers = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+    return numbers("held", bool), numbers("lengths", np.int64), numbers("classes", np.uint8).astype(np.int64)
+
+
+def _transitions(classified: DataFrame) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ALL * ALL, np.int64)
+        for row in _rows(batches):
+            held, lengths, classes = _sequence(row)
             pairs = (_before(classes, lengths) * ALL + classes)[np.repeat(~held, lengths)]
             total += np.bincount(pairs, minlength=ALL * ALL)
-        emitted = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(emitted), pa.array(total[emitted])], ["pair", "n"])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "n"])
 
-    return counted.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return classified.select("held", "lengths", "classes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, sweeps: int = SWEEPS) -> DataFrame:
@@ -294,27 +320,21 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     frequent, n = terms[order], n[order]
     classes = cluster(stored(_frequent_bigrams(blocks, frequent), "bigrams"), n, sweeps)
     release(spark)
-    model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64), np.zeros(ALL, np.int64))
-    counted = _with_counts(blocks, known)
-    pairs = _transitions(counted, model).toArrow()
-    model.transitions.reshape(-1)[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    model.emissions = model.transitions.sum(axis=0)
-    shared = spark.sparkContext.broadcast(model)
+    model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64))
+    classified = stored(_classified(_with_counts(blocks, known), model, kind), "classes")
     release(spark)
+    pairs = _transitions(classified).toArrow()
+    model.transitions.reshape(-1)[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast((model.log_transitions(), model.log_sizes(), model.tokens))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        moves = model.log_transitions()
+        moves, sizes, train = shared.value
         for row in _rows(batches):
-            held, lengths, terms, counts, tokens = _read(row)
-            of = model.class_of(terms, counts)
-            base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-            emitted = model.log_emissions(of, counts)
-            classes = of[tokens]
-            ends = np.cumsum(lengths)
-            total = lambda x: np.add.reduceat(x, ends - lengths)
-            values = [held, lengths, total((counts > 0)[tokens].astype(np.int64)), np.full(len(lengths), model.tokens), total(base[tokens]), total(moves[_before(classes, lengths), classes] + emitted[tokens])]
+            held, lengths, classes = _sequence(row)
+            known, base, emitted = (np.frombuffer(row[c].as_buffer(), t) for c, t in (("known", np.int64), ("base", np.float64), ("emitted", np.float64)))
+            moved = np.add.reduceat(moves[_before(classes, lengths), classes] - sizes[classes], np.cumsum(lengths) - lengths)
+            values = [held, lengths, known, np.full(len(lengths), train), base, moved + emitted]
             yield pa.RecordBatch.from_arrays([row["ids"].values, *(pa.array(v) for v in values)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return counted.mapInArrow(score, schema).withColumnRenamed("id", id)
+    return classified.mapInArrow(score, schema).withColumnRenamed("id", id)

@@ -1,9 +1,9 @@
 """Scoring texts with a Brown class-based bigram model, and with a unigram base.
 
 p(word | previous) = p(class | previous class) * p(word | class). Exchange clustering
-assigns frequent words to classes; every other word belongs to the class of words of about
-its count, words outside the training text to a class of their own, and the end of a text
-is a class too.
+assigns frequent words to classes on the driver; from these every other word that the
+training text has twice or more gets its class by exchange in Spark. Words seen once are
+a class, words outside the training text another, and the end of a text is one too.
 
 Texts are read once, into blocks of some megabytes: a block lists its distinct words and
 holds its texts as places in that list. Counts of all words are one distributed table;
@@ -25,12 +25,12 @@ from sloframe.llm.store import release, stored
 from sloframe.llm.textbatch import run_starts, slices
 
 BLOCK_BYTES = 1 << 23
-CLASSES = 64  # of frequent words
-BANDS = 48  # classes of the other words, by the power of two of their count
-UNSEEN, END = CLASSES + BANDS, CLASSES + BANDS + 1
-ALL = CLASSES + BANDS + 2
+CLASSES = 64  # of words seen twice or more
+ONCE, UNSEEN, END = CLASSES, CLASSES + 1, CLASSES + 2
+ALL = CLASSES + 3
 SHARE = 5e-5  # a word with this share of the training tokens is frequent; so 20,000 at most
 SWEEPS = 8
+REST_SWEEPS = 2  # of the other words after their first, each of one half of them
 END_TERM = 0  # what the empty string hashes to
 
 
@@ -120,19 +120,18 @@ class Model:
     classes: np.ndarray  # of the frequent terms
     transitions: np.ndarray
 
-    def class_of(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Class of each term by its count in the training text."""
-        out = np.where(counts > 0, CLASSES + np.minimum(np.frexp(np.maximum(counts, 1))[1] - 1, BANDS - 1), UNSEEN)
+    def class_of(self, terms: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Class of each term; ``of`` has that of the terms that are not frequent."""
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, terms), len(self.frequent) - 1)
-            out = np.where(self.frequent[at] == terms, self.classes[at], out)
-        return np.where(terms == END_TERM, END, out)
+            of = np.where(self.frequent[at] == terms, self.classes[at], of)
+        return np.where(terms == END_TERM, END, of)
 
     def log_transitions(self, smoothing: float = 0.1) -> np.ndarray:
         """log10 p(class | previous class). Unseen words are expected after a class as often
         as words that the training text has once."""
         n = self.transitions.astype(np.float64)
-        n[:, UNSEEN] = n[:, CLASSES]
+        n[:, UNSEEN] = n[:, ONCE]
         n += smoothing
         return np.log10(n / n.sum(axis=1, keepdims=True))
 
@@ -144,12 +143,17 @@ class Model:
         return out
 
 
+def gains(matrix: np.ndarray) -> np.ndarray:
+    """What a neighbour of each class is worth to a word of each class, by class bigrams."""
+    n = matrix + 0.5
+    return np.log(n) - np.log(n.sum(axis=1))[:, None] - np.log(n.sum(axis=0))[None, :]
+
+
 def exchange(left: np.ndarray, right: np.ndarray, matrix: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
     """One sweep: half of the words (even or odd places, by ``turn``) each move to the class
     that gains most likelihood under the class bigram counts ``matrix``. ``left`` and
     ``right`` count, per word, the classes before and after it."""
-    n = matrix + 0.5
-    gain = np.log(n) - np.log(n.sum(axis=1))[:, None] - np.log(n.sum(axis=0))[None, :]
+    gain = gains(matrix)
     best = (left @ gain + right @ gain.T)[:, :CLASSES].argmax(axis=1)
     moves = np.arange(len(classes)) % 2 == turn % 2
     return np.where(moves, best, classes)
@@ -210,10 +214,10 @@ def _frequent_bigrams(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
-def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """The blocks with ``known``: the training counts of their terms, in order."""
-    wanted = _exploded(blocks, "block long, place int, term long").join(known, "term", "left")
-    dealt = wanted.select("block", "place", F.coalesce("c", F.lit(0)).alias("c")).repartition("block").sortWithinPartitions("block", "place")
+def _dealt(blocks: DataFrame, table: DataFrame, missing: int, kind: type) -> DataFrame:
+    """``of`` (a block) and ``known``: the values ``c`` that ``table`` has for its terms, in order."""
+    wanted = _exploded(blocks, "block long, place int, term long").join(table, "term", "left")
+    dealt = wanted.select("block", "place", F.coalesce("c", F.lit(missing)).alias("c")).repartition("block").sortWithinPartitions("block", "place")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -222,7 +226,7 @@ def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["of", "known"])
 
         for batch in batches:
-            block, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            block, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(kind)
             starts = run_starts(block)
             for x, y in zip(starts, [*starts[1:], len(block)], strict=True):
                 if parts and block[x] != now:
@@ -233,14 +237,150 @@ def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
         if parts:
             yield whole()
 
-    found = dealt.select("block", "c").mapInArrow(gather, "of long, known binary")
+    return dealt.select("block", "c").mapInArrow(gather, "of long, known binary")
+
+
+def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """The blocks with ``known``: count and class of their terms, packed, in order."""
+    found = _dealt(blocks, known, UNSEEN, np.int64)
     return blocks.join(found, F.col("block") == F.col("of")).select("ids", "held", "lengths", "terms", "tokens", "known")
 
 
+def _with_classes(blocks: DataFrame, words: DataFrame | None) -> DataFrame:
+    """The training columns of the blocks with ``known``: the classes that ``words`` has for
+    their terms, in order; null without ``words``."""
+    columns = ["held", "lengths", "terms", "tokens"]
+    if words is None:
+        return blocks.select(*columns, F.lit(None).cast("binary").alias("known"))
+    found = stored(_dealt(blocks, words.withColumnRenamed("class", "c"), ONCE, np.uint8), "places")
+    release(blocks.sparkSession)
+    return blocks.select("block", *columns).join(found, F.col("block") == F.col("of")).select(*columns, "known")
+
+
+def _trained(row: dict, model: Model) -> tuple[np.ndarray, ...]:
+    """terms of a block, their classes so far, its tokens, and which of these are learnt from."""
+    numbers = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+    terms, lengths = numbers("terms", np.uint64), numbers("lengths", np.int64)
+    of = numbers("known", np.uint8).astype(np.int64) if row["known"].is_valid else np.full(len(terms), ONCE)
+    return terms, model.class_of(terms, of), lengths, _unplaned(row["tokens"].as_buffer()), np.repeat(~numbers("held", bool), lengths)
+
+
+def _matrix(classed: DataFrame, model: Model) -> np.ndarray:
+    """Class bigram counts of the training texts."""
+    shared = classed.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ALL * ALL, np.int64)
+        for row in _rows(batches):
+            _, of, lengths, tokens, train = _trained(row, shared.value)
+            classes = of[tokens]
+            total += np.bincount((_before(classes, lengths) * ALL + classes)[train], minlength=ALL * ALL)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "n"])
+
+    pairs = classed.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ALL * ALL, np.int64)
+    out[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    return out.reshape(ALL, ALL)
+
+
+def _around(classed: DataFrame, model: Model, turn: int | None) -> DataFrame:
+    """(term, around) per block and word that is not frequent: a byte for the class before
+    each of its training tokens and one, higher by ALL, for the class after it. With
+    ``turn``, only of words that have a class and whose hash is even or odd as it is."""
+    shared = classed.sparkSession.sparkContext.broadcast(model)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for row in _rows(batches):
+            terms, of, lengths, tokens, train = _trained(row, model)
+            wanted = (terms != END_TERM) & ~np.isin(terms, model.frequent)
+            if turn is not None:
+                wanted &= (of < CLASSES) & (terms & np.uint64(1) == turn % 2)
+            classes = of[tokens]
+            at = np.flatnonzero(train & wanted[tokens])
+            at = at[np.argsort(tokens[at], kind="stable")]
+            bytes_ = np.stack([_before(classes, lengths)[at], ALL + classes[at + 1]], axis=1).astype(np.uint8).reshape(-1)
+            starts = run_starts(tokens[at])
+            ends, term = np.append(starts[1:], len(at)), terms[tokens[at[starts]]].view(np.int64)
+            for a in range(0, len(starts), 20_000):
+                part = slice(a, a + 20_000)
+                low, high = 2 * starts[a], 2 * ends[part][-1]
+                offsets = (np.append(2 * starts[part], high) - low).astype(np.int32)
+                around = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(bytes_[low:high].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(term[part]), around], ["term", "around"])
+
+    return classed.mapInArrow(collect, "term long, around binary")
+
+
+def _moved(around: DataFrame, gain: np.ndarray) -> DataFrame:
+    """(term, class) of the words that occur twice or more: the class that gains most from
+    all that stands around a word. Counts of one word at a time are held, whatever its rows."""
+    shared = around.sparkSession.sparkContext.broadcast(gain)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, width = shared.value, 2 * ALL
+        last, held = None, np.zeros((1, width), np.int64)
+
+        def best(terms: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            often = n.sum(axis=1) > 2  # a token counts on both sides
+            n = n[often]
+            left, right = n[:, :ALL], n[:, ALL:]
+            value = (left @ gain + right @ gain.T)[:, :CLASSES]
+            top = value.max(axis=1, keepdims=True)
+            tied = value >= top - 1e-9 * (1 + np.abs(top))  # classes still empty; words of like neighbours take the same
+            pick = (left.argmax(axis=1) * ALL + right.argmax(axis=1)) % tied.sum(axis=1)
+            classes = (tied.cumsum(axis=1) > pick[:, None]).argmax(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(terms[often]), pa.array(classes.astype(np.int8))], ["term", "class"])
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                rows, terms = part.column(1), part.column(0).to_numpy()
+                offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset: rows.offset + len(rows) + 1]
+                around = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0]: offsets[-1]].astype(np.int64)
+                starts = run_starts(terms)
+                word = np.zeros(len(terms), np.int64)
+                word[starts[1:]] = 1
+                n = np.bincount(np.repeat(np.cumsum(word), np.diff(offsets)) * width + around, minlength=len(starts) * width).reshape(-1, width)
+                terms = terms[starts]
+                if last is not None and terms[0] == last:
+                    n[0] += held[0]
+                elif last is not None:
+                    yield best(np.array([last]), held)
+                if len(terms) > 1:
+                    yield best(terms[:-1], n[:-1])
+                last, held = terms[-1], n[-1:].copy()
+        if last is not None:
+            yield best(np.array([last]), held)
+
+    return around.repartition("term").sortWithinPartitions("term").mapInArrow(move, "term long, class byte")
+
+
+def cluster_rest(blocks: DataFrame, model: Model, sweeps: int = REST_SWEEPS) -> DataFrame:
+    """(term, class) of all words that are not frequent and occur twice or more in training.
+
+    The first sweep weighs a word's neighbours by the classes of frequent words; each later
+    one moves the even or the odd half by the classes of all words. Tables hold the words;
+    the driver sees class bigram counts only.
+    """
+    words = None
+    for turn in range(sweeps + 1):
+        classed = _with_classes(blocks, words)
+        gain = gains(_matrix(classed, model))
+        moved = _moved(_around(classed, model, turn if turn else None), gain)
+        if words is not None:
+            moved = moved.unionByName(words.filter(F.col("term").bitwiseAND(F.lit(1)) != turn % 2))
+        words = stored(moved, "words")
+        release(blocks.sparkSession)
+    return words
+
+
 def _read(row: dict) -> tuple[np.ndarray, ...]:
-    """held, lengths, terms, counts and tokens of a block with counts."""
+    """held, lengths, terms, counts, classes and tokens of a block with counts."""
     numbers = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
-    return numbers("held", bool), numbers("lengths", np.int64), numbers("terms", np.uint64), numbers("known", np.int64), _unplaned(row["tokens"].as_buffer())
+    known = numbers("known", np.int64)
+    return numbers("held", bool), numbers("lengths", np.int64), numbers("terms", np.uint64), known // 128, known % 128, _unplaned(row["tokens"].as_buffer())
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -265,8 +405,8 @@ def _classified(counted: DataFrame, model: Model, kind: str) -> DataFrame:
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for row in _rows(batches):
-            held, lengths, terms, counts, tokens = _read(row)
-            of = model.class_of(terms, counts)
+            held, lengths, terms, counts, of, tokens = _read(row)
+            of = model.class_of(terms, of)
             base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             emitted = np.where(of == UNSEEN, -np.log10(model.types + 1), np.log10(np.maximum(counts, 1)))
             begin = np.cumsum(lengths) - lengths
@@ -297,14 +437,15 @@ def _transitions(classified: DataFrame) -> DataFrame:
     return classified.select("held", "lengths", "classes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, sweeps: int = SWEEPS) -> DataFrame:
+def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, sweeps: int = SWEEPS, rest_sweeps: int = REST_SWEEPS) -> DataFrame:
     """Per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` (log10 probabilities of the text).
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Every text
     whose id has a CRC-32 that 10 does not divide is learnt from, whole. ``share`` bounds
-    the frequent words (1 / share at most) and with them what the driver holds; word
-    counts, class transitions and emissions are of all training texts. A null or empty
+    the frequent words (1 / share at most) that the driver clusters; the classes of all
+    other words that occur twice or more follow from them by ``rest_sweeps`` more sweeps.
+    Word counts, class transitions and emissions are of all training texts. A null or empty
     text is one end. Every row is a document; a null id is held out; other columns are
     ignored. Without training texts the base gives 0 and the model knows no word.
     """
@@ -321,7 +462,9 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     classes = cluster(stored(_frequent_bigrams(blocks, frequent), "bigrams"), n, sweeps)
     release(spark)
     model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64))
-    classified = stored(_classified(_with_counts(blocks, known), model, kind), "classes")
+    words = cluster_rest(blocks, model, rest_sweeps)
+    packed = known.join(words, "term", "left").select("term", (F.col("c") * 128 + F.coalesce("class", F.lit(ONCE))).alias("c"))
+    classified = stored(_classified(_with_counts(blocks, packed), model, kind), "classes")
     release(spark)
     pairs = _transitions(classified).toArrow()
     model.transitions.reshape(-1)[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()

@@ -252,6 +252,21 @@ def test_brown_model_learns_word_order(spark):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
 
 
+def test_brown_classes_of_rare_words(spark):
+    """Words far below the share have classes by their neighbours, not by their counts."""
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(w for _ in range(20) for w in ("x", f"a{r.integers(400)}", "y", f"b{r.integers(400)}"))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = brown.score_documents(df, share=0.01).filter("held_out").collect()
+    # A count band of all 800 words gives -1.6 a token, a class of 400 at most -1.3.
+    assert out and sum(r.score for r in out) > -1.45 * sum(r.n_tokens for r in out)
+    blocks = brown.read_blocks(df, block_bytes=4000)
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split())
+    none = np.zeros(0, np.uint64)
+    words = brown.cluster_rest(blocks, brown.Model(0, 0, none, np.zeros(0, np.int64), None)).collect()
+    assert len({w.term for w in words}) == len(words) == sum(n > 1 for n in counts.values())
+
+
 def test_search_is_exact(docs, texts):
     got = search.search(search.build_index(docs, shard_bytes=3000), docs.filter("doc_id % 7 = 0"), k=6, block_terms=3000).collect()
     words = {i: words_of(t) for i, t in enumerate(texts)}

@@ -25,6 +25,7 @@ BLOCK_TAGS = frozenset(
     "blockquote pre figure figcaption form fieldset address details summary center hr".split()
 )
 HIDDEN_TAGS = frozenset("head script style noscript template svg math iframe object select button textarea canvas audio video map title".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
@@ -67,21 +68,65 @@ class Dom(HTMLParser):
 
     Unclosed and stray tags are taken as browsers do in the common cases: a block ends an
     open paragraph, items and cells end their like, an end tag without a start is ignored.
+    The head ends at the first tag or text that it cannot hold. A hidden element that is
+    not closed ends at the next block tag, or where the block ends that it stands in.
+    ``labels`` reads ``data-label``, which made pages have.
     """
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, labels: bool = True):
         super().__init__(convert_charrefs=True)
+        self.labels = labels
+        self.head = False
+        self.events: list[tuple[str, str, list[tuple[str, str | None]] | None]] = []
         self.nodes = [Node("html", -1, 0, (), 0)]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.open = [0]
         self.hidden: list[str] = []
+        self.loose = False  # the hidden element is not closed
         self.link = False
         self.parts: list[str] = []
         self.link_chars = 0
         self.feed(page)
         self.close()
+        unclosed = self._unclosed()
+        for i, (kind, value, attrs) in enumerate(self.events):
+            if kind == "start":
+                self._start(value, attrs, i in unclosed)
+            elif kind == "end":
+                self._end(value)
+            else:
+                self._data(value)
+        self.events = []
         self._flush()
 
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.events.append(("start", tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.events.append(("end", tag, None))
+
+    def handle_data(self, data: str) -> None:
+        self.events.append(("data", data, None))
+
+    def _unclosed(self) -> set[int]:
+        """Places of the hidden elements without an end tag in the block they stand in."""
+        out, stack, depth = set(), [], {}
+        for i, (kind, tag, _) in enumerate(self.events):
+            if tag == "head" or tag in VOID_TAGS or kind == "data" or tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
+                continue
+            if kind == "start":
+                stack.append((tag, i))
+                depth[tag] = depth.get(tag, 0) + 1
+            elif depth.get(tag):
+                while stack:
+                    top, at = stack.pop()
+                    depth[top] -= 1
+                    if top == tag:
+                        break
+                    if top in HIDDEN_TAGS:
+                        out.add(at)
+        return out | {at for tag, at in stack if tag in HIDDEN_TAGS}
+
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -99,18 +144,21 @@ class Dom(HTMLParser):
             if tag in scope:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _start(self, tag: str, attrs: list[tuple[str, str | None]], unclosed: bool) -> None:
+        if self.hidden and self.loose and tag in BLOCK_TAGS:
+            self.hidden.clear()
         if self.hidden:
-            if tag == self.hidden[-1] and tag not in VOID_TAGS:
+            if tag == self.hidden[-1] and not unclosed and not self.loose:
                 self.hidden.append(tag)
-            elif tag == "body" and self.hidden[-1] == "head":
-                self.hidden.clear()
-            else:
-                return
-            if self.hidden:
-                return
+            return
+        if tag == "head":
+            self.head = True
+            return
+        if self.head and tag not in HEAD_TAGS:
+            self.head = False
         if tag in HIDDEN_TAGS:
             self.hidden.append(tag)
+            self.loose = unclosed
             return
         if tag not in BLOCK_TAGS:
             if tag == "a":
@@ -134,14 +182,18 @@ class Dom(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role", "itemprop", "aria-label") and value:
                 groups += [_GROUPS[w] for w in map(str.lower, _word_parts(value)) if w in _GROUPS]
-            elif name == "data-label" and value:
+            elif self.labels and name == "data-label" and value:
                 label = int(value)
         parent = self.open[-1]
         self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, tuple(groups), len(self.nodes[parent].children), label))
         self.nodes[parent].children.append(len(self.nodes) - 1)
         self.open.append(len(self.nodes) - 1)
 
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str) -> None:
+        if tag in ("head", "body", "html"):
+            self.head = False
+        if self.hidden and self.loose and tag in BLOCK_TAGS:
+            self.hidden.clear()
         if self.hidden:
             if tag == self.hidden[-1]:
                 self.hidden.pop()
@@ -152,8 +204,12 @@ class Dom(HTMLParser):
             self._flush()
             self._close(frozenset([tag]), frozenset())
 
-    def handle_data(self, data: str) -> None:
+    def _data(self, data: str) -> None:
         if not self.hidden:
+            if self.head:
+                if not data.strip():
+                    return
+                self.head = False
             self.parts.append(data)
             if self.link:
                 self.link_chars += len(data)
@@ -406,7 +462,7 @@ def fit_extractor(pages: DataFrame, id: str = "page_id", html: str = "html", sam
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[w for _, text, _ in Dom(x or "").runs for w in text.split()][:300] for x in batch.column(0).to_pylist()]
+            found = [[w for _, text, _ in Dom(x or "", labels=False).runs for w in text.split()][:300] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["words"])
 
     rows = pages.select(F.col(id).alias("id"), F.col(html).cast("string").alias("html")).orderBy(F.xxhash64("id"), "id").limit(sample).select("html")
@@ -439,7 +495,7 @@ def extract_main_text(pages: DataFrame, model: Boosted, id: str = "page_id", url
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                doms = [Dom(x or "") for x in part.column(2).to_pylist()]
+                doms = [Dom(x or "", labels=False) for x in part.column(2).to_pylist()]
                 logits = shared.value.logit(np.concatenate([features(d) for d in doms]))
                 cut = np.cumsum([len(d.nodes) for d in doms])[:-1]
                 texts = [main_text(d, decode(d, v)) for d, v in zip(doms, np.split(logits, cut), strict=True)]

@@ -368,6 +368,23 @@ def test_html_extraction_of_a_page(spark, extractor):
     assert got[2].text == got[3].text == got[4].text == ""
 
 
+def test_html_without_optional_tags(spark, extractor):
+    """No text is lost to a head, or another hidden element, that is not closed."""
+    runs = lambda page: [text for _, text, _ in html.Dom(page, labels=False).runs]
+    assert runs("<html><head><title>T</title><meta charset=utf-8><article><h1>A</h1><p>Body text.</article></html>") == ["A", "Body text."]
+    assert runs("<head><title>T</title>\n<script>var t='<p>';</script>\nText <p>B") == ["Text", "B"]
+    assert runs("<head><noscript><img></noscript><style>p {}</style></head><body><p>B") == ["B"]
+    for tag in ("button", "select", "object", "svg", "noscript"):
+        assert runs(f"<article><div><{tag}>x</div><p>B</p></article><p>C") == ["B", "C"], tag
+        assert runs(f"<body><{tag}>x<article><p>B</p></article></body>") == ["B"], tag
+        assert runs(f"<div><{tag}>x<p>y</p><div>z</div></{tag}><p>B</p></div>") == ["B"], tag
+        assert runs(f"<div><{tag}>x<{tag}>y</{tag}>z</{tag}><p>B</p></div>") == ["B"], tag
+    page = "<html><head><title>T</title><article class=article><h1>A</h1><p data-label=Price>Body text, which is a sentence.<p>And there is another one.</article></html>"
+    frame = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html.extract_main_text(frame, extractor).first().text == "A\nBody text, which is a sentence.\nAnd there is another one."
+    assert html.fit_extractor(frame, made=20)
+
+
 def test_repeated_and_null_ids(odd, texts):
     n = len(texts) + 3
     assert lines.dedup_lines(odd).count() == n

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sloframe.llm import bpe, brown, html, lines, minhash, mixing, quality, search, suffix, warc
+from sloframe.llm import bpe, brown, html, importance, lines, minhash, mixing, quality, search, sketch, suffix, warc, whitening
 from sloframe.llm.registry import Plan, table
 from sloframe.llm.sql import ORACLES
 
@@ -77,6 +77,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "kept")
 
 
+@query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint_edits(table(spark, sf_dir, "documents"), recovered=False)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 PLANS["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

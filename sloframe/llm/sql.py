@@ -43,7 +43,45 @@ FROM chances
 """
 
 
+FEATURES = f"regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    # The checksum is worked out byte by byte, once per distinct word.
+    "op13_importance": f"""
+WITH crc AS (
+    SELECT list(v ORDER BY k) AS tab FROM (
+        SELECT k, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS v FROM range(256) t(k))
+), raw AS (
+    SELECT doc_id, unnest({FEATURES}) AS w FROM documents
+), aim AS (
+    SELECT unnest({FEATURES}) AS w FROM benchmark
+), words AS (
+    SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM raw UNION SELECT w FROM aim)
+), bucketed AS (
+    SELECT w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                              lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+    FROM words, crc
+), s AS (
+    SELECT b, count(*)::DOUBLE AS n FROM raw JOIN bucketed USING (w) GROUP BY b
+), t AS (
+    SELECT b, count(*)::DOUBLE AS n FROM aim JOIN bucketed USING (w) GROUP BY b
+), total AS (
+    SELECT (SELECT count(*) FROM raw)::DOUBLE AS s_all, (SELECT count(*) FROM aim)::DOUBLE AS t_all
+), gains AS (
+    SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1) * (s_all + 10000) / ((s.n + 1) * (t_all + 10000))))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (b), total
+), weighed AS (
+    SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM raw JOIN bucketed USING (w) JOIN gains USING (b) GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+           coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM documents LEFT JOIN weighed USING (doc_id)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+""",
     "op1_line_dedup": f"""
 WITH lines AS (
     SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line

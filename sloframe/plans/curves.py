@@ -311,35 +311,104 @@ def _outcomes(spark, d):
     return predict.outcome_features(f, model_dim(spark))
 
 
-@query("early_prediction")
+_W = ["w0", "w1", "w2", "w3"]  # weights of the three features and the bias
+
+
+def _newton_sql(train: str, steps: int = predict.STEPS, penalty: float = predict.PENALTY) -> str:
+    """Newton steps for all folds, written out. Reads ``rows_`` (x0 to x2, x3 = 1, y, fold) and
+    ``folds``; ``train`` says whether row r is trained on for fold m."""
+    out = ["m0 AS (SELECT fold, " + ", ".join(f"0.0::DOUBLE AS {w}" for w in _W) + " FROM folds)"]
+    upper = [(i, j) for i in range(4) for j in range(i, 4)]
+    for t in range(1, steps + 1):
+        z = " + ".join(f"m.w{i} * r.x{i}" for i in range(4))
+        sums = [f"sum((p - y) * x{i}) / count(*) AS g{i}" for i in range(4)] + [f"sum(p * (1 - p) * x{i} * x{j}) / count(*) AS h{i}{j}" for i, j in upper]
+        out.append(f"e{t} AS (SELECT m.*, r.x0, r.x1, r.x2, r.x3, r.y, 1 / (1 + exp(-({z}))) AS p FROM m{t - 1} m JOIN rows_ r ON {train})")
+        out.append(f"s{t} AS (SELECT fold, {', '.join(_W)}, sum(y) AS ones, count(*) AS n, {', '.join(sums)} FROM e{t} GROUP BY fold, {', '.join(_W)})")
+        # Elimination without pivots: the matrix is symmetric and positive definite.
+        rows = [[f"h{min(i, j)}{max(i, j)}" + (f" + {penalty}::DOUBLE" if i == j < 3 else "") for j in range(4)] + [f"g{i}" + (f" + {penalty}::DOUBLE * w{i}" if i < 3 else "")] for i in range(4)]
+        cte, source = ", ".join(f"{rows[i][j]} AS a{i}{j}" for i in range(4) for j in range(5)), f"s{t}"
+        out.append(f"a{t}_0 AS (SELECT fold, {', '.join(_W)}, ones, n, {cte} FROM {source})")
+        for k in range(3):
+            cells = ", ".join((f"a{i}{j} - a{i}{k} * a{k}{j} / nullif(a{k}{k}, 0) AS a{i}{j}" if i > k and j >= k else f"a{i}{j}") for i in range(4) for j in range(5))
+            out.append(f"a{t}_{k + 1} AS (SELECT fold, {', '.join(_W)}, ones, n, {cells} FROM a{t}_{k})")
+        out.append(f"b{t}_3 AS (SELECT *, a34 / nullif(a33, 0) AS d3 FROM a{t}_3)")
+        for k in (2, 1, 0):
+            less = "".join(f" - a{k}{j} * d{j}" for j in range(k + 1, 4))
+            out.append(f"b{t}_{k} AS (SELECT *, (a{k}4{less}) / nullif(a{k}{k}, 0) AS d{k} FROM b{t}_{k + 1})")
+        cut = f"least(1.0::DOUBLE, {predict.LONGEST_STEP}::DOUBLE / greatest(sqrt(d0 * d0 + d1 * d1 + d2 * d2 + d3 * d3), 1e-300::DOUBLE))"
+        moved = ", ".join(f"CASE WHEN ones IN (0, n) OR d0 IS NULL THEN w{i} ELSE w{i} - d{i} * {cut} END AS w{i}" for i in range(4))
+        out.append(f"m{t} AS MATERIALIZED (SELECT fold, {moved} FROM b{t}_0)")
+    z = " + ".join(f"m.w{i} * r.x{i}" for i in range(4))
+    share = f"CASE WHEN s.n = s.ones THEN 1.0 WHEN s.ones = 0 THEN 0.0 ELSE 1 / (1 + exp(-({z}))) END"
+    out.append(f"""scored AS (SELECT r.model, r.task, r.family, r.y AS label, {share} AS probability, CAST({share} >= 0.5 AS INT)::DOUBLE AS prediction
+      FROM rows_ r LEFT JOIN m{steps} m ON m.fold = r.fold LEFT JOIN s{steps} s ON s.fold = r.fold)""")
+    return ", ".join(out)
+
+
+def _rows_sql(fold: str) -> str:
+    return f"""{MODEL_DIM_SQL}, rows_ AS MATERIALIZED (SELECT model, task, coalesce(family, 'unknown') AS family, coalesce(early_mean_50, 0) AS x0, coalesce(peak_step, 0) / 1000.0::DOUBLE AS x1,
+      coalesce(size_b, 5) / 12.0::DOUBLE AS x2, 1.0::DOUBLE AS x3, CAST(final >= 0.49 AS INT)::DOUBLE AS y, {fold} AS fold FROM feats LEFT JOIN model_dim USING (model)),
+      folds AS (SELECT DISTINCT fold FROM rows_)"""
+
+
+_IN_SAMPLE = f"{H}, {_ROLL}, {_FEATS9}, {_rows_sql('0')}, {_newton_sql('true')}"
+_LEFT_OUT = "r.fold <> m.fold"
+_ACCURACY = "count(*) AS n, CAST(sum(CAST(prediction = label AS INT)) AS BIGINT) AS correct, round(avg(CAST(prediction = label AS INT)), 6) AS accuracy"
+
+
+@query("early_prediction", f"{_IN_SAMPLE} SELECT model, task, label, prediction FROM scored")
 def early_prediction(spark, d):
     return predict.in_sample(_kept(spark, _outcomes(spark, d))).select("model", "task", "label", "prediction")
 
 
+@query(
+    "early_prediction_model",
+    f"{_IN_SAMPLE} SELECT " + ", ".join(f"round(w{i}, 6) AS {n}" for i, n in enumerate([*predict.FEATURES, "bias"]))
+    + f", (SELECT count(*) FROM rows_) AS n, (SELECT CAST(sum(y) AS BIGINT) FROM rows_) AS n_sustained FROM m{predict.STEPS}",
+)
+def early_prediction_model(spark, d):
+    model = predict.fitted(_kept(spark, _outcomes(spark, d)))
+    weights = [F.col("weights")[i].alias(n) for i, n in enumerate([*predict.FEATURES, "bias"])]
+    return rounded(model.select(*weights, "n", F.col("ones").alias("n_sustained")))
+
+
 def _kept(spark, df):
-    """Feature table with its lineage cut, as every fit reads it again."""
+    """Feature table with its lineage cut, as fit and prediction read it again."""
     from sloframe.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     return df.checkpoint()
 
 
-@query("leave_family_out")
+@query("leave_family_out", f"{H}, {_ROLL}, {_FEATS9}, {_rows_sql('dense_rank() OVER (ORDER BY family NULLS FIRST)')}, {_newton_sql(_LEFT_OUT)} SELECT family, {_ACCURACY} FROM scored GROUP BY family")
 def leave_family_out(spark, d):
     out = predict.leave_group_out(_kept(spark, _outcomes(spark, d)), "family")
     return rounded(predict.group_accuracy(out, ["family"]))
 
 
-@query("cross_validated_accuracy")
+_MD5_FOLD = "('0x' || substr(md5(model || '|' || task), 1, 8))::BIGINT % 5"
+
+
+@query("cross_validated_accuracy", f"{H}, {_ROLL}, {_FEATS9}, {_rows_sql(_MD5_FOLD)}, {_newton_sql(_LEFT_OUT)} SELECT {_ACCURACY} FROM scored")
 def cross_validated_accuracy(spark, d):
     out = predict.leave_fold_out(_kept(spark, _outcomes(spark, d)), ["model", "task"], 5)
     return rounded(predict.group_accuracy(out, []))
 
 
-@query("prediction_by_model")
+@query("leave_one_out", f"{H}, {_ROLL}, {_FEATS9}, {_rows_sql('row_number() OVER (ORDER BY model, task)')}, {_newton_sql(_LEFT_OUT)} SELECT model, task, label, round(probability, 6) AS probability, prediction FROM scored")
+def leave_one_out(spark, d):
+    out = predict.leave_one_out(_kept(spark, _outcomes(spark, d)))
+    return rounded(out.select("model", "task", "label", "probability", "prediction"))
+
+
+@query(
+    "prediction_by_model",
+    f"{_IN_SAMPLE} SELECT model, {_ACCURACY}, string_agg(task || ':' || CAST(prediction AS INT) || '/' || CAST(label AS INT), ',' ORDER BY task) AS predictions FROM scored GROUP BY model",
+)
 def prediction_by_model(spark, d):
-    out = predict.in_sample(_kept(spark, _outcomes(spark, d)))
-    return rounded(predict.prediction_lists(out, ["model"], "task"))
+    out = predict.prediction_lists(predict.in_sample(_kept(spark, _outcomes(spark, d))), ["model"], "task")
+    shown = F.transform("predictions", lambda p: F.concat(p["task"], F.lit(":"), p["predicted"].cast("string"), F.lit("/"), p["actual"].cast("string")))
+    return rounded(out.withColumn("predictions", F.array_join(shown, ",")))
 
 
 _OUT = "out AS (SELECT model, task, early_mean_50 AS early, CAST(final >= 0.49 AS INT)::DOUBLE AS label FROM feats)"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from sloframe.functions import contract, jsonops, score
-from sloframe.operators import slo
+from sloframe.operators import contracts, slo
 from sloframe.plans.registry import query, rounded
 from sloframe.plans.views import EPISODES_SQL, episodes, table, wide
 
@@ -57,6 +59,37 @@ def contract_validation(spark, d):
     return _outputs(spark, d).select("event_id", check(jsonops.parse_strict(F.col("raw"))).alias("c")).select("event_id", "c.valid", "c.error")
 
 
+# Schemas as rows: a closed range, several types with a list of values, and a choice.
+SCHEMAS = {
+    "p0": RANGE_CONTRACT,
+    "p1": {"type": "object", "properties": {"k": {"type": ["integer", "string"], "maximum": 50}, "x": {"enum": [20, 30, "40"]}}},
+    "p2": {"type": "object", "oneOf": [
+        {"properties": {"k": {"type": "integer", "minimum": 40}}, "required": ["k"]},
+        {"properties": {"k": {"type": "number", "maximum": 60}}, "required": ["k"]},
+    ]},
+}
+
+
+@query(
+    "contract_by_schema",
+    f"WITH {EPISODES_SQL}, c AS (SELECT event_id, user_id % 4 AS p, event_id % 8 AS c, k FROM episodes), r AS (SELECT event_id, 'p' || p AS schema_path, CASE" + """
+    WHEN p = 3 THEN '<root>: no schema for path ''p3''' WHEN c = 7 THEN '<root>: not valid JSON'
+    WHEN p = 0 AND c <= 2 AND k < 10 THEN 'k: ' || k || ' is less than the minimum of 10' WHEN p = 0 AND c <= 2 AND k > 95 THEN 'k: ' || k || ' is greater than the maximum of 95'
+    WHEN p = 0 AND c = 3 THEN 'k: ''' || k || ''' is not of type ''integer''' WHEN p = 0 AND c = 4 THEN '<root>: Additional properties are not allowed (''x'' was unexpected)'
+    WHEN p = 0 AND c = 5 THEN '<root>: ''k'' is a required property' WHEN p = 0 AND c = 6 THEN 'k: ' || k || '.5 is not of type ''integer'''
+    WHEN p = 1 AND c <= 2 AND k > 50 THEN 'k: ' || k || ' is greater than the maximum of 50' WHEN p = 1 AND c = 4 AND k NOT IN (20, 30) THEN 'x: ' || k || ' is not one of [20, 30, ''40'']'
+    WHEN p = 1 AND c = 6 THEN 'k: ' || k || '.5 is not of type ''integer'', ''string'''
+    WHEN p = 2 AND c <= 2 AND k BETWEEN 40 AND 60 THEN '<root>: {"k":' || k || '} is valid under more than one of the given schemas'
+    WHEN p = 2 AND c = 3 THEN '<root>: {"k":"' || k || '"} is not valid under any of the given schemas' WHEN p = 2 AND c = 5 THEN '<root>: {} is not valid under any of the given schemas'
+    WHEN p = 2 AND c = 6 AND k >= 60 THEN '<root>: {"k":' || k || '.5} is not valid under any of the given schemas' END AS error FROM c)
+  SELECT event_id, schema_path, error IS NULL AS valid, error FROM r""",
+)
+def contract_by_schema(spark, d):
+    schemas = spark.createDataFrame([(p, json.dumps(s)) for p, s in SCHEMAS.items()], "schema_path string, schema_json string")
+    records = _outputs(spark, d).select("event_id", F.concat(F.lit("p"), F.col("user_id") % 4).alias("schema_path"), "raw")
+    return contracts.validate(records, schemas, ["event_id"])
+
+
 TOOL_CONTRACT = {
     "type": "object",
     "properties": {

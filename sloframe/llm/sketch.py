@@ -15,6 +15,7 @@ of few and long lines too. A paragraph's second occurrence in a text has a diges
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -234,6 +235,34 @@ def _cut(column: pa.Array, start: int, stop: int) -> Slice:
     return Slice(start, stop, data[offsets[0]: offsets[-1]], offsets - offsets[0])
 
 
+def _pieces(columns: Sequence[pa.Array]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``SLICE_BYTES`` of text in all columns."""
+    n = len(columns[0])
+    if n:
+        sizes = sum(np.diff(np.frombuffer(c.buffers()[1], np.int64)[c.offset: c.offset + n + 1]) for c in columns)
+        bounds = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1).tolist(), n]
+        yield from zip(bounds, bounds[1:])
+
+
+def _compared(columns: Sequence[pa.Array], every: int, recovered: bool) -> list[pa.Array]:
+    """Result columns of the first text column against each other one; see ``compare_versions``."""
+    own, *rest = (digests(_cut(c, 0, len(c)), every) for c in columns)
+    arrays: list[pa.Array] = [pa.array(own.sizes(), pa.int64()), pa.array(serialised(own), pa.string())]
+    for other in rest:
+        diff = differences(own, other)
+        arrays += [pa.array(serialised(other), pa.string()), pa.array(diff.likeness, pa.float64()), pa.array(diff.cells, pa.int64())]
+        arrays += [diff.listed(1), diff.listed(-1)] if recovered else []
+    return arrays
+
+
+def _fields(others: Sequence[str], recovered: bool) -> list[tuple[str, str]]:
+    fields = [("n_paragraphs", "bigint"), ("fingerprint", "string")]
+    for x in others:
+        fields += [(f"{x}_fingerprint", "string"), (f"{x}_likeness", "double"), (f"{x}_cells", "bigint")]
+        fields += [(f"{x}_removed", "array<bigint>"), (f"{x}_added", "array<bigint>")] if recovered else []
+    return fields
+
+
 def compare_versions(rows: DataFrame, text: str, others: Sequence[str], keep: Sequence[str] = (), every: int = EVERY, recovered: bool = True) -> DataFrame:
     """Compare the column ``text`` with each of the columns ``others``, row by row.
 
@@ -246,43 +275,46 @@ def compare_versions(rows: DataFrame, text: str, others: Sequence[str], keep: Se
     2 ** -64. One row's work grows with its texts, and no row waits for another.
     """
     kept = rows.select(*[F.col(c) for c in keep])
-    fields = [(f.name, f.dataType.simpleString()) for f in kept.schema.fields] + [("n_paragraphs", "bigint"), ("fingerprint", "string")]
-    for x in others:
-        fields += [(f"{x}_fingerprint", "string"), (f"{x}_likeness", "double"), (f"{x}_cells", "bigint")]
-        fields += [(f"{x}_removed", "array<bigint>"), (f"{x}_added", "array<bigint>")] if recovered else []
+    fields = [(f.name, f.dataType.simpleString()) for f in kept.schema.fields] + _fields(others, recovered)
     names = ["__text", *[f"__other_{i}" for i in range(len(others))]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [text_column(batch, c) for c in names]
-            sizes = sum(np.diff(np.frombuffer(c.buffers()[1], np.int64)[c.offset: c.offset + len(c) + 1]) for c in columns) if len(batch) else np.zeros(0, np.int64)
-            bounds = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1), len(batch)] if len(batch) else []
-            for start, stop in zip(bounds, bounds[1:]):
-                own, *rest = (digests(_cut(c, start, stop), every) for c in columns)
-                arrays: list[pa.Array] = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
-                arrays += [pa.array(own.sizes(), pa.int64()), pa.array(serialised(own), pa.string())]
-                for other in rest:
-                    diff = differences(own, other)
-                    arrays += [pa.array(serialised(other), pa.string()), pa.array(diff.likeness, pa.float64()), pa.array(diff.cells, pa.int64())]
-                    arrays += [diff.listed(1), diff.listed(-1)] if recovered else []
-                yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
+            for start, stop in _pieces(columns):
+                cut = [c.slice(start, stop - start) for c in [batch.column(i) for i in range(len(keep))] + columns]
+                yield pa.RecordBatch.from_arrays(cut[: len(keep)] + _compared(cut[len(keep):], every, recovered), [n for n, _ in fields])
 
     source = rows.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"), *[F.col(c).cast("string").alias(f"__other_{i}") for i, c in enumerate(others)])
     return source.mapInArrow(compare, ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
-def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns ``id``, ``text`` and ``next_text``: the text of the row that follows by
-    descending id, the first row's after the last. A null text is empty.
+_LEAST = -(1 << 63)
 
-    ``id`` is an integer; a null id comes after all others, and rows that repeat an id follow
-    each other by their texts. The ids' quantiles, actual ids, cut the order into blocks of
-    about ``BLOCK_BYTES``, one task each (at most ``MOST_BLOCKS``; a task streams its sorted
-    block, so a large one needs no more memory). The row that opens a block is also sent to
-    the block before, whose last row it follows. Texts are shuffled once.
-    """
-    least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(least)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Ids, texts and next texts of the rows of an ordered block, piece by piece."""
+    last: pa.RecordBatch | None = None  # the row whose follower is still to come
+    for batch in batches:
+        if not len(batch):
+            continue
+        texts = text_column(batch, "text")
+        for start, stop in _pieces([texts]):
+            piece = batch.slice(start, stop - start)
+            whole = piece if last is None else pa.Table.from_batches([last, piece]).combine_chunks().to_batches()[0]
+            n_own = int(np.count_nonzero(~whole.column("ahead").to_numpy(zero_copy_only=False)))
+            n = min(n_own, len(whole) - 1)
+            if n:
+                ids = np.ma.masked_equal(whole.column("key").slice(0, n).to_numpy(), _LEAST)
+                yield pa.array(ids, pa.int64(), from_pandas=True), whole.column("text").slice(0, n), whole.column("text").slice(1, n)
+            last = whole.slice(n, 1) if n < n_own else None
+            if n_own < len(whole):
+                return
+
+
+def _in_order(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Columns ``key``, ``text`` and ``ahead`` in the order and the blocks of ``with_next``."""
+    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = min(MOST_BLOCKS, n_bytes // BLOCK_BYTES + 1)
     cuts = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks + 1)], max(10_000, 10 * blocks)).alias("cuts"), F.max("key").alias("most")).first()
@@ -301,35 +333,32 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array((block[opens] + 1) % len(ids), pa.int32()), pa.array(~own[opens])], ["key", "text", "block", "ahead"])
 
     dealt = rows.mapInArrow(deal, "key long, text string, block int, ahead boolean").repartitionById(max(1, len(ids)), F.col("block"))
-    ordered = dealt.sortWithinPartitions("ahead", F.desc("key"), "text")
+    return dealt.sortWithinPartitions("ahead", F.desc("key"), "text").select("key", "text", "ahead")
+
+
+def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns ``id``, ``text`` and ``next_text``: the text of the row that follows by
+    descending id, the first row's after the last. A null text is empty.
+
+    ``id`` is an integer; a null id comes after all others, and rows that repeat an id follow
+    each other by their texts. The ids' quantiles, actual ids, cut the order into blocks of
+    about ``BLOCK_BYTES``, one task each (at most ``MOST_BLOCKS``; a task streams its sorted
+    block, so a large one needs no more memory). The row that opens a block is also sent to
+    the block before, whose last row it follows. Texts are shuffled once.
+    """
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the row whose follower is still to come
-        for batch in batches:
-            if not len(batch):
-                continue
-            if last is not None:
-                whole = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            else:
-                whole = batch
-            n_own = int(np.count_nonzero(~whole.column("ahead").to_numpy(zero_copy_only=False)))
-            n = min(n_own, len(whole) - 1)
-            if n:
-                key = whole.column("key").slice(0, n)
-                ids_ = pa.array(np.ma.masked_equal(key.to_numpy(), least), pa.int64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([ids_, whole.column("text").slice(0, n), whole.column("text").slice(1, n)], ["id", "text", "next_text"])
-            last = whole.slice(n, 1) if n < n_own else None
-            if n_own < len(whole):
-                break
+        for arrays in _followed(batches):
+            yield pa.RecordBatch.from_arrays(list(arrays), ["id", "text", "next_text"])
 
-    return ordered.select("key", "text", "ahead").mapInArrow(follow, "id long, text string, next_text string").withColumnsRenamed({"id": id, "text": text})
+    return _in_order(docs, id, text).mapInArrow(follow, "id long, text string, next_text string").withColumnsRenamed({"id": id, "text": text})
 
 
-def edited(text: str, other: str):
-    """Column: ``text`` with its last half (floor of the code points) replaced by as many
-    first code points of ``other``."""
-    half = F.expr(f"length({text}) div 2").cast("int")
-    return F.concat(F.substring(F.col(text), F.lit(1), F.length(text) - half), F.substring(F.col(other), F.lit(1), half))
+def edited(text: str, other: str) -> str:
+    """``text`` with its last half (floor of the code points) replaced by as many first code
+    points of ``other``, or all of them."""
+    half = len(text) // 2
+    return text[: len(text) - half] + other[:half]
 
 
 def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text", recovered: bool = True) -> DataFrame:
@@ -337,9 +366,19 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text", r
     ``edited`` and ``compare_versions``. Returns id, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next`` and the columns
     that ``compare_versions`` adds. Other columns are ignored; an empty table gives an empty
-    result, and a table of one row is its own next."""
-    rows = with_next(docs, id, text).select(F.col(id).alias("__id"), F.col(text).alias("text"), "next_text")
-    rows = rows.withColumn("edited", edited("text", "next_text")).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumnRenamed("next_text", "next")
-    out = compare_versions(rows, "text", ["edited", "next"], ["__id", "n_chars", "edited_sha256"], recovered=recovered)
-    return out.withColumnsRenamed({"__id": id, "edited_likeness": "near_edited", "next_likeness": "near_next"})
+    result, and a table of one row is its own next. The texts go to Python once, as the
+    ordered block is read."""
+    fields = [("id", "bigint"), ("n_chars", "bigint"), ("edited_sha256", "string"), *_fields(["edited", "next"], recovered)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, others in _followed(batches):
+            old, new = texts.to_pylist(), []
+            for a, b in zip(old, others.to_pylist(), strict=True):
+                new.append(edited(a, b).encode())
+            arrays = [ids, pa.array([len(a) for a in old], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in new], pa.string())]
+            binary = pa.large_binary()
+            arrays += _compared([texts.cast(binary), pa.array(new, binary), others.cast(binary)], EVERY, recovered)
+            yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
+
+    out = _in_order(docs, id, text).mapInArrow(compare, ", ".join(f"`{n}` {t}" for n, t in fields))
+    return out.withColumnsRenamed({"id": id, "edited_likeness": "near_edited", "next_likeness": "near_next"})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sloframe.functions import contract, jsonops, score
 from sloframe.operators import contracts, slo
 from sloframe.plans.registry import query, rounded
-from sloframe.plans.views import EPISODES_SQL, episodes, table, wide
+from sloframe.plans.views import EPISODES_SQL, dealt, episodes, table, wide
 
 
 def _json(**parts):
@@ -33,7 +33,7 @@ RANGE_CONTRACT = {
 
 
 def _outputs(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     case, k = F.col("event_id") % 8, F.col("k").cast("string")
     raw = (
         F.when(case <= 2, F.col("output_json"))
@@ -116,6 +116,7 @@ TOOL_CONTRACT = {
 )
 def contract_tool_calls(spark, d):
     li = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
+    li = dealt(li, "l_orderkey", "l_linenumber")
     case = F.col("l_orderkey") % 9
     status, line = _str(F.col("l_linestatus")), F.col("l_linenumber")
     both = _json(status=status, line=line)
@@ -138,7 +139,7 @@ SCORED_SQL = """scored AS (SELECT event_id, event_type, k, 't' || (event_id % 6
 
 def scored_records(spark, d):
     """One record of each task type in turn, with gold and output as JSON text."""
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k, name = F.col("k"), F.col("task")
     odd, third = k % 2 == 1, k % 3 == 0
     lit = F.lit
@@ -210,6 +211,7 @@ def task_scores(spark, d):
 )
 def tool_call_match(spark, d):
     li = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
+    li = dealt(li, "l_orderkey", "l_linenumber")
     gold = _json(tool=_str(F.col("l_returnflag")), arguments=_json(status=_str(F.col("l_linestatus")), line=F.col("l_linenumber")))
     shifted = F.col("l_linenumber") + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0)
     tool = F.when(F.col("l_orderkey") % 11 == 0, F.lit("X")).otherwise(F.lower("l_returnflag"))
@@ -240,7 +242,7 @@ def function_call_match(spark, d):
     round(avg(CASE WHEN k % 5 = 0 THEN 1 ELSE 0.8::DOUBLE END), 6) AS answer_f1, round(avg(greatest(k / 100.0::DOUBLE, 0.5::DOUBLE)), 6) AS faithfulness FROM e GROUP BY event_type""",
 )
 def intent_and_answer_scores(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k = F.col("k")
     gold = _json(intent=_str(F.col("task")), domain=_str(k % 7), is_oos=F.lit("true"), answer=F.lit('"one two"'))
     pred = _json(
@@ -274,7 +276,7 @@ FIELDS = ["name", "tags", "cfg", "n", "gone", "note"]
     (SELECT round(avg((1 + CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT) + CAST(k % 5 = 0 AS INT) + CAST(k % 7 <> 0 AS INT)) / 6.0::DOUBLE), 6) FROM e) AS overall FROM f GROUP BY field""",
 )
 def field_breakdown(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k = F.col("k")
     gold = _json(name=_str(F.col("task")), tags=F.lit('["a", "b"]'), cfg=F.lit('{"x": 1, "y": [1]}'), n=k, gone=F.lit("null"), note=F.lit('"here"'))
     pred = _json(
@@ -299,7 +301,7 @@ def field_breakdown(spark, d):
     CAST(k % 7 <> 0 AS INT)::DOUBLE AS tool_match, 1.0::DOUBLE AS toolseq_match, CAST(k % 2 = 0 AS INT)::DOUBLE AS safety_match, 0 AS plain_matches FROM e""",
 )
 def gold_scores(spark, d):
-    e = episodes(spark, d)
+    e = episodes(spark, d, heavy=True)
     k = F.col("k")
     third = k % 3 == 0
     gold = _json(bullets=F.lit('["one two three"]'), risk_score=k, steps=F.lit('["classify_intent"]'), tool=F.lit('"T"'), inputs=_json(a=k), decision=_str(F.col("task")))

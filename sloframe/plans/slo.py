@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sloframe.operators import ranking, slo
+from sloframe.operators import ranking, resample, slo
 from sloframe.operators.ordered import exact_quantiles
 from sloframe.plans.registry import query, rounded
 from sloframe.plans.views import EPISODES_SQL, TIERS_SQL, episodes, wide, table
@@ -409,3 +409,61 @@ def bootstrap_spearman(spark, d):
 def bootstrap_mean_ci(spark, d):
     e = wide(spark, d, "events", "event_type", "event_id", "value").withColumnRenamed("event_type", "task")
     return rounded(ranking.bootstrap_mean(e, ["task"], F.col("event_id"), "value", resamples=64))
+
+
+_PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    "latency_percentile_ci",
+    """WITH base AS (SELECT event_type AS task, event_id, value * 100 AS v FROM events),
+  h AS (SELECT task, v, g, md5('17|' || event_id || '|' || g) AS m FROM base, range(8) t(g)),
+  w AS (SELECT task, g * 8 + i AS r, v, ('0x' || substr(m, CAST(1 + 4 * i AS INT), 4))::BIGINT AS bits FROM h, range(8) u(i)),
+  x AS (SELECT task, r, v, sum("""
+    + " + ".join(f"CAST(bits >= {c} AS INT)" for c in ranking.POISSON_CUTS)
+    + """) AS wt FROM w GROUP BY task, r, v UNION ALL SELECT task, -1, v, count(*) FROM base GROUP BY task, v),
+  c AS (SELECT task, r, v, sum(wt) OVER (PARTITION BY task, r ORDER BY v) AS upto, sum(wt) OVER (PARTITION BY task, r) AS total FROM x),
+  q(quantile, p) AS (VALUES ('p50', 0.5::DOUBLE), ('p95', 0.95::DOUBLE), ('p99', 0.99::DOUBLE)),
+  e AS (SELECT task, quantile, r, min(v) AS v FROM c, q WHERE total > 0 AND upto >= ceil(p * total) GROUP BY task, quantile, r),
+  o AS (SELECT *, row_number() OVER (PARTITION BY task, quantile ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY task, quantile) AS k FROM e WHERE r >= 0)
+  SELECT task, quantile, (SELECT count(*) FROM base b WHERE b.task = o.task) AS n, round((SELECT max(v) FROM e WHERE e.task = o.task AND e.quantile = o.quantile AND r = -1), 6) AS value,
+    round(max(v) FILTER (WHERE i = floor(0.025::DOUBLE * (k - 1))), 6) AS ci_lower, round(max(v) FILTER (WHERE i = floor(0.975::DOUBLE * (k - 1))), 6) AS ci_upper FROM o GROUP BY task, quantile""",
+)
+def latency_percentile_ci(spark, d):
+    e = wide(spark, d, "events", "event_type", "event_id", "value").withColumnRenamed("event_type", "task")
+    return rounded(resample.bootstrap_quantiles(e, ["task"], F.col("event_id"), F.col("value") * 100, _PERCENTILES, resamples=64))
+
+
+_RANKED_SQL = """e AS (SELECT event_type AS task, event_id, value AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) AS b FROM events),
+  r AS (SELECT *, rank() OVER (PARTITION BY task ORDER BY a DESC) + (count(*) OVER (PARTITION BY task, a) - 1) / 2.0::DOUBLE AS ra,
+    rank() OVER (PARTITION BY task ORDER BY b DESC) + (count(*) OVER (PARTITION BY task, b) - 1) / 2.0::DOUBLE AS rb FROM e)"""
+
+
+def _ranked(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_type").alias("task"), "event_id", F.col("value").alias("a"), F.get_json_object("props", "$.k").cast("bigint").alias("b"))
+
+
+@query("request_ranks", f"WITH {_RANKED_SQL} SELECT task, event_id, ra AS latency_rank, rb AS k_rank FROM r")
+def request_ranks(spark, d):
+    out = resample.add_average_ranks(_ranked(spark, d), ["task"], {"latency_rank": "a", "k_rank": "b"})
+    return out.select("task", "event_id", "latency_rank", "k_rank")
+
+
+_ROW_DRAWS = 16
+
+
+@query(
+    "bootstrap_spearman_requests",
+    f"""WITH {_RANKED_SQL}, n AS (SELECT task, a, b, row_number() OVER (PARTITION BY task ORDER BY event_id) - 1 AS j, count(*) OVER (PARTITION BY task) AS n FROM e),
+  p AS (SELECT task, r, ('0x' || substr(md5('42|' || r || '|' || j), 1, 8))::BIGINT % n AS j, count(*) AS c FROM n, range({_ROW_DRAWS}) t(r) GROUP BY ALL),
+  x AS (SELECT task, r, a, b, c FROM p JOIN n USING (task, j)),
+  k AS (SELECT *, sum(c) OVER (PARTITION BY task, r ORDER BY a DESC) - (sum(c) OVER (PARTITION BY task, r, a) - 1) / 2.0::DOUBLE AS ra,
+    sum(c) OVER (PARTITION BY task, r ORDER BY b DESC) - (sum(c) OVER (PARTITION BY task, r, b) - 1) / 2.0::DOUBLE AS rb FROM x),
+  s AS (SELECT task, r, (sum(c) * sum(c * ra * rb) - sum(c * ra) * sum(c * rb)) / (sqrt(sum(c) * sum(c * ra * ra) - sum(c * ra) ** 2) * sqrt(sum(c) * sum(c * rb * rb) - sum(c * rb) ** 2)) AS rho FROM k GROUP BY ALL),
+  o AS (SELECT task, rho, row_number() OVER (PARTITION BY task ORDER BY rho) - 1 AS i FROM s)
+  SELECT task, (SELECT count(*) FROM e WHERE e.task = o.task) AS n, (SELECT round(corr(ra, rb), 6) FROM r WHERE r.task = o.task) AS rho,
+    round(max(rho) FILTER (WHERE i = {int(0.025 * _ROW_DRAWS)}), 6) AS ci_lower, round(max(rho) FILTER (WHERE i = {min(int(0.975 * _ROW_DRAWS), _ROW_DRAWS - 1)}), 6) AS ci_upper FROM o GROUP BY task""",
+)
+def bootstrap_spearman_requests(spark, d):
+    return rounded(resample.bootstrap_spearman_rows(_ranked(spark, d), ["task"], "event_id", "a", "b", resamples=_ROW_DRAWS).drop("p_value"))

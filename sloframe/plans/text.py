@@ -9,7 +9,7 @@ from sloframe.operators.bags import qa_scores
 from sloframe.operators.joins import lookup
 from sloframe.operators.ordered import attach
 from sloframe.plans.registry import query, rounded
-from sloframe.plans.views import EPISODES_SQL, MODEL_DIM_SQL, episodes, model_dim, table, wide
+from sloframe.plans.views import EPISODES_SQL, MODEL_DIM_SQL, dealt, episodes, model_dim, table, wide
 
 SPACE_SQL = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
 _ART = r"(^|[^\p{L}\p{N}_])(?:a|an|the)([^\p{L}\p{N}_]|$)"
@@ -39,7 +39,7 @@ PAIRS_SQL = (
 def pairs(spark, d):
     """Every document with an item; every fourth answer is the item's text, partly in capitals."""
     count = table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("m"))
-    docs = attach(wide(spark, d, "documents", "doc_id", "text"), count, []).select("doc_id", "text", (F.col("doc_id") % F.col("m")).alias("item_id"))
+    docs = attach(dealt(wide(spark, d, "documents", "doc_id", "text"), "doc_id"), count, []).select("doc_id", "text", (F.col("doc_id") % F.col("m")).alias("item_id"))
     gold = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
     pred = F.when(F.col("doc_id") % 4 == 0, F.concat(F.translate("gold", "abcdefghij", "ABCDEFGHIJ"), F.lit(" ."))).otherwise(F.col("text"))
     return docs.join(gold, "item_id").select("doc_id", pred.alias("pred"), "gold")
@@ -117,7 +117,7 @@ def set_f1(spark, d):
     """SELECT event_id, CASE event_id % 6 WHEN 4 THEN '{}' WHEN 5 THEN '{"a": {"b": ' || json_extract_string(props, '$.k') || '}}' ELSE props END AS found FROM events""",
 )
 def extract_json(spark, d):
-    e = wide(spark, d, "events")
+    e = dealt(wide(spark, d, "events"), "event_id")
     p = F.col("props")
     nested = F.concat(F.lit('{"a": {"b": '), F.get_json_object("props", "$.k"), F.lit("}}"))
     case = F.col("event_id") % 6

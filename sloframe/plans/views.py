@@ -22,8 +22,17 @@ def wide(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return t.select(*columns) if columns else t
 
 
-def episodes(spark: SparkSession, d: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by their id before work that is heavy per row: a scan has no more tasks
+    than the files have row groups. As many partitions as a shuffle has, or cores if more."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def episodes(spark: SparkSession, d: str, heavy: bool = False) -> DataFrame:
+    """Requests as evaluation episodes; ``heavy`` deals them out first."""
     e = table(spark, d, "events")
+    e = dealt(e, "event_id") if heavy else e
     k = F.get_json_object("props", "$.k").cast("bigint")
     eid = F.col("event_id")
     return e.select(

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Token weights of the cells source x language x topic are scaled to one margin after the
-other until all three margins have their target shares; documents are then drawn with the
+A stated share of all tokens is the budget. Token weights of the cells source x language x
+topic are scaled to one margin after the other until all three margins have their target
+shares of it, no cell giving more than it has; documents are then drawn with the
 probabilities that the scaled cells call for.
 """
 
@@ -66,27 +67,43 @@ def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     return margin.withColumn("target", F.col("target") / F.lit(total))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = 8) -> dict[str, DataFrame]:
-    """Factors ``value``, ``factor`` of each dimension after ``cycles`` rounds.
+def goals(cells: DataFrame, dimension: str, target: DataFrame, budget: float, rounds: int = 6) -> DataFrame:
+    """``value`` and ``goal``, the tokens that each value is to give to the budget.
 
-    A cell's weight is its tokens times its three factors. A step sums the cells' weights
-    without the step's own factor per value and sets that factor so that the margin has
-    its target share; the next step reads the factors from the shared folder, so plans
-    stay small. Cells whose value has no target get weight 0.
+    That is its target times one scale, but never more than it has: values that run out give
+    all they have, and the scale grows for the others, ``rounds`` times at most. A value
+    without target gives nothing. The driver sees two sums a round.
     """
-    factors = {d: stored(targets[d].select("value", F.lit(1.0).alias("factor")), "factors") for d in DIMENSIONS}
+    margin = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("tokens"))
+    margin = stored(margin.join(target.select("value", "target"), "value"), "margin")
+    total = margin.agg(F.sum("target").alias("t")).first()["t"]
+    scale = budget / total if total else 0.0
+    for _ in range(rounds):
+        short = F.col("tokens") <= F.col("target") * F.lit(scale)
+        sums = margin.agg(F.sum(F.when(short, F.col("tokens"))).alias("given"), F.sum(F.when(~short, F.col("target"))).alias("left")).first()
+        if not sums["left"]:
+            break
+        scale = (budget - (sums["given"] or 0.0)) / sums["left"]
+    return margin.select("value", F.least("tokens", F.col("target") * F.lit(scale)).alias("goal"))
+
+
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], budget: float, cycles: int = 8) -> DataFrame:
+    """``cells`` with their ``weight`` after ``cycles`` rounds: the tokens that each is to give.
+
+    All weights start as the same share of the cells' tokens. A step scales the weights of each
+    value of one dimension to its goal and cuts them at the cell's tokens, so a cell of which
+    more is wanted than there is is taken whole, and the next steps raise the others. Each
+    step is written to the shared folder, so plans stay small.
+    """
+    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1
+    rows = cells.withColumn("weight", F.col("tokens") * F.lit(budget / total))
     for _ in range(cycles):
         for d in DIMENSIONS:
-            others = [x for x in DIMENSIONS if x != d]
-            weight = F.col("tokens").cast("double")
-            rows = cells
-            for x in others:
-                rows = rows.join(factors[x].select(F.col("value").alias(x), F.col("factor").alias(f"{x}_factor")), x)
-                weight = weight * F.col(f"{x}_factor")
-            margin = rows.groupBy(F.col(d).alias("value")).agg(F.sum(weight).alias("weight"))
-            step = targets[d].join(margin, "value", "left").select("value", F.when(F.col("weight") > 0, F.col("target") / F.col("weight")).otherwise(0.0).alias("factor"))
-            factors[d] = stored(step, "factors")
-    return factors
+            margin = rows.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("margin"))
+            step = wanted[d].join(margin, "value").select(F.col("value").alias(d), F.when(F.col("margin") > 0, F.col("goal") / F.col("margin")).otherwise(0.0).alias("factor"))
+            scaled = F.least(F.col("tokens").cast("double"), F.col("weight") * F.coalesce("factor", F.lit(0.0)))
+            rows = stored(rows.join(step, d, "left").select(*DIMENSIONS, "tokens", scaled.alias("weight")), "raked")
+    return rows
 
 
 def draw(id: Column, seed: str) -> Column:
@@ -96,29 +113,32 @@ def draw(id: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, exponent: float = 0.7, cycles: int = 8, seed: str = "mix", id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+def calibrated(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, exponent: float = 0.7, keep: float = 0.9, cycles: int = 8, seed: str = "mix",
+    id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
+) -> DataFrame:
     """Per row: id, source, lang, topic, tokens, ``probability`` and ``kept``.
 
-    The probability of a document is its cell's weight over its tokens, divided by the
-    largest such ratio: the cell most in demand is taken whole, none is repeated, and the
-    expected tokens of every margin have their target shares. A row is kept if the draw of
-    its id is below its probability; rows that repeat an id are kept or left together.
-    Rows without tokens, or in cells without target, have probability 0. Targets default
-    to the corpus' own shares to the power ``exponent``. Other columns are ignored; an
-    empty table gives an empty result.
+    The budget is the share ``keep`` of all tokens. It is raked over the cells source x
+    language x topic so that the margins meet their targets as far as the corpus has the
+    tokens; a cell is taken whole before any document would be taken twice, and what it lacks
+    the others give, see ``goals`` and ``rake``. The probability of a document is its cell's
+    weight over the cell's tokens, so the expected tokens are the budget, or less where cells
+    that are taken whole leave no others to raise. A rare cell changes its own probability
+    only. A row is kept if the draw of its id is below its probability; rows that repeat an id
+    are kept or left together. Rows without tokens, or in cells without target, have
+    probability 0. Targets default to the corpus' own shares to the power ``exponent``. Other
+    columns are ignored; an empty table gives an empty result.
     """
     rows = stored(described(docs, id, text, source, lang), "described")
     cells = stored(cells_of(rows), "cells")
     if targets is None:
         targets = {d: stored(tempered(cells, d, exponent), "targets") for d in DIMENSIONS}
-    factors = rake(cells, targets, cycles)
-    ratios = cells
-    for d in DIMENSIONS:
-        ratios = ratios.join(factors[d].select(F.col("value").alias(d), F.col("factor").alias(f"{d}_factor")), d)
-    ratios = stored(ratios.select(*DIMENSIONS, (F.col("source_factor") * F.col("lang_factor") * F.col("topic_factor")).alias("ratio")), "ratios")
-    most = ratios.agg(F.max("ratio")).first()[0] or 1.0
+    budget = keep * float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
+    raked = rake(cells, {d: stored(goals(cells, d, targets[d], budget), "goals") for d in DIMENSIONS}, budget, cycles)
+    ratios = raked.select(*DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("ratio"))
     out = rows.join(ratios, list(DIMENSIONS), "left")
-    probability = F.when(F.col("tokens") > 0, F.coalesce(F.col("ratio") / F.lit(most), F.lit(0.0))).otherwise(0.0)
+    probability = F.when(F.col("tokens") > 0, F.coalesce("ratio", F.lit(0.0))).otherwise(0.0)
     out = out.select("id", *DIMENSIONS, "tokens", probability.alias("probability"))
     return out.withColumn("kept", draw(F.col("id"), seed) < F.col("probability")).withColumnRenamed("id", id)
 

@@ -6,16 +6,20 @@ UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 
-def _raked(cycles: int = 8, exponent: float = 0.7) -> str:
-    """Raking written out step by step: each step has the weights of all cells."""
+def _raked(cycles: int = 8, exponent: float = 0.7, keep: float = 0.9, rounds: int = 6) -> str:
+    """Goals and raking written out step by step: each step has the weights of all cells."""
     dims, steps, last = ("source", "lang", "topic"), [], "w0"
-    targets = ", ".join(
-        f"t_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {exponent}) / sum(pow(sum(tokens)::DOUBLE, {exponent})) OVER () AS target FROM cells GROUP BY {d})" for d in dims
-    )
+    for d in dims:
+        steps.append(f"m_{d} AS MATERIALIZED (SELECT {d}, sum(tokens)::DOUBLE AS have, pow(sum(tokens)::DOUBLE, {exponent}) / sum(pow(sum(tokens)::DOUBLE, {exponent})) OVER () AS target FROM cells GROUP BY {d})")
+        steps.append(f"l_{d}_0 AS (SELECT budget / sum(target) AS scale FROM m_{d}, total GROUP BY budget)")
+        for r in range(1, rounds + 1):
+            given, left = "coalesce(sum(have) FILTER (have <= target * scale), 0)", "sum(target) FILTER (have > target * scale)"
+            steps.append(f"l_{d}_{r} AS MATERIALIZED (SELECT coalesce((budget - {given}) / {left}, scale) AS scale FROM m_{d}, l_{d}_{r - 1}, total GROUP BY budget, scale)")
+        steps.append(f"t_{d} AS (SELECT {d}, least(have, target * scale) AS goal FROM m_{d}, l_{d}_{rounds})")
+    steps.append("w0 AS (SELECT source, lang, topic, tokens, tokens * (budget / everything) AS w FROM cells, total)")
     for i in range(1, 3 * cycles + 1):
         d = dims[(i - 1) % 3]
-        # The scale of all weights is of no account, so each step makes them sum to 1.
-        steps.append(f"w{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * target / sum(w) OVER (PARTITION BY {d}) AS w FROM {last} JOIN t_{d} USING ({d}))")
+        steps.append(f"w{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(tokens::DOUBLE, w * (goal / sum(w) OVER (PARTITION BY {d}))) AS w FROM {last} JOIN t_{d} USING ({d}))")
         last = f"w{i}"
     return f"""
 WITH words AS (
@@ -30,9 +34,9 @@ WITH words AS (
     FROM documents d LEFT JOIN per_doc USING (doc_id)
 ), cells AS (
     SELECT source, lang, topic, sum(tokens) AS tokens FROM described GROUP BY ALL HAVING sum(tokens) > 0
-), {targets}, w0 AS (SELECT *, tokens::DOUBLE AS w FROM cells), {", ".join(steps)},
+), total AS (SELECT sum(tokens)::DOUBLE AS everything, {keep}::DOUBLE * sum(tokens)::DOUBLE AS budget FROM cells), {", ".join(steps)},
 ratios AS (
-    SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM {last}
+    SELECT source, lang, topic, w / tokens AS p FROM {last}
 ), chances AS (
     SELECT doc_id, source, lang, topic, tokens, CASE WHEN tokens > 0 THEN coalesce(p, 0) ELSE 0 END::DOUBLE AS p
     FROM described LEFT JOIN ratios USING (source, lang, topic)

@@ -36,10 +36,14 @@ def _keys(text: bytes, chars: int) -> set[bytes]:
     return {_hash(k) for k in {_key(x) for x in text.split(b"\n")} if _long_enough(k, chars)}
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, id: str | None = None) -> DataFrame:
     """``line`` (128-bit hash of the normal form) and ``n_docs`` of lines that at least
-    ``min_docs`` rows hold. Counts are merged per Arrow batch and per task before the
-    shuffle, so a line that every document holds is a few rows per task."""
+    ``min_docs`` documents hold. Counts are merged per Arrow batch and per task before the
+    shuffle, so a line that every document holds is a few rows per task.
+
+    With ``id``, rows that repeat an id are one document: their lines are counted once per
+    id, from the distinct pairs of line and id of those rows alone. A null id is not
+    repeated. Without ``id`` each row is a document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,10 +52,32 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
                 n.update(_keys(t, min_chars))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["line", "n"])
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "line binary, n long")
+    rows = docs.select(F.col(text).cast("string").alias("text"), *([F.col(id).alias("id")] if id else []))
+    if id is None:
+        counted = rows.mapInArrow(count, "line binary, n long")
+    else:
+        repeated = stored(rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+        counted = rows.join(repeated, "id", "left_anti").select("text").mapInArrow(count, "line binary, n long")
+        again = _pairs(rows.join(repeated, "id", "left_semi").select("id", "text"), min_chars).distinct()
+        counted = counted.union(again.groupBy("line").agg(F.count("*").alias("n")))
     return counted.groupBy("line").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
 
+def _pairs(rows: DataFrame, min_chars: int) -> DataFrame:
+    """``id`` and ``line`` of the distinct lines of each row; ``rows`` has id and text."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, lines = [], []
+            for i, t in enumerate(_texts(batch)):
+                keys = _keys(t, min_chars)
+                lines += keys
+                place += [i] * len(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int32())), pa.array(lines, pa.binary())], ["id", "line"])
+
+    return rows.mapInArrow(pairs, f"id {rows.schema['id'].dataType.simpleString()}, line binary")
+
+
 def _split(texts: list[bytes], lost: pa.Array) -> Iterator[tuple[list[bytes], list[bytes]]]:
     """The lines of each text, and those that stay."""
     for t, gone in zip(texts, lost.to_pylist(), strict=True):
@@ -71,20 +97,9 @@ def _free_name(name: str, df: DataFrame) -> str:
 def _with_lost(rows: DataFrame, id: str, text: str, min_docs: int, min_chars: int) -> DataFrame:
     """``rows`` and, as last column, the hashes of their lines to drop."""
     pairs_of = rows.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    id_type = pairs_of.schema["id"].dataType.simpleString()
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, lines = [], []
-            for i, t in enumerate(_texts(batch)):
-                keys = _keys(t, min_chars)
-                lines += keys
-                place += [i] * len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int32())), pa.array(lines, pa.binary())], ["id", "line"])
-
     # Stored, so that both sides of the join are plain shuffles, which Spark can split.
-    frequent = stored(frequent_lines(pairs_of, "text", min_docs, min_chars).select("line"), "lines")
-    lost = pairs_of.mapInArrow(pairs, f"id {id_type}, line binary").join(frequent, "line", "left_semi")
+    frequent = stored(frequent_lines(pairs_of, "text", min_docs, min_chars, "id").select("line"), "lines")
+    lost = _pairs(pairs_of, min_chars).join(frequent, "line", "left_semi")
     lost = lost.groupBy("id").agg(F.collect_set("line").alias("_lost")).withColumnRenamed("id", "_lost_id")
     joined = rows.join(lost, rows[f"`{id}`"].eqNullSafe(lost["_lost_id"]), "left")
     return joined.select(*[rows[f"`{c}`"] for c in rows.columns], lost["_lost"].alias(_free_name("lost", rows)))
@@ -95,10 +110,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_doc
 
     A text is split at ``\\n``; a line's normal form has white space stripped at both ends
     and A-Z lower-cased. Lines whose normal form has ``min_chars`` code points and is
-    found in ``min_docs`` rows are dropped from every row; the others stay in place.
+    found in ``min_docs`` documents are dropped from every row; the others stay in place.
 
-    Every row counts as a document, also when its id is null or repeated. A null or empty
-    text is one empty line, which is kept. Other columns are ignored, whatever their
+    Rows that repeat an id count as one document, rows without an id as documents of their
+    own; each row has its own result. A null or empty text is one empty line, which is kept. Other columns are ignored, whatever their
     names; an empty table gives an empty result. No line's rows meet in one task: the
     counts are partial sums and the join that finds the lines to drop is one Spark splits
     when it is skewed. Ids with the same value share one list of dropped lines, which is

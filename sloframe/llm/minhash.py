@@ -218,7 +218,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     named = signs.filter(F.col("id").isNotNull() & F.col("same").isNotNull())
     classes = stored(named.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("same", "first"), "classes")
     members = named.select("id", "same").join(classes, "same").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    leaders = named.join(members.select(F.col("u").alias("id")), "id", "left_anti").select("id", "minima")
+    # A repeated id may lead with one text what it follows with another.
+    followers = named.select("id", "same").join(classes, "same").filter("id <> first").select("id", "same")
+    leaders = named.join(followers, ["id", "same"], "left_anti").select("id", "minima")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * F.lit(4 * ROWS) + 1, F.lit(4 * ROWS))))
     banded = leaders.select("id", F.explode(band).alias("bucket"))

@@ -81,6 +81,7 @@ class Dom(HTMLParser):
         self.nodes = [Node("html", -1, 0, (), 0)]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # where each tag stands among the open ones
         self.hidden: list[str] = []
         self.loose = False  # the hidden element is not closed
         self.link = False
@@ -134,15 +135,20 @@ class Dom(HTMLParser):
                 self.runs.append((self.open[-1], text, min(self.link_chars, len(text))))
             self.parts, self.link_chars = [], 0
 
+    def _cut(self, i: int) -> None:
+        """Close the open nodes from place ``i`` on."""
+        for node in self.open[i:]:
+            self.at[self.nodes[node].tag].pop()
+        del self.open[i:]
+
     def _close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[i]].tag
-            if tag in tags:
-                del self.open[i:]
-                self.link = False
-                return
-            if tag in scope:
-                return
+        """Close the innermost of ``tags`` unless one of ``scope`` stands further in. Only the
+        last place of each tag is looked at, however deep the page."""
+        last = lambda names: max((self.at[t][-1] for t in names if self.at.get(t)), default=0)
+        i = last(tags)
+        if i and i >= last(scope):
+            self._cut(i)
+            self.link = False
 
     def _start(self, tag: str, attrs: list[tuple[str, str | None]], unclosed: bool) -> None:
         if self.hidden and self.loose and tag in BLOCK_TAGS:
@@ -175,7 +181,7 @@ class Dom(HTMLParser):
         if tag in _CLOSES:
             self._close(_CLOSES[tag], _SCOPES[tag])
         elif tag in _HEADINGS and self.nodes[self.open[-1]].tag in _HEADINGS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in VOID_TAGS:
             return
         label, groups = None, []
@@ -187,6 +193,7 @@ class Dom(HTMLParser):
         parent = self.open[-1]
         self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, tuple(groups), len(self.nodes[parent].children), label))
         self.nodes[parent].children.append(len(self.nodes) - 1)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.nodes) - 1)
 
     def _end(self, tag: str) -> None:
@@ -241,6 +248,9 @@ def features(dom: Dom) -> np.ndarray:
             sums[p] += sums[i]
         if first[i] and (not first[p] or first[i] < first[p]):
             first[p] = first[i]
+    alike: list[dict[str, int]] = [{} for _ in nodes]  # children of each node by tag
+    for n in nodes[1:]:
+        alike[n.parent][n.tag] = alike[n.parent].get(n.tag, 0) + 1
     total = max(seen, 1)
     out = np.zeros((size, WIDTH), np.float32)
     above: list[tuple[np.ndarray, np.ndarray]] = []
@@ -268,7 +278,7 @@ def features(dom: Dom) -> np.ndarray:
             np.log1p(chars[i]), links[i] / c, marks[i] / c * 100, words[i] / max(runs[i], 1), c / (chars[i] and blocks[i] or 1), blocks[i], n.depth, n.place, len(parent.children),
             chars[i] / total, (first[i] - 1) / total if first[i] else 1.0, own[i] / c, np.log1p(own[i]),
             links[before] / max(chars[before], 1) if before is not None else -1, links[after] / max(chars[after], 1) if after is not None else -1,
-            chars[i] / max(chars[n.parent], 1) if i else 1, sum(nodes[k].tag == n.tag for k in parent.children[:50]) / max(min(len(parent.children), 50), 1),
+            chars[i] / max(chars[n.parent], 1) if i else 1, alike[n.parent if i else 0].get(n.tag, 0) / max(len(parent.children), 1),
         )
     return out
 

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 # These run streams or model fits while the plan is built; their result is a plain scan.
 EAGER = {n for n in queries() if n.startswith("stream_")} | {
-    "early_prediction", "early_prediction_model", "leave_family_out", "cross_validated_accuracy", "leave_one_out", "prediction_by_model", "late_rows",
+    "early_prediction", "early_prediction_model", "leave_family_out", "cross_validated_accuracy", "leave_one_out", "prediction_by_model", "late_rows", "late_rows_reconciled",
 }
 
 

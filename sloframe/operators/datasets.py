@@ -18,11 +18,35 @@ def draw_key(seed: int, key: Column) -> Column:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """First ``n`` rows of the shuffle, overall or per group."""
+    """First ``n`` rows of the shuffle, overall or per group.
+
+    Overall, rows are first counted by the first digits of their hash (65,536 counts), which
+    says up to where the n-th row lies; only rows up to there are ordered, block by block, so
+    ``n`` may be any share of a table of any size.
+    """
     order = [draw_key(seed, F.col(key)), F.col(key)]
     if by:
         return first_rows(df, by, order, n).drop("__rn")
-    return df.orderBy(*order).limit(n)
+    tagged = df.withColumn("__h", order[0])
+    counts = tagged.groupBy(F.substring("__h", 1, 4).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit("").alias("p"))
+    reach = lambda acc, x: F.when(acc["n"] >= n, acc).otherwise(F.struct((acc["n"] + x["c"]).alias("n"), x["p"].alias("p")))
+    cut = counts.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("p", "c"))), start, reach)["p"].alias("p"))
+    near = tagged.where(F.substring("__h", 1, 4) <= cut.scalar())
+    return _placed(near, [], key, "__pos").where(F.col("__pos") < n).select(*df.columns)
+
+
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """A repeatable shuffle of the whole table: every row's 0-based place. Write the rows by
+    ranges of the place to have files in shuffled order."""
+    placed = _placed(df.withColumn("__h", draw_key(seed, F.col(key))), [], key, name)
+    return placed.select(*df.columns, name)
+
+
+def _placed(tagged: DataFrame, by: Sequence[str], key: str, name: str) -> DataFrame:
+    """Places by ``__h``. The first hash digits cut every group into even blocks, so a hot
+    group, or a whole table, is ordered by many tasks."""
+    return add_positions(tagged, by, [F.substring("__h", 1, 4)], [F.col("__h"), F.col(key)], name)
 
 
 def first_n_per_file(df: DataFrame, file: str, line: str, n: int) -> DataFrame:
@@ -30,10 +54,13 @@ def first_n_per_file(df: DataFrame, file: str, line: str, n: int) -> DataFrame:
 
 
 def _shuffled(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    """Position of each row in its group's shuffle. The first hash digits cut every
-    group into even blocks, so a hot group is ordered by many tasks."""
-    tagged = df.withColumn("__h", draw_key(seed, F.col(key)))
-    return add_positions(tagged, [group], [F.substring("__h", 1, 4)], [F.col("__h"), F.col(key)], "__pos")
+    """Position of each row in its group's shuffle."""
+    return _placed(df.withColumn("__h", draw_key(seed, F.col(key))), [group], key, "__pos")
+
+
+def largest_group(df: DataFrame, group: str) -> int:
+    """Rows of the largest group: the target that leaves no group out of an oversampled mix."""
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def balanced_mix(df: DataFrame, group: str, key: str, target: int, strategy: str, seed: int) -> DataFrame:

@@ -214,6 +214,26 @@ def mix_statistics(spark, d):
     return datasets.mix_statistics(before, datasets.balanced_mix(before, "lang", "doc_id", _TARGET, "oversample", 7), "lang")
 
 
+@query("sample_half", f"WITH {POOL_SQL} SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY md5('29|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM pool) WHERE r <= n // 2")
+def sample_half(spark, d):
+    p = pool(spark, d).select("doc_id", "lang")
+    return datasets.sample_n(p, "doc_id", p.count() // 2, 29)
+
+
+@query(
+    "shuffled_mix",
+    f"""WITH {_POS}, t AS (SELECT max(n) AS target FROM p), g AS (SELECT DISTINCT lang, n FROM p),
+  dr AS (SELECT lang, n + j AS place, ('0x' || substr(md5('7|' || lang || '|' || j), 1, 15))::BIGINT % n AS pos FROM (SELECT lang, n, unnest(range(target - n)) AS j FROM g, t)),
+  mix AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM p UNION ALL SELECT p.doc_id || '_dup' || place, p.lang, p.source FROM dr JOIN p ON p.lang = dr.lang AND p.pos = dr.pos)
+  SELECT *, row_number() OVER (ORDER BY md5('11|' || doc_id), doc_id) - 1 AS place FROM mix""",
+)
+def shuffled_mix(spark, d):
+    """Every language at the size of the largest one, numbered in shuffled order."""
+    p = pool(spark, d)
+    mix = datasets.balanced_mix(p, "lang", "doc_id", datasets.largest_group(p, "lang"), "oversample", 7)
+    return datasets.shuffled(mix, "doc_id", 11)
+
+
 _TEMPLATES = ["Answer from the context.", "Reply with JSON only.", "Use the text below."]
 
 

@@ -12,7 +12,7 @@ from sloframe.operators import curves, gates
 from sloframe.plans.registry import query, rounded
 from sloframe.plans.views import EPISODES_SQL, episodes, table
 from sloframe.session import ensure_checkpoint_dir
-from sloframe.sources import readers
+from sloframe.sources import fingerprint, manifest, readers, sinks
 
 
 def _folder(spark) -> str:
@@ -135,3 +135,63 @@ def criteria_document(spark, d):
         p95_max=readers.first_present(limits, ["latency_p95_ms_max", "p95_ms_max"]), on_time_ms=readers.first_present(limits, ["on_time_budget_ms"]), success_min=limits["success_at_slo_min"],
     )
     return rounded(out)
+
+
+_BLOCK = 50
+
+
+def _parts(spark, rows):
+    """One file of lines per part, in order of the event, read back with line numbers."""
+    path = _folder(spark)
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    lines = readers.read_numbered_lines(spark, path)
+    return lines.withColumn("file", F.regexp_extract("file", "part=(\\w+)/", 1))
+
+
+@query(
+    "manifest_drift",
+    f"""WITH e AS (SELECT event_id, event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS line, count(*) OVER (PARTITION BY event_id % 4) AS n FROM events),
+  b AS (SELECT part, (line - 1) // {_BLOCK} AS node, min(line) AS first_line, max(line) AS last_line, bool_or(part = 1 AND event_id % 997 = 5) OR bool_or(part = 2 AND line = n) AS changed FROM e GROUP BY ALL)
+  SELECT CASE part WHEN 3 THEN 'm3' ELSE 'p' || part END AS file, CASE part WHEN 3 THEN 'missing' ELSE 'changed' END AS status, first_line, last_line FROM b WHERE changed OR part = 3
+  UNION ALL SELECT 'n4', 'new', first_line, last_line FROM b WHERE part = 3""",
+)
+def manifest_drift(spark, d):
+    """Four files against a manifest that was kept as a snapshot: one has changed lines, one has
+    lost its last line, and one has another name."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 4).alias("p"), F.to_json(F.struct("event_id", "value")).alias("value"))
+    part = F.concat(F.when(F.col("p") == 3, "m").otherwise("p"), F.col("p").cast("string"))
+    before = manifest.line_tree(_parts(spark, e.withColumn("part", part)), fanout=_BLOCK)
+    print_of = fingerprint.table_fingerprint(before).first()["fingerprint"]
+    kept = spark.read.parquet(fingerprint.snapshot(before, _folder(spark), print_of))
+    last = e.where("p = 2").agg(F.max("event_id").alias("m"))
+    now = e.where(~F.coalesce((F.col("p") == 2) & (F.col("event_id") == last.scalar()), F.lit(False)))
+    now = now.withColumn("value", F.when((F.col("p") == 1) & (F.col("event_id") % 997 == 5), F.lit("{}")).otherwise(F.col("value")))
+    after = manifest.line_tree(_parts(spark, now.withColumn("part", F.when(F.col("p") == 3, "n4").otherwise(part))), fanout=_BLOCK)
+    return manifest.trace_drift(after, kept, fanout=_BLOCK)
+
+
+@query(
+    "ordered_series",
+    "WITH o AS (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders), l AS (SELECT row_number() OVER (ORDER BY price DESC, o_orderkey) AS number, o_orderkey || ' ' || o_custkey || ' ' || price AS value FROM o)"
+    " SELECT number + 1 AS number, value FROM l UNION ALL SELECT 1, 'o_orderkey o_custkey price'",
+)
+def ordered_series(spark, d):
+    """Orders by falling price as a series file in parts, read back in order."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice").cast("double")).cast("bigint").alias("price"))
+    path = _folder(spark)
+    sinks.write_ordered_lines(o, path, [F.desc("price"), F.asc("o_orderkey")])
+    return sinks.read_ordered_lines(spark, path)
+
+
+@query(
+    "ordered_leaderboard",
+    f"""WITH {EPISODES_SQL}, m AS (SELECT model, task, count(*) AS n, CAST(sum(success_at_slo) AS BIGINT) AS success FROM episodes GROUP BY ALL),
+  l AS (SELECT row_number() OVER (ORDER BY success / n::DOUBLE DESC, model, task) AS i, * FROM m)
+  SELECT i + 2 AS number, '| ' || model || ' | ' || task || ' | ' || n || ' | ' || success || ' |' AS value FROM l
+  UNION ALL VALUES (1, '| model | task | n | success |'), (2, '|---|---|---|---|')""",
+)
+def ordered_leaderboard(spark, d):
+    per = episodes(spark, d).groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("success_at_slo").cast("bigint").alias("success"))
+    path = _folder(spark)
+    sinks.write_ordered_lines(per, path, [F.desc(F.col("success") / F.col("n")), F.asc("model"), F.asc("task")], "markdown")
+    return sinks.read_ordered_lines(spark, path)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +71,56 @@ def write_text_table(df: DataFrame, path: str, order: Sequence[str], style: str
     cells = df.select(place.alias("__i"), _line(df, style, formats or {}).alias("line"))
     head = df.sparkSession.createDataFrame(list(enumerate(header_lines(df.columns, style), start=-9)), "__i int, line string")
     head.union(cells).repartition(1).sortWithinPartitions("__i").select("line").write.mode(mode).text(path)
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> tuple[DataFrame, DataFrame]:
+    """``df`` with its 0-based ``name`` in an order, kept in that order over its partitions, and
+    a table of the partitions: ``part``, ``first`` and ``n``.
+
+    Rows are dealt out by ranges of the order and sorted within; the partitions' counts, one
+    number each, are added up to the places they start from. The result is checkpointed, as
+    ranges are drawn anew whenever they are worked out again.
+    """
+    from sloframe.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = F.monotonically_increasing_id()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = dealt.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND((1 << 33) - 1)).checkpoint()
+    counts = sorted(tuple(r) for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    first, total = {}, 0
+    for part, n in counts:
+        first[part], total = total, total + n
+    offset = F.from_json(F.lit(json.dumps(first)), "map<string,bigint>")[F.col("__part").cast("string")]
+    listing = spark.createDataFrame([(p, first[p], n) for p, n in counts], "part bigint, first bigint, n bigint")
+    return kept.withColumn(name, offset + F.col("__at")).drop("__part", "__at"), listing
+
+
+def write_ordered_lines(
+    df: DataFrame, path: str, order: Sequence[str | Column], style: str = "series", formats: dict[str, str] | None = None, header: bool = True, mode: str = "errorifexists"
+) -> DataFrame:
+    """A text table of any size, in order over numbered part files, which several tasks write;
+    the header is the first line of the first one. Returns the listing of ``in_order``."""
+    rows, listing = in_order(df, order, "__place")
+    head = header_lines(df.columns, style) if header else []
+    line = _line(df, style, formats or {})
+    lines = F.when(F.col("__place") == 0, F.array(*[F.lit(h) for h in head], line)).otherwise(F.array(line))
+    rows.select(F.explode(lines).alias("line")).write.mode(mode).text(path)
+    if head and listing.isEmpty():
+        df.sparkSession.createDataFrame([(h,) for h in head], "line string").coalesce(1).write.mode("append").text(path)
+    return listing
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the part files that ``write_ordered_lines`` wrote, as ``number`` (from 1 over
+    all files, by their names) and ``value``."""
+    from sloframe.operators.ordered import attach
+    from sloframe.sources.readers import read_numbered_lines
+
+    lines = read_numbered_lines(spark, path, "part-*")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    starts = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return attach(lines, starts, ["file"]).select((F.col("__start") + F.col("line")).alias("number"), "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
 
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from sloframe import plugins
 from sloframe.operators import curves, gates
+from sloframe.operators.ordered import attach
 from sloframe.plans.registry import query, rounded
 from sloframe.plans.views import EPISODES_SQL, episodes, table
 from sloframe.session import ensure_checkpoint_dir
-from sloframe.sources import fingerprint, manifest, readers, sinks
+from sloframe.sources import fingerprint, manifest, quarantine, readers, sinks
 
 
 def _folder(spark) -> str:
@@ -60,6 +62,32 @@ def log_folders(spark, d):
     return logs.groupBy("model", "task", "seed").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _cut_short(folder: str, name: str, content: bytes) -> None:
+    """A damaged file, which no writer of Spark makes."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    files.create_dir(path)
+    with files.open_output_stream(f"{path}/{name}") as out:
+        out.write(content)
+
+
+@query(
+    "log_quarantine",
+    "SELECT count(*) AS n, round(sum(value), 4) AS total, 3 AS whole_files, 1 AS skipped_files FROM events WHERE event_id % 50 > 1 AND event_id % 4 < 3",
+)
+def log_quarantine(spark, d):
+    """Three packed logs and one that is cut short."""
+    root, lines = _folder(spark), _event_lines(spark, d)
+    for i in range(3):
+        lines.where(F.col("event_id") % 4 == i).select("value").coalesce(1).write.option("compression", "gzip").text(f"{root}/{i}")
+    _cut_short(f"{root}/3", "cut.gz", gzip.compress(b'{"event_id": 1, "event_type": "view", "value": 1.0}' * 1000)[:-40])
+    rows, files = quarantine.read_whole_logs(spark, root, _EVENT, "*.gz")
+    count = lambda status: F.count_if(F.col("status") == status)
+    seen = files.agg(count("ok").alias("whole_files"), count("unreadable").alias("skipped_files"))
+    return attach(rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")), seen, [])
+
+
 @query("csv_table", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last FROM orders GROUP BY o_orderstatus")
 def csv_table(spark, d):
     path = _folder(spark)

@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from sloframe.operators.ordered import add_positions
@@ -15,10 +15,11 @@ MODES = {"strict": "FAILFAST", "skip": "DROPMALFORMED", "report": "PERMISSIVE"}
 CORRUPT = "_corrupt"
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, mode: str = "strict", recursive: bool = False, glob: str | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, mode: str = "strict", recursive: bool = False, glob: str | None = None, reader: DataFrameReader | None = None) -> DataFrame:
     """JSON lines with a declared schema. ``strict`` fails on a bad line, ``skip``
-    drops it, ``report`` keeps its text in ``_corrupt``. Blank lines are ignored."""
-    reader = spark.read.option("mode", MODES[mode]).option("recursiveFileLookup", recursive)
+    drops it, ``report`` keeps its text in ``_corrupt``. Blank lines are ignored.
+    ``reader`` brings further options."""
+    reader = (reader or spark.read).option("mode", MODES[mode]).option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if mode == "report":

@@ -81,4 +81,4 @@ def read_whole_logs(spark: SparkSession, root: str, schema: str, glob: str = "*.
     # Reading on past damage; the rows of damaged files go in the join.
     reader = spark.read.option("ignoreCorruptFiles", True)
     rows = read_jsonl(spark, root, schema, mode, True, glob, reader=reader).withColumn("source", F.col("_metadata.file_path"))
-    return rows.join(whole, "source", "left_semi"), outcomes
+    return rows.join(whole, "source", "left_semi").select(*rows.columns), outcomes

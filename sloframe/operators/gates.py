@@ -95,22 +95,41 @@ def certification_gates(tier: str):
     )
 
 
+def _passed(summary: DataFrame, gates) -> dict[str, Column]:
+    """Per tier whether all of its gates and those of the tiers before it are passed."""
+    out, before = {}, F.lit(True)
+    for name, rules in gates:
+        for metric, op, limit in rules:
+            value = F.col(metric).cast("double") if metric in summary.columns else F.lit(None).cast("double")
+            before = before & meets(value, op, limit)
+        out[name] = before
+    return out
+
+
 def tier_gates(summary: DataFrame, gates=TIER_GATES) -> DataFrame:
     """Boolean column per tier and the highest tier reached. A gate on a metric the
     summary lacks, or whose value is NULL, fails."""
-    out, before = summary, F.lit(True)
+    passed = _passed(summary, gates)
+    out = summary.withColumns({f"tier_{name}": ok for name, ok in passed.items()})
     highest = F.lit("none")
-    for name, rules in gates:
-        passed = before
-        for metric, op, limit in rules:
-            value = F.col(metric).cast("double") if metric in summary.columns else F.lit(None).cast("double")
-            passed = passed & meets(value, op, limit)
-        out = out.withColumn(f"tier_{name}", passed)
-        before = F.col(f"tier_{name}")
-        highest = F.when(before, F.lit(name)).otherwise(highest)
+    for name in passed:
+        highest = F.when(F.col(f"tier_{name}"), F.lit(name)).otherwise(highest)
     return out.withColumn("highest_tier", highest)
 
 
+def certification(summary: DataFrame, by: Sequence[str], gates=certification_gates, tiers: Sequence[str] = tuple(CERTIFICATION_LIMITS)) -> DataFrame:
+    """The levels reached at every deadline tier: one row per summary row and ``slo_tier``,
+    from one reading of the summary."""
+    cells = []
+    for tier in tiers:
+        passed = _passed(summary, gates(tier))
+        highest = F.lit("none")
+        for name, ok in passed.items():
+            highest = F.when(ok, F.lit(name)).otherwise(highest)
+        cells.append(F.struct(F.lit(tier).alias("slo_tier"), *[ok.alias(f"tier_{name}") for name, ok in passed.items()], highest.alias("highest_tier")))
+    return summary.select(*by, F.explode(F.array(*cells)).alias("__c")).select(*by, "__c.*")
+
+
 def composite_score(summary: DataFrame, weights: dict[str, float], lower_is_better: Sequence[str] = ()) -> DataFrame:
     """Weighted sum of metrics in [0, 1]; missing metrics count as 0 and for
     ``lower_is_better`` ones 1 - value enters."""

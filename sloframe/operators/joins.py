@@ -36,6 +36,19 @@ def positional(left: DataFrame, right: DataFrame, keys: Sequence[str], line: str
     return left.join(right, [*keys, line], "inner")
 
 
+def positional_many(logs: Sequence[DataFrame], keys: Sequence[str], line: str, value: str) -> DataFrame:
+    """Any number of logs side by side: ``keys``, line and ``values``, one from each log in their
+    order, of the lines that all logs have. One shuffle, whatever the number of logs; a line
+    that a log holds twice has no place and is left out."""
+    tagged = [log.select(*keys, line, F.lit(i).alias("__log"), F.col(value).alias("__v")) for i, log in enumerate(logs)]
+    rows = tagged[0]
+    for log in tagged[1:]:
+        rows = rows.unionByName(log)
+    met = rows.groupBy(*keys, line).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(F.struct("__log", "__v"))).alias("__all"))
+    whole = met.where((F.col("__n") == len(logs)) & (F.size(F.array_distinct("__all.__log")) == len(logs)))
+    return whole.select(*keys, line, F.transform("__all", lambda x: x["__v"]).alias("values"))
+
+
 def lengths_differ(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups whose two sides have different row counts."""
     a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("left_rows"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sloframe.functions import jsonops
-from sloframe.operators import compare, datasets, gates, slo
+from sloframe.operators import compare, datasets, gates, joins, slo
 from sloframe.operators.ordered import attach, exact_quantiles
 from sloframe.operators import stability
 from sloframe.plans.agreement import REPLICATES_SQL, replicates
-from sloframe.plans.registry import query, rounded
+from sloframe.plans.registry import ORACLES, query, rounded
 from sloframe.plans.views import EPISODES_SQL, episodes, table
-from sloframe.sources import fingerprint, readers
+from sloframe.session import ensure_checkpoint_dir
+from sloframe.sources import fingerprint, readers, sinks
 
 # ---- gates ------------------------------------------------------------------
 
@@ -110,12 +113,18 @@ def _low_certification(tier):
     " CASE WHEN bronze AND sg AND gg THEN 'gold' WHEN bronze AND sg THEN 'silver' WHEN bronze THEN 'bronze' ELSE 'none' END AS highest_tier FROM c",
 )
 def certification_tiers(spark, d):
-    summary = _gate_summary(spark, d)
-    out = None
-    for tier in gates.CERTIFICATION_LIMITS:
-        part = gates.tier_gates(summary, _low_certification(tier)).select("model", F.lit(tier).alias("slo_tier"), "tier_bronze", "tier_silver", "tier_gold", "highest_tier")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return gates.certification(_gate_summary(spark, d), ["model"], _low_certification)
+
+
+@query(
+    "certification_levels",
+    f"{_SUM}, l(slo_tier, a) AS (VALUES ('interactive', 2000), ('standard', 5000), ('batch', 30000))"
+    ", c AS (SELECT model, slo_tier, j >= 0.95 AND sv >= 0.90 AND p95 <= a AND ok >= 0.70 AS bronze, faith >= 0.80 AND disagreement <= 0.15 AS sg FROM s JOIN st USING (model), l)"
+    " SELECT model, slo_tier, bronze AS tier_bronze, bronze AND sg AS tier_silver, false AS tier_gold, CASE WHEN bronze AND sg THEN 'silver' WHEN bronze THEN 'bronze' ELSE 'none' END AS highest_tier FROM c",
+)
+def certification_levels(spark, d):
+    """At the real limits; gold also asks for metrics that these episodes lack."""
+    return gates.certification(_gate_summary(spark, d), ["model"])
 
 
 @query(
@@ -270,6 +279,10 @@ def hash_split(spark, d):
   UNION ALL SELECT line, 'missing gold' FROM e WHERE c IN (3, 4) UNION ALL SELECT line, 'missing prompt' FROM e WHERE c = 4""",
 )
 def quality_report(spark, d):
+    return datasets.quality_report(_task_lines(spark, d), "value", "line", "s.json")
+
+
+def _task_lines(spark, d):
     c = F.col("event_id") % 50
     good = F.concat(F.lit('{"prompt": "p", "gold": '), "props", F.lit(', "schema_path": "s.json"}'))
     raw = (
@@ -280,8 +293,32 @@ def quality_report(spark, d):
         .when(c == 4, F.lit('{"schema_path": "s.json"}'))
         .otherwise(good)
     )
-    lines = table(spark, d, "events").select((F.col("event_id") + 1).alias("line"), raw.alias("value"))
-    return datasets.quality_report(lines, "value", "line", "s.json")
+    return table(spark, d, "events").select((F.col("event_id") + 1).alias("line"), raw.alias("value"))
+
+
+
+@query("quality_report_file", ORACLES["quality_report"])
+def quality_report_file(spark, d):
+    """The same records, written to files in order and read back with their line numbers."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tasks-{uuid.uuid4().hex}"
+    sinks.write_ordered_lines(_task_lines(spark, d), path, ["line"], header=False, columns=["value"])
+    return datasets.quality_report(sinks.read_ordered_lines(spark, path), "value", "number", "s.json").withColumnRenamed("number", "line")
+
+
+_ZIP = "event_id // 3 AS line, event_type AS v FROM events WHERE event_id % 3 = "
+
+
+@query(
+    "positional_join_many",
+    f"WITH a AS (SELECT {_ZIP} 0), b AS (SELECT {_ZIP} 1), c AS (SELECT {_ZIP} 2 AND event_id < 700)"
+    " SELECT line, a.v || ',' || b.v || ',' || c.v AS outputs, len(list_distinct([a.v, b.v, c.v])) AS n_distinct FROM a JOIN b USING (line) JOIN c USING (line)",
+)
+def positional_join_many(spark, d):
+    """Three logs of one prompt list, the third of which ends early."""
+    e = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 3).alias("line"), "event_type")
+    logs = [e.where(F.col("event_id") % 3 == i).select("line", "event_type") for i in range(2)] + [e.where("event_id % 3 = 2 AND event_id < 700").select("line", "event_type")]
+    out = joins.positional_many(logs, [], "line", "event_type")
+    return out.select("line", F.array_join("values", ",").alias("outputs"), F.size(F.array_distinct("values")).alias("n_distinct"))
 
 
 @query(

@@ -99,13 +99,16 @@ def in_order(df: DataFrame, order: Sequence[str | Column], name: str = "place")
 
 
 def write_ordered_lines(
-    df: DataFrame, path: str, order: Sequence[str | Column], style: str = "series", formats: dict[str, str] | None = None, header: bool = True, mode: str = "errorifexists"
+    df: DataFrame, path: str, order: Sequence[str | Column], style: str = "series", formats: dict[str, str] | None = None, header: bool = True, mode: str = "errorifexists",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """A text table of any size, in order over numbered part files, which several tasks write;
-    the header is the first line of the first one. Returns the listing of ``in_order``."""
+    the header is the first line of the first one. ``columns`` are all of them by default.
+    Returns the listing of ``in_order``."""
     rows, listing = in_order(df, order, "__place")
-    head = header_lines(df.columns, style) if header else []
-    line = _line(df, style, formats or {})
+    shown = df.select(*columns) if columns else df
+    head = header_lines(shown.columns, style) if header else []
+    line = _line(shown, style, formats or {})
     lines = F.when(F.col("__place") == 0, F.array(*[F.lit(h) for h in head], line)).otherwise(F.array(line))
     rows.select(F.explode(lines).alias("line")).write.mode(mode).text(path)
     if head and listing.isEmpty():

@@ -80,3 +80,23 @@ def test_sample_and_shuffle(spark, n):
         assert [r.k for r in datasets.shuffled(df, "k", 3).orderBy("place").collect()] == order
         assert datasets.largest_group(df.withColumn("g", F.col("k") % 3), "g") == 667
         assert datasets.sample_n(df.where("false"), "k", 5, 3).collect() == [] and datasets.largest_group(df.where("false"), "k") == 0
+
+
+def test_many_logs_side_by_side(spark):
+    from sloframe.operators.joins import positional_many
+
+    make = lambda *rows: spark.createDataFrame(list(rows), "g string, line int, v string")
+    logs = [make(("a", 1, "x"), ("a", 2, "y"), (None, 1, "n")), make(("a", 1, None), ("a", 2, "z"), (None, 1, "m")), make(("a", 1, "w"), (None, 1, "o"), (None, 1, "again"))]
+    got = {(r.g, r.line): r["values"] for r in positional_many(logs, ["g"], "line", "v").collect()}
+    assert got == {("a", 1): ["x", None, "w"]}
+    assert {(r.g, r.line): r["values"] for r in positional_many(logs[:2], ["g"], "line", "v").collect()}[None, 1] == ["n", "m"]
+
+
+def test_levels_at_every_deadline(spark):
+    from sloframe.operators import gates
+
+    row = {"m": "a", "json_valid_rate": 1.0, "schema_valid_rate": 0.95, "p95_latency_ms": 2500.0, "p99_latency_ms": 2600.0, "success_at_slo": 0.95, "faithfulness": 0.9, "disagreement": 0.05, "function_calling": 0.9, "routing": 0.95}
+    rows = [row, {**row, "m": "b", "faithfulness": None}, {**row, "m": "c", "json_valid_rate": 0.5}]
+    got = {(r.m, r.slo_tier): r.highest_tier for r in gates.certification(spark.createDataFrame(rows), ["m"]).collect()}
+    assert [got["a", t] for t in gates.CERTIFICATION_LIMITS] == ["none", "gold", "gold"]
+    assert {got["b", t] for t in ("standard", "batch")} == {"bronze"} and {got["c", t] for t in gates.CERTIFICATION_LIMITS} == {"none"}

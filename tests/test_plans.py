@@ -36,7 +36,7 @@ def test_windows_over_a_whole_table_only_see_block_sums(plans):
     without keys is over block counts, as are the quantiles of a summary without keys. Parts
     of an ordered export are added up file by file."""
     single = {n for n, p in plans.items() if windows_over_everything(p)}
-    assert single <= {"cyclic_fill", "suite_summary_overall", "sample_n", "sample_half", "shuffled_mix", "ordered_series", "ordered_leaderboard"}
+    assert single <= {"cyclic_fill", "suite_summary_overall", "sample_n", "sample_half", "shuffled_mix", "ordered_series", "ordered_leaderboard", "quality_report_file"}
 
 
 def test_scans_read_needed_columns_only(plans):

@@ -7,7 +7,8 @@ a class, words outside the training text another, and the end of a text is one t
 
 Texts are read once, into blocks of some megabytes: a block lists its distinct words and
 holds its texts as places in that list. Counts of all words are one distributed table;
-only what a block's own words need from it goes back to the block.
+only what a block's own words need from it goes back to the block. Blocks and table meet as
+arrays, a part of all hashes at a time, and not as a row per word and block.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sloframe.llm.store import release, stored
+from sloframe.llm.store import stored
 from sloframe.llm.textbatch import run_starts, slices
 
 BLOCK_BYTES = 1 << 23
@@ -31,6 +32,8 @@ ALL = CLASSES + 3
 SHARE = 5e-5  # a word with this share of the training tokens is frequent; so 20,000 at most
 SWEEPS = 8
 REST_SWEEPS = 2  # of the other words after their first, each of one half of them
+PART_TERMS = 1 << 20  # listed terms of a part of the tables of words
+LEAST_PARTS = 128
 END_TERM = 0  # what the empty string hashes to
 
 
@@ -94,20 +97,59 @@ def read_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", block_b
     return stored(blocks.select(F.expr("xxhash64(uuid())").alias("block"), "*"), "blocks")
 
 
-def _exploded(blocks: DataFrame, columns: str) -> DataFrame:
-    """(block, place, term, n) of the terms of each block; ``columns`` of these are made."""
-    names = [c.split()[0] for c in columns.split(", ")]
+def _part_of(terms: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the table of words that has each term; ``_part`` is the same as a column."""
+    return ((terms.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint32)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _part(parts: int):
+    return F.expr(f"cast(shiftrightunsigned(term, 20) % {parts} as int)")
+
+
+def _parts_for(blocks: DataFrame) -> int:
+    """So many parts that one holds about ``PART_TERMS`` of the terms that blocks list."""
+    total = blocks.agg(F.sum(F.octet_length("terms"))).first()[0] or 0
+    return max(LEAST_PARTS, -(-total // (8 * PART_TERMS)))
+
+
+def _pieces(blocks: DataFrame, parts: int, counts: bool) -> DataFrame:
+    """A row per block and part: ``part``, ``block``, ``terms`` and, if wanted, ``counts`` of the
+    block's terms in that part, in their order."""
+    names = ["part", "block", "terms", *(["counts"] if counts else [])]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                term, n = np.frombuffer(terms, np.int64), np.frombuffer(counts, np.int64)
-                for a in range(0, len(term), 100_000):
-                    t = term[a: a + 100_000]
-                    made = {"block": lambda t=t: pa.array(np.full(len(t), block)), "place": lambda a=a, t=t: pa.array(np.arange(a, a + len(t)).astype(np.int32)), "term": lambda t=t: pa.array(t), "n": lambda a=a: pa.array(n[a: a + 100_000])}
-                    yield pa.RecordBatch.from_arrays([made[c]() for c in names], names)
+            for row in zip(*(batch.column(i) for i in range(batch.num_columns)), strict=True):
+                terms = np.frombuffer(row[1].as_buffer(), np.uint64)
+                part = _part_of(terms, parts)
+                order = np.argsort(part, kind="stable")
+                starts = run_starts(part[order])
+                offsets = (8 * np.append(starts, len(order))).astype(np.int32)
+                piece = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x[order].tobytes())])
+                values = [piece(terms), *([piece(np.frombuffer(row[2].as_buffer(), np.int64))] if counts else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][starts].astype(np.int32)), pa.array(np.full(len(starts), row[0].as_py())), *values], names)
+
+    source = blocks.select("block", "terms", *(["counts"] if counts else []))
+    return source.mapInArrow(cut, "part int, block long, terms binary" + (", counts binary" if counts else ""))
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of all rows of a binary column, one after the other."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
+
+
+def _word_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """(term, c) of the words of the training texts. A task adds up one part at a time."""
 
-    return blocks.select("block", "terms", "counts").mapInArrow(explode, columns)
+    def add(group: pa.Table) -> pa.Table:
+        terms, n = _joined(group.column("terms"), np.int64), _joined(group.column("counts"), np.int64)
+        order = np.argsort(terms)
+        starts = run_starts(terms[order])
+        c = np.add.reduceat(n[order], starts) if len(starts) else n
+        terms = terms[order][starts]
+        return pa.table({"term": pa.array(terms[c > 0]), "c": pa.array(c[c > 0])})
+
+    return _pieces(blocks, parts, True).groupBy("part").applyInArrow(add, "term long, c long")
 
 
 @dataclass
@@ -119,6 +161,7 @@ class Model:
     frequent: np.ndarray  # sorted term hashes
     classes: np.ndarray  # of the frequent terms
     transitions: np.ndarray
+    parts: int = 1  # of the tables of words
 
     def class_of(self, terms: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Class of each term; ``of`` has that of the terms that are not frequent."""
@@ -214,46 +257,60 @@ def _frequent_bigrams(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
-def _dealt(blocks: DataFrame, table: DataFrame, missing: int, kind: type) -> DataFrame:
-    """``of`` (a block) and ``known``: the values ``c`` that ``table`` has for its terms, in order."""
-    wanted = _exploded(blocks, "block long, place int, term long").join(table, "term", "left")
-    dealt = wanted.select("block", "place", F.coalesce("c", F.lit(missing)).alias("c")).repartition("block").sortWithinPartitions("block", "place")
+def _dealt(blocks: DataFrame, table: DataFrame, missing: int, kind: type, parts: int) -> DataFrame:
+    """``of`` (a block) and ``known``: the values ``c`` that ``table`` has for its terms, part
+    after part (``_in_order`` puts them back). Blocks and table meet part by part as arrays:
+    a term that every block lists is one number in each, so no part grows beyond the others."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+    def look_up(pieces: pa.Table, words: pa.Table) -> pa.Table:
+        terms, values = words.column("term").to_numpy(), words.column("c").to_numpy().astype(kind)
+        order = np.argsort(terms)
+        terms, values = np.append(terms[order], 0), np.append(values[order], missing).astype(kind)
+        found = []
+        for piece in pieces.column("terms"):
+            wanted = np.frombuffer(piece.as_buffer(), np.int64)
+            at = np.searchsorted(terms[:-1], wanted)
+            found.append(np.where(terms[at] == wanted, values[at], kind(missing)) if len(terms) > 1 else np.full(len(wanted), missing, kind))
+        return pa.table({"part": pieces.column("part"), "of": pieces.column("block"), "known": pa.array([x.astype(kind).tobytes() for x in found], pa.binary())})
 
-        def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["of", "known"])
+    words = table.select(_part(parts).alias("part"), "term", F.col("c").cast("long").alias("c"))
+    met = _pieces(blocks, parts, False).groupBy("part").cogroup(words.groupBy("part")).applyInArrow(look_up, "part int, of long, known binary")
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            block, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(kind)
-            starts = run_starts(block)
-            for x, y in zip(starts, [*starts[1:], len(block)], strict=True):
-                if parts and block[x] != now:
-                    yield whole()
-                    parts = []
-                now = int(block[x])
-                parts.append(c[x:y])
-        if parts:
-            yield whole()
-
-    return dealt.select("block", "c").mapInArrow(gather, "of long, known binary")
-
-
-def _with_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """The blocks with ``known``: count and class of their terms, packed, in order."""
-    found = _dealt(blocks, known, UNSEEN, np.int64)
+            for of, known in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and of != now:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["of", "known"])
+                    held = []
+                now = of
+                held.append(known.as_py())
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["of", "known"])
+
+    return met.repartition("of").sortWithinPartitions("of", "part").select("of", "known").mapInArrow(gather, "of long, known binary")
+
+
+def _in_order(known: np.ndarray, terms: np.ndarray, parts: int) -> np.ndarray:
+    """Values that came part after part, in the order of a block's terms."""
+    out = np.empty_like(known)
+    out[np.argsort(_part_of(terms, parts), kind="stable")] = known
+    return out
+
+
+def _with_counts(blocks: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """The blocks with ``known``: count and class of their terms, packed, part after part."""
+    found = _dealt(blocks, known, UNSEEN, np.int64, parts)
     return blocks.join(found, F.col("block") == F.col("of")).select("ids", "held", "lengths", "terms", "tokens", "known")
 
 
-def _with_classes(blocks: DataFrame, words: DataFrame | None) -> DataFrame:
+def _with_classes(blocks: DataFrame, words: DataFrame | None, parts: int) -> DataFrame:
     """The training columns of the blocks with ``known``: the classes that ``words`` has for
-    their terms, in order; null without ``words``."""
+    their terms, part after part; null without ``words``."""
     columns = ["held", "lengths", "terms", "tokens"]
     if words is None:
         return blocks.select(*columns, F.lit(None).cast("binary").alias("known"))
-    found = stored(_dealt(blocks, words.withColumnRenamed("class", "c"), ONCE, np.uint8), "places")
-    release(blocks.sparkSession)
+    found = stored(_dealt(blocks, words.withColumnRenamed("class", "c"), ONCE, np.uint8, parts), "places")
     return blocks.select("block", *columns).join(found, F.col("block") == F.col("of")).select(*columns, "known")
 
 
@@ -261,7 +318,7 @@ def _trained(row: dict, model: Model) -> tuple[np.ndarray, ...]:
     """terms of a block, their classes so far, its tokens, and which of these are learnt from."""
     numbers = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
     terms, lengths = numbers("terms", np.uint64), numbers("lengths", np.int64)
-    of = numbers("known", np.uint8).astype(np.int64) if row["known"].is_valid else np.full(len(terms), ONCE)
+    of = _in_order(numbers("known", np.uint8), terms, model.parts).astype(np.int64) if row["known"].is_valid else np.full(len(terms), ONCE)
     return terms, model.class_of(terms, of), lengths, _unplaned(row["tokens"].as_buffer()), np.repeat(~numbers("held", bool), lengths)
 
 
@@ -366,20 +423,19 @@ def cluster_rest(blocks: DataFrame, model: Model, sweeps: int = REST_SWEEPS) ->
     """
     words = None
     for turn in range(sweeps + 1):
-        classed = _with_classes(blocks, words)
+        classed = _with_classes(blocks, words, model.parts)
         gain = gains(_matrix(classed, model))
         moved = _moved(_around(classed, model, turn if turn else None), gain)
         if words is not None:
             moved = moved.unionByName(words.filter(F.col("term").bitwiseAND(F.lit(1)) != turn % 2))
         words = stored(moved, "words")
-        release(blocks.sparkSession)
     return words
 
 
-def _read(row: dict) -> tuple[np.ndarray, ...]:
+def _read(row: dict, parts: int) -> tuple[np.ndarray, ...]:
     """held, lengths, terms, counts, classes and tokens of a block with counts."""
     numbers = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
-    known = numbers("known", np.int64)
+    known = _in_order(numbers("known", np.int64), numbers("terms", np.uint64), parts)
     return numbers("held", bool), numbers("lengths", np.int64), numbers("terms", np.uint64), known // 128, known % 128, _unplaned(row["tokens"].as_buffer())
 
 
@@ -405,7 +461,7 @@ def _classified(counted: DataFrame, model: Model, kind: str) -> DataFrame:
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for row in _rows(batches):
-            held, lengths, terms, counts, of, tokens = _read(row)
+            held, lengths, terms, counts, of, tokens = _read(row, model.parts)
             of = model.class_of(terms, of)
             base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             emitted = np.where(of == UNSEEN, -np.log10(model.types + 1), np.log10(np.maximum(counts, 1)))
@@ -452,20 +508,18 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
     blocks = read_blocks(docs, id, text)
-    known = stored(_exploded(blocks, "term long, n long").filter("n > 0").groupBy("term").agg(F.sum("n").alias("c")), "counts")
-    release(spark)
+    parts = _parts_for(blocks)
+    known = stored(_word_counts(blocks, parts), "counts")
     tokens, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = known.filter((F.col("c") >= F.lit(share * tokens)) & (F.col("term") != END_TERM)).toArrow()
     terms, n = often.column("term").to_numpy().view(np.uint64), often.column("c").to_numpy()
     order = np.argsort(terms)
     frequent, n = terms[order], n[order]
     classes = cluster(stored(_frequent_bigrams(blocks, frequent), "bigrams"), n, sweeps)
-    release(spark)
-    model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64))
+    model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64), parts)
     words = cluster_rest(blocks, model, rest_sweeps)
     packed = known.join(words, "term", "left").select("term", (F.col("c") * 128 + F.coalesce("class", F.lit(ONCE))).alias("c"))
-    classified = stored(_classified(_with_counts(blocks, packed), model, kind), "classes")
-    release(spark)
+    classified = stored(_classified(_with_counts(blocks, packed, parts), model, kind), "classes")
     pairs = _transitions(classified).toArrow()
     model.transitions.reshape(-1)[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     shared = spark.sparkContext.broadcast((model.log_transitions(), model.log_sizes(), model.tokens))

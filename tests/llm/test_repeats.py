@@ -142,3 +142,69 @@ def test_open_tags_close_as_before(page, tags):
         assert dom.nodes[n.parent].children[n.place] == i
     text = [t for _, t, _ in dom.runs]
     assert text == sorted(text)
+
+
+# ---- class model ----
+
+
+def test_scores_follow_from_the_classes(spark):
+    """Scores by plain loops over the texts, given the classes that the operator found."""
+    import math
+    import re
+
+    from sloframe.llm import brown
+    from sloframe.llm.textbatch import slices
+
+    r = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(r.choice(words, int(r.integers(0, 40)), p=None)) for _ in range(150)] + ["only once here", "Unseen éé words", "", None, "w1 " * 300]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    share = 0.006
+    got = {x.doc_id: x for x in brown.score_documents(docs, share=share).collect()}
+
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), ""] for t in texts]
+    train = [i for i in range(len(texts)) if not brown.held_out(i)]
+    count = Counter(w for i in train for w in tokens[i])
+    import pyarrow as pa
+
+    names = sorted(set(count) | {w for t in tokens for w in t} - {""})
+    names = [n for n in names if n]
+    part = next(slices(pa.RecordBatch.from_arrays([pa.array([" ".join(names)])], ["text"]), "text"))
+    starts, ends, _ = part.words()
+    term = dict(zip(names, part.hashes(starts, ends, lower=True).view(np.int64).tolist(), strict=True))
+
+    # The operator's own classes.
+    blocks = brown.read_blocks(docs)
+    parts = brown._parts_for(blocks)
+    known = brown._word_counts(blocks, parts)
+    assert {x.term: x.c for x in known.collect()} == {**{term[w]: n for w, n in count.items() if w}, brown.END_TERM: count[""]}
+    often = sorted((np.uint64(term[w] % 2**64), n) for w, n in count.items() if w and n >= share * count.total())
+    frequent, n = np.array([t for t, _ in often], np.uint64), np.array([c for _, c in often])
+    model = brown.Model(count.total(), len(count), frequent, brown.cluster(brown._frequent_bigrams(blocks, frequent), n), np.zeros((brown.ALL, brown.ALL), np.int64), parts)
+    of = {x.term: x["class"] for x in brown.cluster_rest(blocks, model).collect()}
+    of.update(zip(frequent.view(np.int64).tolist(), model.classes.tolist(), strict=True))
+    assert len(frequent) > 10 and len(of) > len(frequent) + 10
+
+    def class_of(w):
+        return brown.END if not w else brown.UNSEEN if not count[w] else of.get(term[w], brown.ONCE)
+
+    moves = np.zeros((brown.ALL, brown.ALL))
+    for i in train:
+        before = brown.END
+        for w in tokens[i]:
+            moves[before, class_of(w)] += 1
+            before = class_of(w)
+    size = moves.sum(axis=0)
+    assert all(sum(c for w, c in count.items() if class_of(w) == k) == size[k] for k in range(brown.ALL) if k != brown.UNSEEN)
+    moves[:, brown.UNSEEN] = moves[:, brown.ONCE]
+    chance = (moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True)
+    assert np.allclose(chance.sum(axis=1), 1)
+    for i, t in enumerate(tokens):
+        before, total = brown.END, 0.0
+        for w in t:
+            k = class_of(w)
+            emitted = 1 / (len(count) + 1) if k == brown.UNSEEN else count[w] / size[k]
+            total += math.log10(chance[before, k] * emitted)
+            before = k
+        assert got[i].score == pytest.approx(total), i

@@ -288,7 +288,9 @@ def test_search_is_exact(docs, texts):
 
 
 def test_mixing_meets_its_targets(docs, texts):
-    rows = table(mixing.calibrated(docs, cycles=30))
+    """A budget that no cell has too few tokens for meets all targets; the usual one takes some
+    cells whole."""
+    rows = table(mixing.calibrated(docs, cycles=30, keep=0.05))
     assert set(rows) == set(range(len(texts)))
     for i, t in enumerate(texts):
         w = words_of(t)
@@ -297,15 +299,17 @@ def test_mixing_meets_its_targets(docs, texts):
             assert rows[i].probability == 0 and not rows[i].kept
     total = sum(r.tokens for r in rows.values())
     expected = sum(r.tokens * r.probability for r in rows.values())
+    assert math.isclose(expected, 0.05 * total, rel_tol=1e-6) and max(r.probability for r in rows.values()) < 1
     for d in mixing.DIMENSIONS:
         values = {r[d] for r in rows.values() if r.tokens}
         share = {v: (sum(r.tokens for r in rows.values() if r[d] == v) / total) ** 0.7 for v in values}
         for v in values:
             got = sum(r.tokens * r.probability for r in rows.values() if r[d] == v) / expected
             assert math.isclose(got, share[v] / sum(share.values()), abs_tol=1e-4), (d, v)
-    assert math.isclose(max(r.probability for r in rows.values()), 1)
+    usual = table(mixing.calibrated(docs, cycles=30))
+    assert math.isclose(max(r.probability for r in usual.values()), 1)
     kept = sorted(r.doc_id for r in mixing.keep_mixed(docs, cycles=30).collect())
-    assert kept == sorted(i for i, r in rows.items() if r.kept)
+    assert kept == sorted(i for i, r in usual.items() if r.kept)
 
 
 PAGES = "page_id long, url string, html string, digest string, first int"

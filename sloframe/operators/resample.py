@@ -17,6 +17,7 @@ from sloframe.operators.ordered import CHUNK, add_positions, attach, running_tot
 from sloframe.operators.ranking import POISSON_CUTS, _rank_sums
 
 BINS = 128
+SIDE = 8  # resamples that one row counts side by side
 _NO_VALUE = 1 << 30  # bin of a missing value: ranked last
 
 
@@ -27,15 +28,16 @@ def _bins(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return attach(cells, cuts, by).withColumn("__bin", F.when(F.col(value).isNull(), F.lit(_NO_VALUE)).otherwise(below)).drop("__cuts")
 
 
-def _tied_ranks(counts: DataFrame, by: Sequence[str], value: str, count: str, descending: bool, name: str, binned_by: Sequence[str]) -> DataFrame:
-    """Average rank of each value of a group, from how often it occurs there. ``counts`` has
-    one row per group and value; ``binned_by`` are the keys of a group's value bins."""
+def _tied_ranks(counts: DataFrame, by: Sequence[str], value: str, ranks: dict[str, str], descending: bool, binned_by: Sequence[str]) -> DataFrame:
+    """Average rank of each value of a group, from how often it occurs there: ``ranks`` names a
+    rank and the column that counts the value for it. ``counts`` has one row per group and
+    value; ``binned_by`` are the keys of a group's value bins."""
     binned = _bins(counts, binned_by, value)
     known = F.col("__bin") < _NO_VALUE
     block = F.when(known, -F.col("__bin")).otherwise(F.lit(_NO_VALUE)) if descending else F.col("__bin")
     order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    run = running_totals(binned, by, [block], [order], {"__upto": F.col(count)})
-    return run.withColumn(name, F.col("__upto") - (F.col(count) - 1) / 2.0).drop("__upto", "__bin")
+    run = running_totals(binned, by, [block], [order], {f"__upto_{name}": F.col(count) for name, count in ranks.items()})
+    return run.select(*by, value, *[(F.col(f"__upto_{name}") - (F.col(count) - 1) / 2.0).alias(name) for name, count in ranks.items()])
 
 
 def add_average_ranks(df: DataFrame, by: Sequence[str], ranks: dict[str, str], descending: bool = True) -> DataFrame:
@@ -46,7 +48,7 @@ def add_average_ranks(df: DataFrame, by: Sequence[str], ranks: dict[str, str], d
     for name, column in ranks.items():
         value = F.col(column).cast("double")
         counts = df.groupBy(*by, value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        ranked = _tied_ranks(counts, by, "__v", "__n", descending, name, by).drop("__n")
+        ranked = _tied_ranks(counts, by, "__v", {name: "__n"}, descending, by)
         df = attach(df.withColumn("__v", value), ranked, [*by, "__v"]).drop("__v")
     return df
 
@@ -72,9 +74,9 @@ def bootstrap_spearman_rows(
     by ``key`` is md5(seed|r|j) mod n.
 
     Places are dealt out block by block (``blocks``: coarse keys that never decrease along the
-    key; by default ``CHUNK`` keys of an integer each). Draws are counted per row before they
-    meet the values, counts per value give the tied ranks, and ranks are carried over the
-    group's value bins, so a group may be of any size.
+    key; by default ``CHUNK`` keys of an integer each). Draws are counted per row, ``SIDE``
+    resamples side by side, before they meet the values, counts per value give the tied ranks,
+    and ranks are carried over the group's value bins, so a group may be of any size.
     """
     by = list(by)
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, key, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
@@ -82,24 +84,32 @@ def bootstrap_spearman_rows(
         blocks = [F.floor(F.col(key) / CHUNK)]
     placed = add_positions(rows, by, blocks, [F.col(key)], "__j")
     placed = attach(placed, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
+    # One row per place and SIDE resamples, whose draws it counts side by side.
+    side = range(min(SIDE, resamples))
     draws = (
         placed.select(*by, "__j", "__n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
         .withColumn("__pick", F.pmod(hash32(F.concat_ws("|", F.lit(seed), F.col("__r"), F.col("__j"))), F.col("__n")))
-        .groupBy(*by, "__r", F.col("__pick").alias("__j"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .select(F.struct(*by, F.col("__pick").alias("__j")).alias("__key"), "__r")
+        .repartition("__key")  # a place is hardly drawn twice in a task: nothing to add up before
+        .groupBy("__key", F.floor(F.col("__r") / SIDE).alias("__s"))
+        .agg(*[F.count_if(F.col("__r") % SIDE == i).alias(f"__c{i}") for i in side])
     )
-    drawn = attach(draws, placed.select(*by, "__j", "__a", "__b"), [*by, "__j"])
-    group = [*by, "__r"]
-    # Equal pairs of values are one cell of a resample.
-    drawn = drawn.groupBy(*group, "__a", "__b").agg(F.sum("__c").alias("__c"))
+    drawn = draws.join(placed.select(F.struct(*by, "__j").alias("__key"), *by, "__a", "__b"), "__key")
+    group = [*by, "__s"]
+    # Equal pairs of values are one cell.
+    drawn = drawn.groupBy(*group, "__a", "__b").agg(*[F.sum(f"__c{i}").alias(f"__c{i}") for i in side])
     for value, rank in (("__a", "__ra"), ("__b", "__rb")):
-        counts = drawn.groupBy(*group, value).agg(F.sum("__c").alias("__n"))
-        drawn = attach(drawn, _tied_ranks(counts, group, value, "__n", True, rank, by).drop("__n"), [*group, value])
-    c, ra, rb = F.col("__c"), F.col("__ra"), F.col("__rb")
-    per = drawn.groupBy(*group).agg(
-        F.sum(c).alias("n"), F.sum(c * ra).alias("sa"), F.sum(c * rb).alias("sb"),
-        F.sum(c * ra * ra).alias("saa"), F.sum(c * rb * rb).alias("sbb"), F.sum(c * ra * rb).alias("sab"),
-    )
+        counts = drawn.groupBy(*group, value).agg(*[F.sum(f"__c{i}").alias(f"__n{i}") for i in side])
+        drawn = attach(drawn, _tied_ranks(counts, group, value, {f"{rank}{i}": f"__n{i}" for i in side}, True, by), [*group, value])
+    sums = []
+    for i in side:
+        c, ra, rb = F.col(f"__c{i}"), F.col(f"__ra{i}"), F.col(f"__rb{i}")
+        parts = {"n": c, "sa": c * ra, "sb": c * rb, "saa": c * ra * ra, "sbb": c * rb * rb, "sab": c * ra * rb}
+        sums.append({name: F.sum(x).alias(f"__{name}{i}") for name, x in parts.items()})
+    summed = drawn.groupBy(*group).agg(*[x for each in sums for x in each.values()])
+    each = F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"__{name}{i}").alias(name) for name in sums[i]]) for i in side])
+    per = summed.select(*group, F.explode(each).alias("__x")).select(*by, (F.col("__s") * SIDE + F.col("__x.i")).alias("__r"), "__x.*")
+    per, group = per.where(F.col("__r") < resamples), [*by, "__r"]
     rhos = _correlated(per, group).groupBy(*by).agg(F.array_sort(F.collect_list("rho")).alias("__s"))  # one value per resample
     lo, hi = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)
     ci = rhos.select(*by, F.col("__s")[lo].alias("ci_lower"), F.col("__s")[hi].alias("ci_upper"))

@@ -104,3 +104,25 @@ def test_small_and_empty_groups(spark):
     assert [(r.g, r.n, r.value, r.ci_lower, r.ci_upper) for r in got] == [("x", 1, 5.0, 5.0, 5.0)]
     assert resample.bootstrap_quantiles(one.where("false"), ["g"], F.col("i"), F.col("v"), {"p50": 0.5}).collect() == []
     assert resample.spearman_rows(one.withColumn("w", F.col("v")).where("false"), ["g"], "v", "w").collect() == []
+
+
+def test_resamples_are_counted_side_by_side(spark, monkeypatch):
+    data = [(i, "g" if i % 3 else None, float(i % 50), float((i * 7) % 31)) for i in range(600)]
+    df = spark.createDataFrame(data, "i long, g string, a double, b double")
+    sizes, ranks = [], resample._tied_ranks
+    monkeypatch.setattr(resample, "_tied_ranks", lambda counts, *rest: sizes.append(counts.count()) or ranks(counts, *rest))
+    got = {r.g: r for r in resample.bootstrap_spearman_rows(df, ["g"], "i", "a", "b", resamples=19).collect()}
+    # Two groups of at most 50 and 31 values, 19 resamples in three rows of a value; then the ranks themselves.
+    assert max(sizes) <= 2 * 50 * 3
+    assert set(got) == {"g", None}
+    lo, hi = int(0.025 * 19), int(0.975 * 19)
+    for g, n in (("g", 400), (None, 200)):
+        rows = [(a, b) for _, key, a, b in data if key == g]
+        rhos = []
+        for r in range(19):
+            at = [int(hashlib.md5(f"42|{r}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]
+            xs, ys = [rows[i][0] for i in at], [rows[i][1] for i in at]
+            ra, rb = plain_ranks(xs), plain_ranks(ys)
+            rhos.append(np.corrcoef([ra[x] for x in xs], [rb[y] for y in ys])[0, 1])
+        rhos.sort()
+        assert got[g].n == n and got[g].ci_lower == pytest.approx(rhos[lo]) and got[g].ci_upper == pytest.approx(rhos[hi])

@@ -75,9 +75,11 @@ def _own_rules(value: Column, schema: dict) -> list[Rule]:
         text = f"'{declared}'" if isinstance(declared, str) else ", ".join(f"'{d}'" for d in declared)
         rules.append((~_is_type(value, declared), F.concat(_shown(value), F.lit(f" is not of type {text}"))))
     if "enum" in schema:
-        inside = F.lit(False)
+        texts = [x for x in schema["enum"] if isinstance(x, str)]
+        inside = F.coalesce((kind(value) == "STRING") & F.try_variant_get(value, "$", "string").isin(texts), F.lit(False)) if texts else F.lit(False)
         for literal in schema["enum"]:
-            inside = inside | _equals(value, literal)
+            if not isinstance(literal, str):
+                inside = inside | _equals(value, literal)
         rules.append((~inside, F.concat(_shown(value), F.lit(f" is not one of {schema['enum']!r}"))))
     number = F.try_variant_get(value, "$", "double")
     if "minimum" in schema:
@@ -97,11 +99,12 @@ def _own_rules(value: Column, schema: dict) -> list[Rule]:
         rules.append((is_array(value) & (F.size(as_array(value)) > schema["maxItems"]),
                       F.concat(_shown(value), F.lit(" is too long"))))
     for name in schema.get("required", []):
-        rules.append((is_object(value) & field(value, name).isNull(), F.lit(f"'{name}' is a required property")))
+        rules.append((field(value, name).isNull() & is_object(value), F.lit(f"'{name}' is a required property")))
     if schema.get("additionalProperties") is False:
         known = F.array(*[F.lit(p) for p in schema.get("properties", {})]).cast("array<string>")
-        extra = F.array_sort(F.array_except(F.map_keys(as_map(value)), known))
-        rules.append((F.size(extra) > 0, F.concat(
+        unknown = F.array_except(F.map_keys(as_map(value)), known)
+        extra = F.array_sort(unknown)
+        rules.append((F.size(unknown) > 0, F.concat(
             F.lit("Additional properties are not allowed ("),
             F.array_join(F.transform(extra, lambda e: F.concat(F.lit("'"), e, F.lit("'"))), ", "),
             F.when(F.size(extra) == 1, F.lit(" was unexpected)")).otherwise(F.lit(" were unexpected)")),
@@ -151,12 +154,23 @@ def valid(value: Column, schema: dict) -> Column:
     return ok
 
 
+def _first(value: Column, schema: dict, path: tuple[str, ...] = ()) -> Column:
+    """The first of the ``violations``; what comes after it is not evaluated."""
+    prefix = ".".join(path) if path else "<root>"
+    found = [F.when(F.coalesce(bad, F.lit(False)), F.concat(F.lit(prefix + ": "), msg)) for bad, msg in _own_rules(value, schema)]
+    for name in sorted(schema.get("properties", {})):
+        inner = schema["properties"][name]
+        found.append(let(field(value, name), lambda c, n=name, i=inner: F.when(c.isNotNull(), _first(c, i, (*path, n)))))
+    if "items" in schema:
+        before = "" if not path else prefix + "."
+        item = lambda v, at: F.concat(F.lit(before), at.cast("string"), F.substr(_first(v, schema["items"], ("{i}",)), F.lit(4)))
+        found.append(F.try_element_at(F.array_compact(F.transform(as_array(value), item)), F.lit(1)))
+    return F.coalesce(F.lit(None).cast("string"), *found)
+
+
 def first_violation(value: Column, schema: dict) -> Column:
     """First message, or NULL for a valid record; an unparsed value is an error."""
-    return let(
-        value,
-        lambda v: F.when(v.isNull(), F.lit("<root>: not valid JSON")).otherwise(F.try_element_at(violations(v, schema), F.lit(1))),
-    )
+    return let(value, lambda v: F.when(v.isNull(), F.lit("<root>: not valid JSON")).otherwise(_first(v, schema)))
 
 
 def compile_contract(schema: dict | str) -> Callable[[Column], Column]:

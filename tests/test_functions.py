@@ -282,3 +282,14 @@ def test_fingerprints_tell_cells_apart(spark):
     one = spark.createDataFrame([("a\x1f=b", "c")], "x string, y string")
     two = spark.createDataFrame([("a", "b\x1f=c")], "x string, y string")
     assert table_fingerprint(one).first().fingerprint != table_fingerprint(two).first().fingerprint
+
+
+def test_first_violation_stops_at_the_first(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "null"], "enum": [1, "x", None]}, "l": {"items": {"type": "string", "pattern": "^t"}}}}
+    texts = ['{"a": 1, "l": ["t", "t1"]}', '{"a": null}', '{"a": 2, "l": ["q"]}', '{"a": "x"}', '{"a": 1, "l": ["t", "q", 3]}', '{"l": [1]}', "[]", "null", None, "{"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(jsonops.parse_strict(F.col("t")).alias("v"))
+    first = df.select(contract.first_violation(F.col("v"), schema).alias("e"))
+    # No list of all messages is built.
+    assert "flatten" not in first._jdf.queryExecution().analyzed().toString()
+    every = df.select(F.when(F.col("v").isNull(), "<root>: not valid JSON").otherwise(F.try_element_at(contract.violations(F.col("v"), schema), F.lit(1))).alias("e"))
+    assert [r.e for r in first.collect()] == [r.e for r in every.collect()]

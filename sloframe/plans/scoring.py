@@ -321,11 +321,15 @@ def gold_scores(spark, d):
     main = score.gold_scores(P(pred), P(gold), F.concat(F.lit("Task: "), F.lit("classify_intent")))
     cite = score.gold_scores(P(cites_pred), P(cites_gold))
     plain = score.gold_scores(P(plain_pred), P(plain_gold))
+    # Each struct is made once per row; its fields are read from it in a step of their own.
+    made = e.select("event_id", main.alias("m"), cite.alias("cite"), plain.alias("plain"))
     # A record without tool, steps or decision has no match score.
-    known = F.size(F.filter(F.array(*[x[c] for x in (plain, cite) for c in ("tool_match", "toolseq_match", "safety_match")]), lambda v: v.isNotNull()))
-    out = e.select("event_id", main.alias("m"), cite["cite_acc"].alias("cite_acc"), plain["em"].alias("em"), plain["f1"].alias("f1"), known.alias("plain_matches"))
+    known = F.size(F.filter(F.array(*[F.col(x)[c] for x in ("plain", "cite") for c in ("tool_match", "toolseq_match", "safety_match")]), lambda v: v.isNotNull()))
     return rounded(
-        out.select("event_id", "em", "f1", "cite_acc", "m.faithfulness", "m.faithfulness_sem", "m.tool_match", "m.toolseq_match", "m.safety_match", "plain_matches")
+        made.select(
+            "event_id", "plain.em", "plain.f1", "cite.cite_acc", "m.faithfulness", "m.faithfulness_sem", "m.tool_match", "m.toolseq_match", "m.safety_match",
+            known.alias("plain_matches"),
+        )
     )
 
 

@@ -293,3 +293,14 @@ def test_first_violation_stops_at_the_first(spark):
     assert "flatten" not in first._jdf.queryExecution().analyzed().toString()
     every = df.select(F.when(F.col("v").isNull(), "<root>: not valid JSON").otherwise(F.try_element_at(contract.violations(F.col("v"), schema), F.lit(1))).alias("e"))
     assert [r.e for r in first.collect()] == [r.e for r in every.collect()]
+
+
+def test_gold_scores_makes_each_struct_once(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    events = spark.range(9).selectExpr("id event_id", "timestamp'2024-01-01' ts", "id user_id", "'view' event_type", "1.5D value", "'{\"k\": ' || id || '}' props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    scored = queries()["gold_scores"](spark, str(tmp_path))
+    # Pred and gold of three structs.
+    assert 0 < scored._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 6
+    assert {r.event_id: (r.em, r.cite_acc, r.plain_matches) for r in scored.where("event_id in (0, 4, 7)").collect()} == {0: (0.0, 0.5, 0), 4: (1.0, 1.0, 0), 7: (0.0, 1.0, 0)}

@@ -208,3 +208,19 @@ def test_scores_follow_from_the_classes(spark):
             total += math.log10(chance[before, k] * emitted)
             before = k
         assert got[i].score == pytest.approx(total), i
+
+
+def test_copies_that_tie_end_at_k_in_a_shard(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from sloframe.llm import search
+
+    docs = spark.createDataFrame([(None if i == 5 else 100 - i, "one two three") for i in range(90)], "doc_id long, text string").coalesce(1)
+    index = search.build_index(docs)
+    row = index.shards.first()
+    shard = search.Shard(row.terms, row.starts, row.docs, row.counts, row.lengths, 3.0, pa.array(row.ids, pa.int64()))
+    at, score = shard.top(shard.terms, np.ones(len(shard.terms)), 4, 0.0)
+    assert sorted(row.ids[i] for i in at) == [11, 12, 13, 14] and len(set(score)) == 1
+    found = search.search(index, docs.where("doc_id = 50"), k=4).orderBy("rank").collect()
+    assert [(r["rank"], r.doc_id) for r in found] == [(1, 11), (2, 12), (3, 13), (4, 14)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sloframe.llm.store import stored
+from sloframe.llm.store import release, stored
 from sloframe.llm.textbatch import run_starts, slices
 
 BLOCK_BYTES = 1 << 23
@@ -311,6 +311,7 @@ def _with_classes(blocks: DataFrame, words: DataFrame | None, parts: int) -> Dat
     if words is None:
         return blocks.select(*columns, F.lit(None).cast("binary").alias("known"))
     found = stored(_dealt(blocks, words.withColumnRenamed("class", "c"), ONCE, np.uint8, parts), "places")
+    release(blocks.sparkSession)
     return blocks.select("block", *columns).join(found, F.col("block") == F.col("of")).select(*columns, "known")
 
 
@@ -425,10 +426,13 @@ def cluster_rest(blocks: DataFrame, model: Model, sweeps: int = REST_SWEEPS) ->
     for turn in range(sweeps + 1):
         classed = _with_classes(blocks, words, model.parts)
         gain = gains(_matrix(classed, model))
+        release(blocks.sparkSession)
         moved = _moved(_around(classed, model, turn if turn else None), gain)
         if words is not None:
             moved = moved.unionByName(words.filter(F.col("term").bitwiseAND(F.lit(1)) != turn % 2))
         words = stored(moved, "words")
+        del classed, moved
+        release(blocks.sparkSession)
     return words
 
 
@@ -510,16 +514,19 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sha
     blocks = read_blocks(docs, id, text)
     parts = _parts_for(blocks)
     known = stored(_word_counts(blocks, parts), "counts")
+    release(spark)
     tokens, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = known.filter((F.col("c") >= F.lit(share * tokens)) & (F.col("term") != END_TERM)).toArrow()
     terms, n = often.column("term").to_numpy().view(np.uint64), often.column("c").to_numpy()
     order = np.argsort(terms)
     frequent, n = terms[order], n[order]
     classes = cluster(stored(_frequent_bigrams(blocks, frequent), "bigrams"), n, sweeps)
+    release(spark)
     model = Model(tokens, types, frequent, classes, np.zeros((ALL, ALL), np.int64), parts)
     words = cluster_rest(blocks, model, rest_sweeps)
     packed = known.join(words, "term", "left").select("term", (F.col("c") * 128 + F.coalesce("class", F.lit(ONCE))).alias("c"))
     classified = stored(_classified(_with_counts(blocks, packed, parts), model, kind), "classes")
+    release(spark)
     pairs = _transitions(classified).toArrow()
     model.transitions.reshape(-1)[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     shared = spark.sparkContext.broadcast((model.log_transitions(), model.log_sizes(), model.tokens))

@@ -426,3 +426,30 @@ def test_null_texts_only(spark):
     frame = df.selectExpr("*", "CAST(NULL AS STRING) AS source", "CAST(NULL AS STRING) AS lang")
     assert {(r.source, r.probability) for r in mixing.calibrated(frame).collect()} == {("", 0.0)}
     assert search.search(search.build_index(df), df).collect() == []
+
+
+def test_bpe_short_pieces_need_no_states_and_white_space_any_runs():
+    import random
+
+    import public_tokenizers as public
+
+    coder = bpe.Codec(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choice(" \n\t\r\x0b\x1c\x1f\x85 　 ab'séß1.,  \n\n") for _ in range(draw.randrange(14)))
+        pieces = [p.encode() for p in coder.split(text)]
+        want = [coder.ranks[t] for p in pieces for t in ([p] if p in coder.ranks else bpe.merged(p, coder.ranks))]
+        raw = coder.encode(text)
+        assert np.frombuffer(raw, "<u4").tolist() == want
+        assert list(coder.decode_all([raw, b"", raw])) == [text.encode(), b"", text.encode()]
+    assert len(coder.transducer.keys) == 1
+    long = "ab" * 50 + "é" * 40
+    assert bpe.merged_ids(long.encode(), coder.ranks) == coder.transducer.encode(long.encode())
+
+
+def test_brown_releases_shuffle_files_between_steps(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(brown, "release", lambda spark: seen.append(spark))
+    rows = [(i, f"a b c{i % 3} d{i % 5} a b") for i in range(40)]
+    assert brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
+    assert len(seen) >= 8  # after counts, bigrams, each sweep's matrix and words, and the classes

@@ -224,3 +224,32 @@ def test_copies_that_tie_end_at_k_in_a_shard(spark):
     assert sorted(row.ids[i] for i in at) == [11, 12, 13, 14] and len(set(score)) == 1
     found = search.search(index, docs.where("doc_id = 50"), k=4).orderBy("rank").collect()
     assert [(r["rank"], r.doc_id) for r in found] == [(1, 11), (2, 12), (3, 13), (4, 14)]
+
+
+def test_shards_are_small_and_keep_large_numbers(spark):
+    """A posting takes a few bytes, also where a word's count and the documents need more than one."""
+    import numpy as np
+
+    from sloframe.llm import search
+
+    r = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(300, size=100))) for i in range(600)] + [(600, "often " * 70_000), (601, None)]
+    index = search.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shard_bytes=1 << 30)
+    row = index.shards.first()
+    postings, words = sum(len(set((t or "").split())) for _, t in rows), len({w for _, t in rows for w in (t or "").split()})
+    assert sum(len(row[c]) for c in ("terms", "starts", "docs", "counts", "lengths")) < 3 * postings + 10 * words + 8192
+    shard = search.Shard(row.terms, row.starts, row.docs, row.counts, row.lengths, 100.0)
+    assert (len(shard.terms), len(shard.docs), shard.size) == (words, postings, 602)
+    length = 1.2 * (0.25 + 0.75 * 70_000 / 100)
+    assert shard.factor[shard.docs == 600].tolist() == [70_000 * 2.2 / (70_000 + length)]
+
+
+def test_search_releases_the_terms_of_each_block(spark, monkeypatch):
+    from sloframe.llm import search
+
+    docs = spark.createDataFrame([(i, f"all {i} w{i % 7} w{i % 5}") for i in range(40)], "doc_id long, text string")
+    made, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(plain(self, value)) or made[-1])
+    found = search.search(search.build_index(docs, shard_bytes=100), docs, k=3, block_terms=50)
+    assert len(made) > 2 and not any(b._jbroadcast.isValid() for b in made)
+    assert found.count() == 120

@@ -253,3 +253,43 @@ def test_search_releases_the_terms_of_each_block(spark, monkeypatch):
     found = search.search(search.build_index(docs, shard_bytes=100), docs, k=3, block_terms=50)
     assert len(made) > 2 and not any(b._jbroadcast.isValid() for b in made)
     assert found.count() == 120
+
+
+@pytest.mark.parametrize("words", [1 << 21, 2])
+def test_only_terms_that_queries_may_have_are_counted(spark, monkeypatch, words):
+    """A filter without room lets more terms pass; the rows are the same."""
+    from sloframe.llm import search
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(50)) + f" all b{i % 50}") for i in range(200)] + [(300, None)], "doc_id long, text string").coalesce(2)
+    counted, plain = [], search._document_counts
+    monkeypatch.setattr(search, "FILTER_WORDS", words, raising=False)
+    monkeypatch.setattr(search, "_document_counts", lambda *args: counted.extend(plain(*args).collect()) or plain(*args))
+    found = search.search(search.build_index(docs, shard_bytes=5000), docs.where("doc_id % 100 = 0"), k=5).collect()
+    assert sorted(r.df for r in counted)[-2:] == [4, 200] and (words == 2 or len(counted) < 500)
+    assert {(r.query_id, r["rank"]): r.doc_id for r in found} == {(0, 1): 0, (0, 2): 50, (0, 3): 100, (0, 4): 150, (0, 5): 1, (100, 1): 100, (100, 2): 0, (100, 3): 50, (100, 4): 150, (100, 5): 1}
+
+
+def test_queries_of_a_shard_are_scored_together(spark):
+    """Terms are looked up once for all queries, and each query gets what a plain sum gives it."""
+    import numpy as np
+
+    from sloframe.llm import search
+
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.3, 60) % 3000)) for i in range(700)]
+    row = search.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shard_bytes=1 << 30).shards.first()
+    shard, k = search.Shard(row.terms, row.starts, row.docs, row.counts, row.lengths, 60.0), 5
+    table = np.zeros((len(shard.terms), shard.size))
+    table[np.repeat(np.arange(len(shard.terms)), np.diff(shard.starts)), shard.docs] = shard.factor
+    assert (shard.dense_row >= 0).sum() > 10
+    chosen = [np.sort(r.choice(len(shard.terms), min(n, len(shard.terms)), replace=False)) for n in r.integers(0, 400, 150)]
+    first, weights = np.append(0, np.cumsum([len(c) for c in chosen])), r.random(sum(map(len, chosen))) * 5
+    unknown = np.append(shard.terms, np.uint64(3) if np.uint64(3) not in shard.terms else np.uint64(5))
+    terms, used = np.unique(unknown, return_inverse=True)
+    plain = [np.rint(weights[a:b, None] * table[c] * search.UNITS).sum(axis=0) for c, a, b in zip(chosen, first, first[1:], strict=False)]
+    floors = np.array([np.sort(p)[-k] if i % 3 else 0.0 for i, p in enumerate(plain)])
+    found = list(shard.tops(terms, used[np.concatenate(chosen)], first, weights, k, floors))
+    assert len(found) == 150
+    for p, (at, score) in zip(plain, found, strict=True):
+        want = [i for i in np.lexsort((np.arange(len(p)), -p))[:k] if p[i] > 0]
+        assert sorted(at) == sorted(want) and score.tolist() == p[at].tolist()

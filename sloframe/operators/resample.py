@@ -1,7 +1,8 @@
 """Ranks and bootstrap intervals at row grain, for groups of any size.
 
 Nothing here numbers or sorts a whole group in one task: values are counted first, cut into
-bins by a sketch of the group, and running counts are carried from bin to bin.
+bins by a sketch of the group, and running counts are carried from bin to bin. The exception
+are resamples of groups that a task can hold (``WHOLE``), which ``draws`` counts as arrays.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from sloframe.functions.stats import hash32, pearson, spearman_p
+from sloframe.operators import draws
 from sloframe.operators.ordered import CHUNK, add_positions, attach, running_totals
 from sloframe.operators.ranking import POISSON_CUTS, _rank_sums
 
 BINS = 128
 SIDE = 8  # resamples that one row counts side by side
+WHOLE = 1 << 22  # rows of a group that one task draws from; larger groups are drawn from by shuffles
+SLICES, DRAWS = 48, 2_000_000_000  # least number of tasks for the resamples of some groups, and draws of a task beyond it
 _NO_VALUE = 1 << 30  # bin of a missing value: ranked last
 
 
@@ -67,16 +72,16 @@ def _correlated(sums: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def bootstrap_spearman_rows(
-    df: DataFrame, by: Sequence[str], key: str, a: str, b: str, resamples: int = 100, seed: int = 42, blocks: Sequence[Column] | None = None
+    df: DataFrame, by: Sequence[str], key: str, a: str, b: str, resamples: int = 100, seed: int = 42, blocks: Sequence[Column] | None = None, whole: int = WHOLE
 ) -> DataFrame:
     """Percentile interval of the rank correlation over resamples with replacement, drawn as
     ``ranking.bootstrap_spearman`` draws them: draw j of resample r takes the row whose place
     by ``key`` is md5(seed|r|j) mod n.
 
     Places are dealt out block by block (``blocks``: coarse keys that never decrease along the
-    key; by default ``CHUNK`` keys of an integer each). Draws are counted per row, ``SIDE``
-    resamples side by side, before they meet the values, counts per value give the tied ranks,
-    and ranks are carried over the group's value bins, so a group may be of any size.
+    key; by default ``CHUNK`` keys of an integer each). Groups of up to ``whole`` rows are drawn
+    from in tasks that hold all values of some groups and take a share of the resamples;
+    larger ones, of any size, by shuffles of their draws.
     """
     by = list(by)
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, key, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
@@ -84,9 +89,44 @@ def bootstrap_spearman_rows(
         blocks = [F.floor(F.col(key) / CHUNK)]
     placed = add_positions(rows, by, blocks, [F.col(key)], "__j")
     placed = attach(placed, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
+    total = rows.agg(F.count(F.lit(1)).alias("__n")).scalar()
+    per = _drawn_in_tasks(placed.where(F.col("__n") <= whole), by, total, resamples, seed, whole).unionByName(
+        _drawn_by_shuffles(placed.where(F.col("__n") > whole), by, resamples, seed)
+    )
+    rhos = _correlated(per, [*by, "__r"]).groupBy(*by).agg(F.array_sort(F.collect_list("rho")).alias("__s"))  # one value per resample
+    lo, hi = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)
+    ci = rhos.select(*by, F.col("__s")[lo].alias("ci_lower"), F.col("__s")[hi].alias("ci_upper"))
+    return attach(spearman_rows(df, by, a, b), ci, by).select(*by, "n", "rho", "ci_lower", "ci_upper", "p_value")
+
+
+def _drawn_in_tasks(placed: DataFrame, by: list[str], total: Column, resamples: int, seed: int, whole: int) -> DataFrame:
+    """Sums of the ranks of each resample of groups that fit in a task. Rows are packed by
+    place; bundles of groups go to one task per slice of the resamples."""
+    block = F.floor(F.col("__j") / CHUNK).alias("__block")
+    packed = placed.groupBy(*by, block).agg(F.sort_array(F.collect_list(F.struct("__j", "__a", "__b"))).alias("__rows"))  # at most CHUNK rows
+    bundles = F.ceil(total / F.lit(whole))
+    slices = F.ceil(F.least(total, F.lit(whole)) * F.lit(resamples / DRAWS))
+    slices = F.least(F.greatest(slices, F.lit(SLICES)), F.lit(resamples)).cast("int")
+    dealt = packed.select(
+        *by, "__block", F.col("__rows.__a").alias("__a"), F.col("__rows.__b").alias("__b"),
+        (F.pmod(F.hash(*by), bundles) if by else F.lit(0)).cast("int").alias("__bundle"), slices.alias("__slices"),
+    )
+    dealt = dealt.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)))
+    kinds = StructType(placed.select(*by).schema.fields).add("__r", LongType())
+    for name in draws.SUMS:
+        kinds = kinds.add(name, LongType() if name == "n" else DoubleType())
+    # Few bytes and much work: a number of partitions that stays as it is.
+    spread = dealt.repartition(4 * SLICES, "__bundle", "__slice")
+    return spread.groupBy("__bundle", "__slice").applyInArrow(lambda table: draws.resample_table(table, by, seed, resamples), kinds)
+
+
+def _drawn_by_shuffles(placed: DataFrame, by: list[str], resamples: int, seed: int) -> DataFrame:
+    """The same sums for groups of any size. Draws are counted per row, ``SIDE`` resamples side
+    by side, before they meet the values, counts per value give the tied ranks, and ranks are
+    carried over the group's value bins."""
     # One row per place and SIDE resamples, whose draws it counts side by side.
     side = range(min(SIDE, resamples))
-    draws = (
+    counted = (
         placed.select(*by, "__j", "__n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
         .withColumn("__pick", F.pmod(hash32(F.concat_ws("|", F.lit(seed), F.col("__r"), F.col("__j"))), F.col("__n")))
         .select(F.struct(*by, F.col("__pick").alias("__j")).alias("__key"), "__r")
@@ -94,7 +134,7 @@ def bootstrap_spearman_rows(
         .groupBy("__key", F.floor(F.col("__r") / SIDE).alias("__s"))
         .agg(*[F.count_if(F.col("__r") % SIDE == i).alias(f"__c{i}") for i in side])
     )
-    drawn = draws.join(placed.select(F.struct(*by, "__j").alias("__key"), *by, "__a", "__b"), "__key")
+    drawn = counted.join(placed.select(F.struct(*by, "__j").alias("__key"), *by, "__a", "__b"), "__key")
     group = [*by, "__s"]
     # Equal pairs of values are one cell.
     drawn = drawn.groupBy(*group, "__a", "__b").agg(*[F.sum(f"__c{i}").alias(f"__c{i}") for i in side])
@@ -109,11 +149,7 @@ def bootstrap_spearman_rows(
     summed = drawn.groupBy(*group).agg(*[x for each in sums for x in each.values()])
     each = F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"__{name}{i}").alias(name) for name in sums[i]]) for i in side])
     per = summed.select(*group, F.explode(each).alias("__x")).select(*by, (F.col("__s") * SIDE + F.col("__x.i")).alias("__r"), "__x.*")
-    per, group = per.where(F.col("__r") < resamples), [*by, "__r"]
-    rhos = _correlated(per, group).groupBy(*by).agg(F.array_sort(F.collect_list("rho")).alias("__s"))  # one value per resample
-    lo, hi = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)
-    ci = rhos.select(*by, F.col("__s")[lo].alias("ci_lower"), F.col("__s")[hi].alias("ci_upper"))
-    return attach(spearman_rows(df, by, a, b), ci, by).select(*by, "n", "rho", "ci_lower", "ci_upper", "p_value")
+    return per.where(F.col("__r") < resamples).select(*by, "__r", *draws.SUMS)
 
 
 def _poisson(digest: Column, i: int) -> Column:

@@ -450,7 +450,7 @@ def request_ranks(spark, d):
     return out.select("task", "event_id", "latency_rank", "k_rank")
 
 
-_ROW_DRAWS = 16
+_ROW_DRAWS = 10_000
 
 
 @query(

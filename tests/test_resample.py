@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sloframe.operators import ranking, resample
+from sloframe.operators import draws, ranking, resample
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +126,42 @@ def test_resamples_are_counted_side_by_side(spark, monkeypatch):
             rhos.append(np.corrcoef([ra[x] for x in xs], [rb[y] for y in ys])[0, 1])
         rhos.sort()
         assert got[g].n == n and got[g].ci_lower == pytest.approx(rhos[lo]) and got[g].ci_upper == pytest.approx(rhos[hi])
+
+
+def test_groups_in_tasks_equal_groups_in_shuffles(spark):
+    r = np.random.default_rng(5)
+    data = [(i, ("big" if i % 5 else "some") if i < 400 else None if i < 409 else f"tiny {i}", float(r.integers(0, 30)) if i % 17 else math.nan, float(r.integers(0, 200))) for i in range(413)]
+    df = spark.createDataFrame(data, "i long, g string, a double, b double").repartition(5)
+    got = []
+    for whole in (100, 1, 1 << 22):  # one group by shuffles, all but the tiny ones, none
+        rows = resample.bootstrap_spearman_rows(df, ["g"], "i", "a", "b", resamples=30, whole=whole, blocks=[F.floor(F.col("i") / 64)]).collect()
+        got.append({x.g: (x.n, x.rho, x.ci_lower, x.ci_upper) for x in rows})
+    assert len(got[0]) == 7 and got[0]["big"][0] == 320
+    assert got[1] == got[2] == {g: pytest.approx(v) for g, v in got[0].items()}
+
+
+def test_digests_equal_the_library():
+    digests = draws.Digests(42)
+    for resamples, n in ((range(7, 10), 1234), (range(10, 12), 70_000), (range(9_999, 10_000), 11)):
+        got = digests.of(resamples, n)
+        for k, r in enumerate(resamples):
+            some = {*range(min(n, 120)), 999 % n, 1000 % n, n // 2, n - 1}
+            assert all(got[k, j] == int(hashlib.md5(f"42|{r}|{j}".encode()).hexdigest()[:8], 16) for j in some)
+
+
+def test_requests_are_drawn_ten_thousand_times(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    n, r = 12, np.random.default_rng(8)
+    data = [(i, "view", float(r.integers(0, 9)), f'{{"k": {r.integers(0, 6)}}}') for i in range(n)]
+    spark.createDataFrame(data, "event_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    a, b = np.array([x[2] for x in data]), np.array([int(x[3][6:-1]) for x in data])
+    rhos = []
+    for s in range(10_000):
+        at = [int(hashlib.md5(f"42|{s}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]
+        ra, rb = ((x[at][:, None] < x[at]).sum(1) + (x[at][:, None] == x[at]).sum(1) / 2 for x in (a, b))
+        rhos.append(np.corrcoef(ra, rb)[0, 1] if np.ptp(ra) and np.ptp(rb) else 0)
+    rhos.sort()
+    (got,) = queries()["bootstrap_spearman_requests"](spark, str(tmp_path)).collect()
+    assert (got.task, got.n) == ("view", n)
+    assert (got.ci_lower, got.ci_upper) == (pytest.approx(rhos[250], abs=2e-6), pytest.approx(rhos[9750], abs=2e-6))

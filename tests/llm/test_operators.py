@@ -453,3 +453,30 @@ def test_brown_releases_shuffle_files_between_steps(spark, monkeypatch):
     rows = [(i, f"a b c{i % 3} d{i % 5} a b") for i in range(40)]
     assert brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
     assert len(seen) >= 8  # after counts, bigrams, each sweep's matrix and words, and the classes
+
+
+def test_bpe_pieces_go_through_the_transducer_and_the_incremental_decoder(monkeypatch):
+    import random
+
+    import public_tokenizers as public
+
+    coder, fed = bpe.Codec(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN), []
+    text = "Queanan ofanéninor, nnieosta!? " * 3 + "日本😀" * 30
+    pieces = [p.encode() for p in coder.split(text)]
+    want = [coder.ranks[t] for p in pieces for t in ([p] if p in coder.ranks else bpe.merged(p, coder.ranks))]
+    monkeypatch.setattr(bpe, "merged_ids", lambda *_: pytest.fail("merged past the transducer"))
+    feed = bpe.Utf8Decoder.feed
+    monkeypatch.setattr(bpe.Utf8Decoder, "feed", lambda self, data: fed.append(len(data)) or feed(self, data))
+    raw = coder.encode(text)
+    assert np.frombuffer(raw, "<u4").tolist() == want and len(coder.transducer.short) > 1
+    assert list(coder.decode_all([raw, raw])) == list(coder.decode_all([raw, raw], most=8)) == [text.encode()] * 2
+    assert sum(fed) == 4 * len(text.encode())
+
+    ranks = {t: i for i, t in enumerate([b"a", b"b", b"c", b"d", b"ab", b"abc", b"bc", b"aa", b"aaaa", b"cd", b"da", b"bcd", b"abcda"])}
+    draw = random.Random(4)
+    for machine in (bpe.Transducer(ranks), bpe.Transducer(ranks, max_states=2, max_pairs=2)):
+        for _ in range(3000):
+            piece = bytes(draw.choice(b"aabcd") for _ in range(draw.randrange(1, 20)))
+            assert machine.encode_short(piece) == [ranks[t] for t in bpe.merged(piece, ranks)]
+        with pytest.raises(ValueError, match="cannot be encoded"):
+            machine.encode_short(b"abx")

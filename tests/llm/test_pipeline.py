@@ -1,5 +1,6 @@
 """The registered queries and the pipeline, over the smallest driver tables."""
 
+import hashlib
 import os
 import re
 from collections import Counter
@@ -51,3 +52,20 @@ def test_stages_follow_from_their_operators(spark):
     assert coded == {r.doc_id: r.ids for r in tables[5].collect()}
     assert lines.frequent_lines(tables[1]).count() == sum(n >= 10 and k != b"" for k, n in frequent.items())
     assert sorted(coded) == sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
+
+
+def test_byte_bpe_stage_encodes_by_the_transducer(spark, monkeypatch):
+    seen = []
+    coded = bpe.encode_documents
+    monkeypatch.setattr(bpe, "encode_documents", lambda docs, **settings: seen.append(settings) or coded(docs, **settings))
+    texts = {1: "Nnieosta queanan ofanéninor!", 2: "", 3: None, 4: "x" * 90 + " 日本😀 areheingth"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.byte_bpe(spark, docs, SF).collect()}
+    # The same in this process, where merges past the transducer would be seen.
+    monkeypatch.setattr(bpe, "merged_ids", lambda *_: pytest.fail("merged past the transducer"))
+    coder = bpe.Codec(*bpe._settings(None, None), **seen[0])
+    for i, text in texts.items():
+        raw = coder.encode(text or "")
+        assert got[i].ids == memoryview(raw).cast("I").tolist() and got[i].n_tokens == len(raw) // 4
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert len(coder.transducer.keys) > 1 and len(coder.transducer.short) > 1
